@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import code_lines, contains_any, percent, strip
+from .text import contains_any, percent, strip
 
 
 def _sentence(template: str, line: Column, text: Column) -> Column:
@@ -21,20 +21,18 @@ def _sentence(template: str, line: Column, text: Column) -> Column:
     return F.concat(*parts)
 
 
-def reason_text(code: Column, primary_line: Column, cwe: Column) -> Column:
+def reason_sentence(code: Column, primary_line: Column, cwe: Column, text: Column, line_count: Column) -> Column:
     """One sentence: by CWE, else by keywords of the primary line, else generic.
 
-    ``primary_line`` is the first affected line, null when there is none.
+    ``primary_line`` is the first affected line, null when there is none; ``text`` is that line, stripped.
     """
-    lines = code_lines(code)
-    text = strip(F.get(lines, primary_line - 1))
     low = F.lower(text)
     code_cwe = strip(F.upper(F.coalesce(cwe, F.lit(""))))
     by_cwe = dict(fixed.REASON_BY_CWE)
     say = lambda template: _sentence(template, primary_line, text)
     out = (F.when(code.isNull(), fixed.REASON_OUT_OF_RANGE)
            .when(primary_line.isNull(), fixed.REASON_NO_LINES)
-           .when((primary_line > F.size(lines)) | (primary_line < 1), fixed.REASON_OUT_OF_RANGE))
+           .when((primary_line > line_count) | (primary_line < 1), fixed.REASON_OUT_OF_RANGE))
     for name, template in fixed.REASON_BY_CWE:
         out = out.when(code_cwe == name, say(template))
     out = (out.when(contains_any(text, ["system(", "popen(", "subprocess"]), say(by_cwe["CWE-78"]))

@@ -76,9 +76,8 @@ def first_static_cwe(hits: dict[str, Column]) -> Column:
     return F.coalesce(*[F.when(hits[r[0]], F.lit(r[1])) for r in fixed.STATIC_RULES])
 
 
-def heuristic_cwe(code: Column) -> Column:
-    """Keyword rules in fixed order; the first that applies gives the CWE."""
-    low = F.lower(code)
+def heuristic_cwe(low: Column) -> Column:
+    """Keyword rules on lower-cased code in fixed order; the first that applies gives the CWE."""
     has = lambda *words: contains_any(low, list(words))
     return (F.when(has("select ") & has("where", "join", "%s", "format", "like"), "CWE-89")
             .when(has("script", "html", "render", "innerhtml"), "CWE-79")

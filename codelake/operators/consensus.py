@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import percent
-from .detect import compliance, hit_columns, ml_vote, with_rules
+from .detect import RULE_COLUMNS, compliance, hit_columns, ml_vote, with_rules
+from .settle import settle
 
 MODEL = "CodeBERT"
 
@@ -36,9 +37,13 @@ def static_opinion(df: DataFrame) -> DataFrame:
         .otherwise("No static vulnerability patterns triggered.")})
 
 
+OPINION_COLUMNS = ["heuristic_cwe", "ml_vulnerable", "ml_cwe", "ml_confidence", "ml_rationale", *RULE_COLUMNS.values(),
+                   "static_vulnerable", "static_confidence", "static_cwe", "static_rationale"]
+
+
 def consensus(df: DataFrame) -> DataFrame:
     """Agreement averages; a static hit overrides a safe vote; otherwise the classifier decides."""
-    both = static_opinion(ml_opinion(df))
+    both = settle(static_opinion(ml_opinion(df)), OPINION_COLUMNS)
     agree = F.col("ml_vulnerable") == F.col("static_vulnerable")
     override = ~agree & F.col("static_vulnerable") & (F.col("static_confidence") >= 0.90)
     return both.withColumns({

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import advanced_clean, fill_language, inject_language_token, label_from_flag
 from .rank import hash_rank, top_per_group
+from .settle import settle
 
 FIX_TABLES = ["fixes", "commits", "cve", "cwe_classification", "method_change", "file_change"]
 SAMPLE_COLUMNS = ["code", "before_change", "programming_language", "cwe_id", "cvss3_base_score", "cvss3_base_severity"]
@@ -31,11 +32,11 @@ def labelled_history(tables: dict[str, DataFrame]) -> DataFrame:
 def cleaned(samples: DataFrame, min_length: int = 20) -> DataFrame:
     """Label, language fill, cleaning and language token; short rows dropped afterwards."""
     language = fill_language(F.col("programming_language"))
-    return (samples.withColumn("label", label_from_flag(F.col("before_change")))
+    tidy = (samples.withColumn("label", label_from_flag(F.col("before_change")))
             .withColumn("programming_language", language)
             .withColumn("code", inject_language_token(
-                advanced_clean(F.col("code"), F.col("programming_language")), F.col("programming_language")))
-            .where(F.length("code") >= min_length))
+                advanced_clean(F.col("code"), F.col("programming_language")), F.col("programming_language"))))
+    return settle(tidy, ["code", "programming_language", "label"]).where(F.length("code") >= min_length)
 
 
 def dedup_keep_first(df: DataFrame, code: str, order: list[Column]) -> DataFrame:

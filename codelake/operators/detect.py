@@ -13,6 +13,7 @@ from .. import fixed
 from ..functions import rules
 from ..functions.text import is_blank, strip
 from ..sources.dims import dim
+from .settle import settle
 
 RULE_COLUMNS = {r[0]: f"hit_{r[0]}" for r in fixed.STATIC_RULES}
 
@@ -31,7 +32,7 @@ def ml_vote(df: DataFrame) -> DataFrame:
 
     A trained CWE column ``model_cwe`` is used when the input has one, else the keyword heuristic.
     """
-    df = df.withColumn("heuristic_cwe", rules.heuristic_cwe(F.col("code")))
+    df = df.withColumn("_low", F.lower("code")).withColumn("heuristic_cwe", rules.heuristic_cwe(F.col("_low"))).drop("_low")
     guess = F.col("heuristic_cwe")
     if "model_cwe" in df.columns:
         guess = F.coalesce("model_cwe", guess)
@@ -92,13 +93,17 @@ def guard_blank(df: DataFrame) -> DataFrame:
     })
 
 
+TEXT_COLUMNS = ["is_blank", "heuristic_cwe", "ml_vulnerable", "ml_cwe", *RULE_COLUMNS.values()]
+
+
 def predict(df: DataFrame) -> DataFrame:
     """Full prediction record for rows with ``code``, ``file_path`` and ``ml_prob``."""
-    voted = hybrid(with_rules(ml_vote(df.withColumn("is_blank", is_blank(F.col("code"))))))
+    read = settle(with_rules(ml_vote(df.withColumn("is_blank", is_blank(F.col("code"))))), TEXT_COLUMNS)
+    voted = hybrid(read)
     voted = voted.withColumn("predicted_cwe", F.when(
         F.col("vulnerable") & (F.coalesce(F.col("hybrid_cwe"), F.lit("")) == ""), F.col("heuristic_cwe"))
         .otherwise(F.col("hybrid_cwe")))
-    return guard_blank(enrich(voted))
+    return guard_blank(enrich(settle(voted, ["vulnerable", "confidence", "hybrid_cwe", "predicted_cwe"])))
 
 
 def remediation(df: DataFrame, cwe: str = "predicted_cwe", severity: str = "severity",

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..functions.explain import reason_sentence
 from ..functions.text import _LINE_ENDS, code_lines, strip
 from .rank import top_per_group
+from .settle import settle
 
 TOKEN_KEYS = ["snippet_id", "token_idx", "token", "tok_start", "tok_end"]
 # Weights are kept as whole ten-billionths, so sums, ranks and rounding do not depend on the order of addition.
@@ -84,6 +86,16 @@ def line_span(top: DataFrame) -> DataFrame:
     return top.groupBy("snippet_id").agg(F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"))
 
 
+def with_reason(df: DataFrame, code: str = "code", line: str = "first_line", cwe: str = "predicted_cwe") -> DataFrame:
+    """``reason`` sentence of each row; the lines of the code are split once."""
+    lines = code_lines(F.col(code))
+    cut = df.withColumn("_lines", lines).withColumns({
+        "_line_text": strip(F.get("_lines", F.col(line) - 1)), "_line_count": F.size("_lines")}).drop("_lines")
+    read = settle(cut, ["_line_text", "_line_count"])
+    return read.withColumn("reason", reason_sentence(
+        F.col(code), F.col(line), F.col(cwe), F.col("_line_text"), F.col("_line_count"))).drop("_line_text", "_line_count")
+
+
 def heatmap(cls: DataFrame) -> DataFrame:
     """Weights relative to the snippet's largest; special tokens leave after the maximum is taken."""
     peak = F.max("units").over(Window.partitionBy("snippet_id"))

@@ -12,6 +12,7 @@ from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, Normaliz
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import is_blank
 
@@ -75,7 +76,7 @@ def score_batches(df: DataFrame, load: Callable[[], Callable[[list[str]], list[f
             scores = [p for i in range(0, len(texts), batch) for p in scorer(texts[i:i + batch])]
             yield frame.assign(ml_prob=scores)[[*names, "ml_prob"]]
 
-    return df.mapInPandas(run, df.schema.add("ml_prob", "double") if "ml_prob" not in names else df.schema)
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField("ml_prob", T.DoubleType())]))
 
 
 def binary_metrics(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:

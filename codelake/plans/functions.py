@@ -89,7 +89,8 @@ def hybrid_decision(spark, sf_dir):
 def heuristic_cwe(spark, sf_dir):
     code = _snippets(spark, sf_dir).select(F.lit("snippet").alias("kind"), F.col("snippet_id").alias("id"), "code")
     pages = read_table(spark, sf_dir, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("id"), F.col("html").alias("code"))
-    return code.unionByName(pages).select("kind", "id", rules.heuristic_cwe(F.col("code")).alias("cwe"))
+    both = code.unionByName(pages).select("kind", "id", F.lower("code").alias("low"))
+    return both.select("kind", "id", rules.heuristic_cwe(F.col("low")).alias("cwe"))
 
 
 @query("ml_threshold", "SELECT snippet_id, ml_prob >= 0.5e0 AS ml_vulnerable FROM snippets")

@@ -113,24 +113,21 @@ def allowed_tables(spark, sf_dir):
     return dump.allowed_only(dump.read_statements(spark, path)).groupBy(F.col("table").alias("source_table")).agg(F.count("*").alias("n"))
 
 
-_EXT = "CASE WHEN file_path LIKE '%.py' THEN 'Python' ELSE 'JavaScript' END"
-
-
-@query("repo_file_scan", f"""SELECT {_EXT} AS language, sum(length(code) + 1)::BIGINT AS n_chars, sum(length(code) - length(replace(code, chr(10), '')) + 1)::BIGINT AS n_lines
+@query("repo_file_scan", """SELECT language, sum(length(code) + 1)::BIGINT AS n_chars, sum(length(code) - length(replace(code, chr(10), '')) + 1)::BIGINT AS n_lines
  FROM snippets GROUP BY 1""")
 def repo_file_scan(spark, sf_dir):
     root = scratch_path(spark, "repos")
     repo_files.write_repo_files(view(spark, sf_dir, "snippets"), root)
-    files = repo_files.scan_repo_files(spark, root)
     breaks = F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit("")))
-    return files.groupBy("language").agg(F.sum(F.length("code")).cast("bigint").alias("n_chars"), F.sum(breaks).cast("bigint").alias("n_lines"))
+    return repo_files.scan_written(spark, root).groupBy("language").agg(
+        F.sum(F.length("code")).cast("bigint").alias("n_chars"), F.sum(breaks).cast("bigint").alias("n_lines"))
 
 
-@query("repo_py_scan", "SELECT repo_id, sum(length(code) + 1)::BIGINT AS n_chars FROM snippets WHERE file_path LIKE '%.py' GROUP BY 1")
+@query("repo_py_scan", "SELECT repo_id, sum(length(code) + 1)::BIGINT AS n_chars FROM snippets WHERE language = 'Python' GROUP BY 1")
 def repo_py_scan(spark, sf_dir):
     root = scratch_path(spark, "repos")
     repo_files.write_repo_files(view(spark, sf_dir, "snippets"), root)
-    files = repo_files.scan_py_files(spark, root)
+    files = repo_files.scan_py_files(spark, f"{root}/Python", "txt")
     return files.groupBy(F.regexp_extract("file_path", r"repo_id=(\d+)", 1).cast("bigint").alias("repo_id")).agg(
         F.sum(F.length("code")).cast("bigint").alias("n_chars"))
 
@@ -197,7 +194,7 @@ def scan_repository(spark, sf_dir):
     """Files on storage to functions, findings and scores, end to end."""
     root = scratch_path(spark, "repos")
     repo_files.write_repo_files(view(spark, sf_dir, "snippets"), root)
-    functions = code_parse.explode_functions(repo_files.scan_repo_files(spark, root))
+    functions = code_parse.explode_functions(repo_files.scan_written(spark, root))
     pred = detect.predict(functions.select(
         F.regexp_extract("file_path", r"repo_id=(\d+)", 1).cast("bigint").alias("repo_id"), "file_path", "function_name",
         "language", F.col("source").alias("code"), F.lit(0.25).alias("ml_prob")))

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.explain import reason_text
 from ..operators import detect, explain
 from ..sources.fixtures import view
 from .oracle import with_tables
@@ -46,8 +45,7 @@ def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vulnerable predictions with affected lines and the reason sentence."""
     pred = predictions(spark, sf_dir).where("vulnerable")
     spans = explain.line_span(affected_lines(spark, sf_dir, pred))
-    return pred.join(spans, "snippet_id", "left").withColumn(
-        "reason", reason_text(F.col("code"), F.col("first_line"), F.col("predicted_cwe")))
+    return explain.with_reason(pred.join(spans, "snippet_id", "left"))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

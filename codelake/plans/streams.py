@@ -57,7 +57,7 @@ _STEPS = ", ".join(f"'{a}>{b}'" for a, b in J.STEPS)
  FROM (SELECT job_id, event_id, status, lag(status) OVER w AS previous, CAST(sum(CASE WHEN status = 'SANDBOXING' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS attempt
   FROM job_events WINDOW w AS (PARTITION BY job_id ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 def stream_retry_machine(spark, sf_dir):
-    return S.retry_machine(stream_view(spark, sf_dir, "job_events"))
+    return S.retry_machine(stream_view(spark, sf_dir, "job_events")).drop("batch_number")
 
 
 @query("stream_webhook_route", ROUTE_SQL)

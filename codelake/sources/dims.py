@@ -6,6 +6,8 @@ relation also tells the optimizer its exact size.
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +26,14 @@ DIM_ROWS = {
 }
 
 
+_LOCAL: WeakKeyDictionary = WeakKeyDictionary()
+
+
 def dim(spark: SparkSession, name: str) -> DataFrame:
-    columns, rows = DIM_ROWS[name]
-    table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(columns)})
-    return F.broadcast(spark.createDataFrame(table))
+    """The catalogue as a broadcast-hinted local relation, made once per session."""
+    made = _LOCAL.setdefault(spark, {})
+    if name not in made:
+        columns, rows = DIM_ROWS[name]
+        table = pa.table({c: [r[i] for r in rows] for i, c in enumerate(columns)})
+        made[name] = F.broadcast(spark.createDataFrame(table))
+    return made[name]

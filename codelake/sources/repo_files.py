@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import is_blank, path_excluded, path_extension
-from .dims import dim
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -31,34 +30,46 @@ def decode_replace(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def scan_repo_files(spark: SparkSession, root: str) -> DataFrame:
+def scan_repo_files(spark: SparkSession, root: str, extensions: list[tuple[str, str]] = fixed.EXTENSIONS) -> DataFrame:
     """Files with a supported extension outside hidden and environment folders: path, language, code.
 
     Extensions are cut at listing time and folders by file metadata, before any content is read.
     Names starting with ``_`` are not listed by Spark; give such folders as explicit roots.
     """
-    names = ",".join(_any_case(ext) for ext, _ in fixed.EXTENSIONS)
+    names = ",".join(_any_case(ext) for ext, _ in extensions)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.{" + names + "}").load(root)
              .where(~path_excluded(_relative(F.col("_metadata.file_path"), root))))
+    ext = path_extension(F.col("file_path"))
+    language = F.coalesce(*[F.when(ext == e, name) for e, name in extensions])
     return (files.withColumn("file_path", _relative(F.col("path"), root))
-            .withColumn("ext", path_extension(F.col("file_path"))).join(dim(spark, "dim_extension"), "ext")
-            .select("file_path", "language", decode_ignore(F.col("content")).alias("code")))
+            .select("file_path", language.alias("language"), decode_ignore(F.col("content")).alias("code")))
 
 
-def scan_py_files(spark: SparkSession, root: str) -> DataFrame:
+def scan_py_files(spark: SparkSession, root: str, suffix: str = "py") -> DataFrame:
     """Non-blank ``.py`` files outside dot folders; undecodable bytes stay visible as replacements."""
     folders = lambda p: F.split(F.regexp_replace(p, "/?[^/]*$", ""), "/")
     hidden = F.exists(folders(_relative(F.col("_metadata.file_path"), root)), lambda d: F.startswith(d, F.lit(".")))
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.py").load(root).where(~hidden))
+             .option("pathGlobFilter", f"*.{suffix}").load(root).where(~hidden))
     return (files.select(_relative(F.col("path"), root).alias("file_path"), decode_replace(F.col("content")).alias("code"))
             .where(~is_blank(F.col("code"))))
 
 
+FILE_RECORDS = 10000
+
+
 def write_repo_files(snippets: DataFrame, root: str) -> None:
-    """Snippets as source files, one folder per repository and language extension."""
-    rows = snippets.select("repo_id", path_extension(F.col("file_path")).alias("ext"), "code")
-    for ext in ("py", "js"):
-        (rows.where(F.col("ext") == ext).select("repo_id", "code").write.mode("overwrite").partitionBy("repo_id")
-         .option("extension", ext).option("quote", "").option("escapeQuotes", "false").csv(f"{root}/{ext}"))
+    """Snippets as text files, one folder per language and repository.
+
+    Files are cut after ``FILE_RECORDS`` snippets, so a large repository gets many files, not a large one.
+    """
+    for name in ("Python", "JavaScript"):
+        (snippets.where(F.col("language") == name).select("repo_id", "code").write.mode("overwrite")
+         .option("maxRecordsPerFile", FILE_RECORDS).partitionBy("repo_id").text(f"{root}/{name}"))
+
+
+def scan_written(spark: SparkSession, root: str) -> DataFrame:
+    """Read back what ``write_repo_files`` wrote; Spark names text files ``.txt``, so the folder gives the language."""
+    parts = [scan_repo_files(spark, f"{root}/{name}", [("txt", name)]) for name in ("Python", "JavaScript")]
+    return parts[0].unionByName(parts[1])

@@ -28,7 +28,7 @@ def write_reports(reports: DataFrame, path: str, key: str = "repo_id") -> None:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("wholetext", "true").text(path)
+    return (spark.read.text(path, wholetext=True)
             .select("repo_id", F.regexp_replace("value", "\n\\z", "").alias("report")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.rank import top_per_group
 from ..session import scratch_path
@@ -36,7 +37,7 @@ def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", state)
              .trigger(availableNow=True).foreachBatch(save).start())
     query.awaitTermination()
-    schema = stream.schema.add("batch_number", "int")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch_number", T.IntegerType())])
     return spark.read.schema(schema).parquet(out)
 
 
