@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
@@ -41,9 +42,14 @@ def cwe_pipeline(code: str = "code", cwe: str = "cwe_id", vocabulary: int = 8000
 def train_cwe_classifier(samples: DataFrame, **options) -> PipelineModel | None:
     """CWE model on vulnerable rows with a CWE; None when there are too few."""
     rows = samples.where("label = 1 and cwe_id is not null and cwe_id <> ''").select("code", "cwe_id")
-    if rows.limit(MIN_CWE_ROWS).count() < MIN_CWE_ROWS:
-        return None
-    return cwe_pipeline(**options).fit(rows)
+    # Every stage of the pipeline reads the rows again, so they are spread evenly and kept.
+    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if rows.limit(MIN_CWE_ROWS).count() < MIN_CWE_ROWS:
+            return None
+        return cwe_pipeline(**options).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict_cwe(model: PipelineModel, df: DataFrame) -> DataFrame:
