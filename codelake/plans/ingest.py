@@ -53,17 +53,12 @@ WIDTHS = {"fixes": 2, "commits": 2, "cve": 3, "method_change": 3, "file_change":
  UNION ALL SELECT 'cve', 'loaded', count(*) FROM cvefixes_cve UNION ALL SELECT 'cve', 'quarantined', count(*) FROM cvefixes_cve
  UNION ALL SELECT 'method_change', 'loaded', count(*) FROM cvefixes_method_change UNION ALL SELECT 'file_change', 'loaded', count(*) FROM cvefixes_file_change""")
 def dump_ingest(spark, sf_dir):
-    path, tables, bad = (scratch_path(spark, n) for n in ("dump", "dump-tables", "dump-bad"))
+    path, tables = scratch_path(spark, "dump"), scratch_path(spark, "dump-tables")
     write_dump(spark, sf_dir, path)
-    rows, quarantine = dump.ingest(spark, path, WIDTHS)
-    # One pass over the dump feeds all tables: rows are written partitioned by table.
-    rows.write.mode("overwrite").partitionBy("table").parquet(tables)
-    quarantine.write.mode("overwrite").parquet(bad)
-    loaded = spark.read.schema("tokens array<string>, table string").parquet(tables)
-    lost = spark.read.schema("table string, statement string").parquet(bad)
-    count = lambda df, what: df.groupBy(F.col("table").alias("source_table")).agg(F.count("*").alias("n")).select(
-        "source_table", F.lit(what).alias("outcome"), "n")
-    return count(loaded, "loaded").unionByName(count(lost, "quarantined"))
+    dump.ingest(spark, path, WIDTHS).write.mode("overwrite").partitionBy("good", "table").parquet(tables)
+    stored = spark.read.schema("tokens array<string>, statement string, good boolean, table string").parquet(tables)
+    outcome = F.when(F.col("good"), "loaded").otherwise("quarantined")
+    return stored.groupBy(F.col("table").alias("source_table"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
 _ROUND_TRIP = f"""SELECT file_change_id, 3 AS n_tokens, coalesce({_METHOD_SQL}, 'NULL') AS code, before_change FROM cvefixes_method_change"""

@@ -67,7 +67,8 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     preceding = in_block.rowsBetween(Window.unboundedPreceding, -1)
     opened = (F.col("carry") + F.coalesce(F.sum("quotes").over(preceding), F.lit(0))) % 2 == 1
     marked = placed.withColumn("start", ~opened & F.ltrim("value").rlike(r"^[A-Za-z]"))
-    marked = marked.withColumn("seq", F.sum(F.when(F.col("start"), 1).otherwise(0)).over(in_block)).drop("_file", "_block", "carry")
+    marked = marked.withColumn("seq", F.sum(F.when(F.col("start"), 1).otherwise(0)).over(
+        in_block.rowsBetween(Window.unboundedPreceding, 0))).drop("_file", "_block", "carry")
     # Lines before the first start of a block continue the last statement of an earlier block.
     counts = marked.groupBy("file", "block").agg(F.max("seq").alias("n")).select(
         F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -91,17 +92,18 @@ def statement_values(statement: Column) -> Column:
     return F.regexp_extract(statement, r"(?s)VALUES\s*\((.*)\)\s*;?\s*\z", 1)
 
 
-def ingest(spark: SparkSession, path: str, widths: dict[str, int]) -> tuple[DataFrame, DataFrame]:
-    """(rows, quarantine) of a dump: ``table`` and ``tokens`` of good rows, statement text of bad ones.
+def ingest(spark: SparkSession, path: str, widths: dict[str, int]) -> DataFrame:
+    """Rows of a dump: ``table``, ``good``, ``tokens`` and, for bad rows only, the ``statement`` text.
 
-    A row is bad when its number of values differs from the table's ``widths`` entry.
+    A row is bad when its number of values differs from the table's ``widths`` entry. Written partitioned by
+    ``good`` and ``table``, one pass gives all tables and the quarantine.
     """
     width = F.coalesce(*[F.when(F.col("table") == t, n) for t, n in widths.items()])
     parsed = (allowed_only(read_statements(spark, path))
               .withColumn("tokens", parse_values(statement_values(F.col("statement"))))
-              .withColumn("_good", F.coalesce(F.size("tokens") == width, F.lit(False))))
-    return (parsed.where("_good").select("table", "tokens"),
-            parsed.where(~F.col("_good")).select("table", "statement"))
+              .withColumn("good", F.coalesce(F.size("tokens") == width, F.lit(False))))
+    return parsed.select("table", "good", F.when(F.col("good"), F.col("tokens")).alias("tokens"),
+                         F.when(~F.col("good"), F.col("statement")).alias("statement"))
 
 
 def quote_literal(col: Column) -> Column:
