@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import advanced_clean, fill_language, inject_language_token, label_from_flag
+from ..session import staged
 from .rank import hash_rank, top_per_group
 from .settle import settle
 
@@ -90,9 +91,17 @@ def stratified_split(df: DataFrame, id_column: str, test_size: float = 0.1, val_
             .drop("_label", "_n", "_test", "_val"))
 
 
-def training_set(tables: dict[str, DataFrame], max_samples: int = 5000, seed: int = 42) -> DataFrame:
-    """Joined, cleaned, deduplicated, balanced and shuffled samples, unique by ``code_hash``."""
-    rows = cleaned(labelled_history(tables))
+def unique_samples(tables: dict[str, DataFrame]) -> DataFrame:
+    """Joined, cleaned and deduplicated samples, unique by ``code_hash``."""
     order = [F.col(c) for c in ("label", "programming_language", "before_change", "cwe_id", "cvss3_base_score", "cvss3_base_severity")]
-    unique = dedup_keep_first(rows, "code", order)
-    return shuffle_rows(balanced_sample(unique, "code_hash", max_samples, seed).drop("rank"), "code_hash", seed)
+    return dedup_keep_first(cleaned(labelled_history(tables)), "code", order)
+
+
+def training_set(tables: dict[str, DataFrame], max_samples: int = 5000, seed: int = 42) -> DataFrame:
+    """Unique samples, balanced and shuffled.
+
+    Sizes, ranks and rows each read their input again, so the costly join and the sample are staged.
+    """
+    unique = staged(unique_samples(tables), "unique-samples")
+    sample = staged(balanced_sample(unique, "code_hash", max_samples, seed).drop("rank"), "balanced-samples")
+    return shuffle_rows(sample, "code_hash", seed)

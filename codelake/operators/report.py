@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions.text import percent
 from .rank import top_per_group
-from .score import compliance_set, severity_weight
+from .score import severity_weight
 
 PRODUCT = "CodeLake"
 TOP_FINDINGS = 10
@@ -51,11 +51,12 @@ def roadmap(product: str = PRODUCT) -> Column:
     return F.when(F.col("total_vulnerabilities") > 0, lines).otherwise(fixed.ROADMAP_NONE)
 
 
-def report_markdown(scores: DataFrame, findings: DataFrame, key: str = "repo_id", product: str = PRODUCT) -> DataFrame:
-    blocks = (top_findings(findings, key).withColumn("block", finding_block())
+def report_markdown(scores: DataFrame, top: DataFrame, violations: DataFrame, key: str = "repo_id",
+                    product: str = PRODUCT) -> DataFrame:
+    """Report text per repository from its scores, its ranked first findings and its violated rules."""
+    blocks = (top.withColumn("block", finding_block())
               .groupBy(key).agg(F.array_join(F.transform(
                   F.array_sort(F.collect_list(F.struct("rank", "block"))), lambda x: x["block"]), "\n").alias("blocks")))
-    rules = compliance_set(findings, key)
     c = F.col
     table = [("Files Scanned", "files_scanned"), ("Functions Analyzed", "functions_scanned"),
              ("Total Vulnerabilities Identified", "total_vulnerabilities"), ("Critical Issues", "critical_issues"),
@@ -78,7 +79,7 @@ def report_markdown(scores: DataFrame, findings: DataFrame, key: str = "repo_id"
         F.lit("\n## 3. High-Risk Vulnerability Details"),
         F.coalesce(c("blocks"), F.lit(fixed.REPORT_CLEAN)),
         F.lit("\n## 4. Strategic Remediation Roadmap"), roadmap(product))
-    return scores.join(rules, key, "left").join(blocks, key, "left").select(key, text.alias("report"))
+    return scores.join(violations, key, "left").join(blocks, key, "left").select(key, text.alias("report"))
 
 
 def preview(report: Column, length: int = 1500) -> Column:

@@ -103,10 +103,8 @@ def file_scan_summary(spark, sf_dir):
 @query("class_counts_min", f"SELECT label, count(*) AS class_count, (SELECT n FROM class_size) AS sample_size FROM unique_rows GROUP BY 1")
 def class_counts_min(spark, sf_dir):
     from .joins import fix_tables
-    rows = dataset.cleaned(dataset.labelled_history(fix_tables(spark, sf_dir)))
     # The label may differ between copies of one text, so the kept copy matters.
-    order = [F.col(c) for c in ("label", "programming_language", "before_change", "cwe_id", "cvss3_base_score", "cvss3_base_severity")]
-    unique = dataset.dedup_keep_first(rows, "code", order)
+    unique = dataset.unique_samples(fix_tables(spark, sf_dir))
     return dataset.sample_size(unique, 5000).select("label", "class_count", F.col("n").alias("sample_size"))
 
 
@@ -233,7 +231,7 @@ def latest_job_status(spark, sf_dir):
     return jobs.latest_status(view(spark, sf_dir, "job_events"))
 
 
-_EPOCHS = """(SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value / 500 AS val_f1 FROM events)"""
+_EPOCHS = """(SELECT l_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS epoch, l_quantity / 50 AS val_f1 FROM lineitem)"""
 
 
 @query("early_stop_trace", f"""SELECT run, epoch, best_f1, no_improvement, coalesce(max(CASE WHEN no_improvement >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS after_stop
@@ -241,9 +239,9 @@ _EPOCHS = """(SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORD
   FROM (SELECT *, val_f1 > coalesce(max(val_f1) OVER w, 0e0) AS improved, greatest(coalesce(max(val_f1) OVER w, 0e0), val_f1) AS best_f1 FROM {_EPOCHS}
    WINDOW w AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)))""")
 def early_stop_trace(spark, sf_dir):
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    epochs = read_table(spark, sf_dir, "events").select(
-        F.col("user_id").alias("run"), F.row_number().over(order).alias("epoch"), (F.col("value") / 500).alias("val_f1"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    epochs = read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("run"), F.row_number().over(order).alias("epoch"), (F.col("l_quantity") / 50).alias("val_f1"))
     return jobs.early_stop(epochs, "run").select("run", "epoch", "best_f1", "no_improvement", "after_stop")
 
 

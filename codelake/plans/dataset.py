@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import dataset
 from ..operators.rank import hash_rank
+from ..session import staged
 from ..sources.fixtures import view
 from .joins import fix_tables
 from .registry import query
@@ -43,9 +44,8 @@ def shuffle_rows(spark, sf_dir):
 
 @query("balanced_sample", "SELECT code_hash, label, rank FROM balanced_rows")
 def balanced_sample(spark, sf_dir):
-    rows = dataset.cleaned(dataset.labelled_history(fix_tables(spark, sf_dir)))
-    order = [F.col(c) for c in ("label", "programming_language", "before_change", "cwe_id", "cvss3_base_score", "cvss3_base_severity")]
-    return dataset.balanced_sample(dataset.dedup_keep_first(rows, "code", order), "code_hash", 5000).select("code_hash", "label", "rank")
+    unique = staged(dataset.unique_samples(fix_tables(spark, sf_dir)), "unique-samples")
+    return dataset.balanced_sample(unique, "code_hash", 5000).select("code_hash", "label", "rank")
 
 
 @query("training_set", """SELECT code_hash, code, label, programming_language, cwe_id, row_number() OVER (ORDER BY sha256(code_hash || ':42'), code_hash) AS position FROM balanced_rows""")

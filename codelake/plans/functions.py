@@ -11,7 +11,7 @@ from ..operators import consensus, detect, report, score
 from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import oracle as O
-from .registry import explained, predictions, query
+from .registry import explained, predictions, query, reports
 
 
 def _snippets(spark, sf_dir):
@@ -191,7 +191,13 @@ def patch_text(spark, sf_dir):
     return patched(predictions(spark, sf_dir).where("vulnerable")).select("snippet_id", "patched_code")
 
 
-@query("patch_diff")
+_MINUS = "list_reduce(list_transform(string_split(code, chr(10)), lambda x: '-' || x), lambda a, b: a || chr(10) || b)"
+_PLUS = "list_reduce(list_transform(string_split(left(patched_code, length(patched_code) - 1), chr(10)), lambda x: '+' || x || chr(10)), lambda a, b: a || b)"
+
+
+@query("patch_diff", f"""SELECT snippet_id, '--- vulnerable_function.py' || chr(10) || '+++ secured_function.py' || chr(10) || '@@ -1' ||
+  CASE WHEN len(string_split(code, chr(10))) = 1 THEN '' ELSE ',' || len(string_split(code, chr(10))) END || ' +1,' || (len(string_split(patched_code, chr(10))) - 1) || ' @@' || chr(10)
+  || {_MINUS} || {_PLUS} AS diff FROM (SELECT v.snippet_id, v.code, {_PATCHED} AS patched_code {REMEDIATION_FROM})""")
 def patch_diff(spark, sf_dir):
     return patched(predictions(spark, sf_dir).where("vulnerable")).select(
         "snippet_id", code_parse.unified_diff_udf("code", "patched_code").alias("diff"))
@@ -326,11 +332,6 @@ ROADMAP_SQL = f"""(CASE WHEN total_vulnerabilities > 0 THEN concat_ws(chr(10), {
 REPORT_SQL = _report_sql()
 
 
-def reports(spark, sf_dir):
-    from .registry import findings
-    return report.report_markdown(score.repo_scores(predictions(spark, sf_dir)), findings(spark, sf_dir))
-
-
 @query("report_markdown", REPORT_SQL)
 def report_markdown(spark, sf_dir):
     return reports(spark, sf_dir)

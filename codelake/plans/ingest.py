@@ -11,8 +11,8 @@ from ..sources import dump, repo_files, sinks
 from ..sources.fixtures import view
 from . import oracle as O
 from .aggregates import METRICS_SQL, vote_predictions
-from .functions import REPORT_SQL, reports
-from .registry import predictions, query
+from .functions import REPORT_SQL
+from .registry import predictions, query, reports
 
 q = dump.quote_literal
 

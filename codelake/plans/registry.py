@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import detect, explain
+from ..operators import detect, explain, report, score
+from ..session import staged
 from ..sources.fixtures import view
 from .oracle import with_tables
 
@@ -35,18 +36,31 @@ def vulnerable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).where("vulnerable").withColumn("risk_score", F.col("confidence"))
 
 
-def affected_lines(spark: SparkSession, sf_dir: str, pred: DataFrame) -> DataFrame:
-    snippets = view(spark, sf_dir, "snippets")
-    cls = explain.cls_attention(view(spark, sf_dir, "attention"))
-    return explain.top_lines(explain.line_attention(cls, snippets), pred)
+def affected_lines(spark: SparkSession, sf_dir: str, pred: DataFrame, few: bool = False) -> DataFrame:
+    """Affected lines of the given rows; with ``few`` the attention table is first cut down to them."""
+    snippets, attention = view(spark, sf_dir, "snippets"), view(spark, sf_dir, "attention")
+    if few:
+        wanted = pred.select("snippet_id")
+        snippets, attention = (t.join(wanted, "snippet_id", "left_semi") for t in (snippets, attention))
+    return explain.top_lines(explain.line_attention(explain.cls_attention(attention), snippets), pred)
 
 
-def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vulnerable predictions with affected lines and the reason sentence."""
-    pred = predictions(spark, sf_dir).where("vulnerable")
-    spans = explain.line_span(affected_lines(spark, sf_dir, pred))
+def explained(spark: SparkSession, sf_dir: str, pred: DataFrame | None = None) -> DataFrame:
+    """Vulnerable predictions, or the ``pred`` rows chosen from them, with affected lines and the reason sentence."""
+    few = pred is not None
+    pred = pred if few else predictions(spark, sf_dir).where("vulnerable")
+    spans = explain.line_span(affected_lines(spark, sf_dir, pred, few))
     return explain.with_reason(pred.join(spans, "snippet_id", "left"))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.finding_projection(explained(spark, sf_dir))
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports of all repositories: findings are ranked first and only the listed ones are explained."""
+    pred = predictions(spark, sf_dir)
+    bad = pred.where("vulnerable")
+    ranked = staged(report.top_findings(bad), "listed-findings")
+    listed = detect.finding_projection(explained(spark, sf_dir, ranked)).join(ranked.select("snippet_id", "rank"), "snippet_id")
+    return report.report_markdown(score.repo_scores(pred), listed, score.compliance_set(bad))
