@@ -62,6 +62,7 @@ def sample_size(labelled: DataFrame, max_samples: int) -> DataFrame:
 
 def balanced_sample(labelled: DataFrame, id_column: str, max_samples: int, seed: int = 42) -> DataFrame:
     """``n`` rows of each label in seeded hash order."""
+    # Two rows, one per label.
     sizes = F.broadcast(sample_size(labelled, max_samples).select(F.col("label").alias("_label"), "n"))
     sized = labelled.join(sizes, F.col("label") == F.col("_label")).drop("_label")
     return hash_rank(sized, id_column, ["label"], seed, limit=F.col("n")).drop("n")
@@ -80,7 +81,7 @@ def row_cap(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
 def stratified_split(df: DataFrame, id_column: str, test_size: float = 0.1, val_size: float = 0.1,
                      seed: int = 42) -> DataFrame:
     """Test, validation and training part per label."""
-    totals = F.broadcast(df.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("_n")))
+    totals = df.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("_n"))
     ranked = hash_rank(df, id_column, ["label"], seed).join(totals, F.col("label") == F.col("_label"))
     # Digits beyond the sixth only hold representation error of the fractions.
     test = F.ceil(F.round(F.col("_n") * test_size, 6))

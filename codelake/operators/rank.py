@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASH_BUCKETS = 4096
+# Hex digits of the hash that make a bucket: 65,536 buckets per group.
+BUCKET_DIGITS = 4
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -23,7 +24,7 @@ def hash_order_key(id_column: str, seed: int) -> Column:
 
 
 def hash_rank(df: DataFrame, id_column: str, keys: list[str] = (), seed: int = 42,
-              limit: Column | None = None, rank: str = "rank", groups_bounded: bool = True) -> DataFrame:
+              limit: Column | None = None, rank: str = "rank") -> DataFrame:
     """Exact rank of every row in seeded hash order, within ``keys`` or over all rows.
 
     A window over the whole group would put a group on one task. Here the hash prefix splits each group
@@ -31,19 +32,19 @@ def hash_rank(df: DataFrame, id_column: str, keys: list[str] = (), seed: int = 4
     the rest. With ``limit`` (a column of the group, such as a sample size) buckets past it are dropped
     before anything is sorted.
 
-    ``id_column`` must be unique. ``groups_bounded`` says that ``keys`` has few values (a label), so the
-    offsets may be broadcast.
+    ``id_column`` must be unique. The input is read twice, so give a table or a staged frame. Without
+    ``keys`` the offsets have one row per bucket and are broadcast; with keys the planner decides by size.
     """
     keys = list(keys)
     hashed = df.withColumn("_hash", hash_order_key(id_column, seed))
-    hashed = hashed.withColumn("_bucket", F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int"))
+    hashed = hashed.withColumn("_bucket", F.conv(F.substring("_hash", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     sizes = hashed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    # At most HASH_BUCKETS rows per group.
+    # At most one row per bucket and group.
     order = Window.partitionBy(*keys, F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(order), F.lit(0)))
                .select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
                        F.col("_bucket").alias("_keyb"), "_offset"))
-    if groups_bounded:
+    if not keys:
         offsets = F.broadcast(offsets)
     condition = F.col("_bucket") == F.col("_keyb")
     for i, k in enumerate(keys):
