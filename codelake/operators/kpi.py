@@ -81,14 +81,15 @@ def recent_scans(jobs: DataFrame) -> DataFrame:
 
 
 def dashboard(scores: DataFrame, jobs: DataFrame, checks: DataFrame) -> DataFrame:
-    """One row of headline figures; three one-row aggregates joined on a constant."""
-    one = F.lit(1).alias("_one")
-    a = scores.agg(F.count("*").alias("repositories"), F.sum("total_vulnerabilities").alias("vulnerabilities"),
-                   F.sum(F.round(F.col("risk_score") * 10).cast("bigint")).alias("_tenths")).select("*", one)
-    b = jobs.agg(F.sum(F.when(F.col("patch_status") == "VERIFIED", 1).otherwise(0)).cast("bigint").alias("patches")).select("*", one)
-    c = checks.agg(F.count("*").alias("_checks"), F.sum(F.when(F.col("status") == "Compliant", 1).otherwise(0))
-                   .cast("bigint").alias("_met")).select("*", one)
-    return a.join(b, "_one").join(c, "_one").select(
+    """One row of headline figures, put together from three one-row aggregates."""
+    count = lambda condition: F.sum(F.when(condition, 1).otherwise(0)).cast("bigint")
+    parts = [scores.agg(F.count("*").alias("repositories"), F.sum("total_vulnerabilities").alias("vulnerabilities"),
+                        F.sum(F.round(F.col("risk_score") * 10).cast("bigint")).alias("_tenths")),
+             jobs.agg(count(F.col("patch_status") == "VERIFIED").alias("patches")),
+             checks.agg(F.count("*").alias("_checks"), count(F.col("status") == "Compliant").alias("_met"))]
+    stacked = parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+    one = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
+    return one.select(
         "repositories", "vulnerabilities", (F.round(F.col("_tenths") / F.col("repositories")) / 10).alias("business_risk_score"),
         "patches", F.round(F.col("_met") * 100 / F.col("_checks")).cast("int").alias("compliance_percent"))
 

@@ -1,12 +1,13 @@
 """Security tables derived from the base tables by portable SQL.
 
-Each text runs unchanged in Spark and in the oracle database, so both see the same rows.
-``{name}`` stands for a base table.
+Each text runs unchanged in Spark and in the oracle database, so both see the same rows (the attention
+table is generated per row in Spark). ``{name}`` stands for a base table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .tables import read_table
 
@@ -115,8 +116,20 @@ FROM {events} CROSS JOIN (VALUES (0), (1)) AS h(head) CROSS JOIN (VALUES (0), (1
 VIEW_NAMES = tuple(VIEWS)
 
 
+def _attention(events: DataFrame) -> DataFrame:
+    """Two heads and six tokens per event, generated per row instead of joined."""
+    tokens = (events.select("event_id", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("head"))
+              .select("event_id", "head", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("token_idx")))
+    return tokens.selectExpr(
+        "event_id AS snippet_id", "head", "token_idx", "concat('t', cast(token_idx AS string)) AS token",
+        "token_idx * 4 AS tok_start", "token_idx * 4 + 3 AS tok_end",
+        "cast((event_id * 31 + head * 7 + token_idx * 13) % 97 AS double) / 97 AS weight")
+
+
 def view_on(spark: SparkSession, name: str, base: DataFrame) -> DataFrame:
     """The derived view over a given base frame (batch or streaming)."""
+    if name == "attention":
+        return _attention(base)
     base_name, text = VIEWS[name]
     return spark.sql(text, **{base_name: base})
 
