@@ -18,11 +18,13 @@ q = dump.quote_literal
 
 
 def _method_text(row):
-    """Method code made hard to split: quotes, a line that looks like an INSERT, and a line ending in ``;``."""
-    return F.concat(row, F.lit("\n-- it's\nINSERT INTO \"x\" VALUES('a');\n"))
+    """Method code made harder to split: quotes and a line ending in ``;``."""
+    return F.concat(row, F.lit("\n-- it's\nx = 'a';\n"))
 
 
-_METHOD_SQL = "code || chr(10) || '-- it''s' || chr(10) || 'INSERT INTO \"x\" VALUES(''a'');' || chr(10)"
+_METHOD_SQL = "code || chr(10) || '-- it''s' || chr(10) || 'x = ''a'';' || chr(10)"
+# A severity text that holds a whole INSERT of its own.
+_TRAP = "\n;\nINSERT INTO \"fixes\" VALUES('no','row');\n'"
 
 
 def write_dump(spark, sf_dir, path):
@@ -32,7 +34,7 @@ def write_dump(spark, sf_dir, path):
     parts = [
         t["fixes"].select(dump.insert_text("fixes", q(c("cve_id")), q(c("hash"))).alias("value")),
         t["commits"].select(dump.insert_text("commits", q(c("hash")), q(c("repo_url"))).alias("value")),
-        t["cve"].select(dump.insert_text("cve", q(c("cve_id")), c("cvss3_base_score").cast("string"), q(c("cvss3_base_severity"))).alias("value")),
+        t["cve"].select(dump.insert_text("cve", q(c("cve_id")), c("cvss3_base_score").cast("string"), q(F.concat("cvss3_base_severity", F.lit(_TRAP)))).alias("value")),
         t["method_change"].select(dump.insert_text("method_change", q(c("file_change_id")), q(_method_text(c("code"))), q(c("before_change"))).alias("value")),
         t["file_change"].select(dump.insert_text("file_change", q(c("file_change_id")), q(c("hash")), F.lit("'a''b,c.py'"), *empty,
                                                  F.lit("''"), q(c("programming_language")), F.lit("''"), F.lit("''")).alias("value")),

@@ -1,9 +1,10 @@
 """SQL dumps: statements split quote-aware over many tasks, VALUES tuples parsed in the JVM.
 
-A dump holds code text, so a line end, a ``;`` or even ``INSERT INTO`` may stand inside a quoted value. A line
-belongs to a value when an odd number of quotes precedes it. The parity of every line comes from a two-level
-running sum (per file block, then inside a block), and lines of one statement are joined by a grouped aggregate;
-no task reads a whole file.
+A dump is read in records that begin at a line-leading ``INSERT INTO``. Values hold code, so such a line (or a
+``;``) may also stand inside a quoted value; then an odd number of quotes precedes it. The parity at the start of
+each file block comes from a running sum over one small row per block. Blocks that start outside a value and hold
+no odd record, which is nearly all of them, need no shuffle: their records are complete. Only the others are
+ordered and glued. No task reads a whole file.
 """
 
 from __future__ import annotations
@@ -53,32 +54,48 @@ def file_change_fields(statement: Column) -> Column:
         F.when(enough & (language != "NULL"), language).otherwise("").alias("programming_language")))
 
 
+_START = "INSERT INTO "
+# A command up to the first ``;`` outside quotes.
+_COMMAND = r"(?:[^';]++|'[^']*+(?:'|\z))++(?:;|\z)"
+_FILE_BLOCK = ["file", "block"]
+
+
+def _glued(records: DataFrame, broken: DataFrame) -> DataFrame:
+    """Records of the blocks where a value crosses a record start, put together again.
+
+    Windows run inside one block; what earlier blocks contribute comes from one row per block.
+    """
+    inside = Window.partitionBy(*_FILE_BLOCK).orderBy("pos")
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = records.join(broken, _FILE_BLOCK)
+    before = F.coalesce(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.when((F.col("carry") + before) % 2 == 0, 1).otherwise(0)
+    marked = placed.withColumn("starts", starts).withColumn(
+        "seq", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # Records before the first start of a block continue the last command of an earlier block.
+    bases = marked.groupBy(*_FILE_BLOCK).agg(F.max("seq").alias("_n")).select(
+        *_FILE_BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("base"))
+    numbered = marked.join(bases, _FILE_BLOCK).withColumn("command", F.col("base") + F.col("seq"))
+    # One command per group, never an open-ended one.
+    return numbered.groupBy("file", "command").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("block", "pos", "value"))), lambda r: r["value"]), "\n" + _START).alias("value"))
+
+
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
     """(table, statement) for every INSERT of the dump, whatever its values contain."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(
+    records = spark.read.option("lineSep", "\n" + _START).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"), "value", _quotes(F.col("value")).alias("quotes"))
-    # One row per file block: small even for a very large dump.
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = lines.groupBy("file", "block").agg(F.sum("quotes").alias("q")).select(
-        F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(F.sum("q").over(before), F.lit(0)).alias("carry"))
-    placed = lines.join(blocks, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
-    in_block = Window.partitionBy("file", "block").orderBy("pos")
-    preceding = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    opened = (F.col("carry") + F.coalesce(F.sum("quotes").over(preceding), F.lit(0))) % 2 == 1
-    marked = placed.withColumn("start", ~opened & F.ltrim("value").rlike(r"^[A-Za-z]"))
-    marked = marked.withColumn("seq", F.sum(F.when(F.col("start"), 1).otherwise(0)).over(
-        in_block.rowsBetween(Window.unboundedPreceding, 0))).drop("_file", "_block", "carry")
-    # Lines before the first start of a block continue the last statement of an earlier block.
-    counts = marked.groupBy("file", "block").agg(F.max("seq").alias("n")).select(
-        F.col("file").alias("_file"), F.col("block").alias("_block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = (marked.join(counts, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
-                .withColumn("stmt", F.col("base") + F.col("seq")))
-    # A statement is one SQL command, never an open-ended group.
-    statements = numbered.groupBy("file", "stmt").agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("block", "pos", "value"))), lambda l: l["value"]), "\n").alias("statement"))
-    return (statements.where(F.ltrim("statement").startswith("INSERT INTO"))
-            .withColumn("statement", strip(F.col("statement")))
+        F.monotonically_increasing_id().alias("pos"), "value", (_quotes(F.col("value")) % 2).alias("odd"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = records.groupBy(*_FILE_BLOCK).agg(F.sum("odd").alias("n_odd"))
+    broken = (blocks.withColumn("carry", F.coalesce(F.sum("n_odd").over(earlier), F.lit(0)) % 2)
+              .where("n_odd > 0 or carry = 1").select(*_FILE_BLOCK, "carry"))
+    whole = records.join(broken, _FILE_BLOCK, "left_anti").select("value")
+    chunks = whole.unionByName(_glued(records, broken).select("value"))
+    # The start of a file is a preamble or keeps its own INSERT; a preamble gives a table name that is not listed.
+    text = F.when(F.startswith("value", F.lit(_START)), F.col("value")).otherwise(F.concat(F.lit(_START), "value"))
+    commands = chunks.select(F.explode(F.regexp_extract_all(text, F.lit(_COMMAND), F.lit(0))).alias("statement"))
+    return (commands.select(strip(F.col("statement")).alias("statement")).where(F.col("statement").startswith("INSERT INTO"))
             .withColumn("table", F.replace(F.regexp_extract("statement", r"^INSERT INTO\s+(\S+?)\s*(?:VALUES\b|\(|\s)", 1),
                                            F.lit('"'), F.lit(""))))
 
