@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import strip
+from ..session import staged
 
 # Quoted value, unterminated quoted rest, or unquoted run up to a comma. Possessive, so long values need no stack.
 _TOKEN = r"'[^']*+(?:''[^']*+)*+'|'[^']*+(?:''[^']*+)*+\z|[^',]++(?=,|\z)"
@@ -58,6 +59,8 @@ _START = "INSERT INTO "
 # A command up to the first ``;`` outside quotes.
 _COMMAND = r"(?:[^';]++|'[^']*+(?:'|\z))++(?:;|\z)"
 _FILE_BLOCK = ["file", "block"]
+# Up to this many broken blocks (some hundred bytes each) are sent to all tasks; more are joined by shuffle.
+BROADCAST_BLOCKS = 100_000
 
 
 def _glued(records: DataFrame, broken: DataFrame) -> DataFrame:
@@ -90,6 +93,10 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     blocks = records.groupBy(*_FILE_BLOCK).agg(F.sum("odd").alias("n_odd"))
     broken = (blocks.withColumn("carry", F.coalesce(F.sum("n_odd").over(earlier), F.lit(0)) % 2)
               .where("n_odd > 0 or carry = 1").select(*_FILE_BLOCK, "carry"))
+    # Both branches need the list, and its size decides how the text meets it.
+    broken = staged(broken, "dump-broken-blocks")
+    if broken.count() <= BROADCAST_BLOCKS:
+        broken = F.broadcast(broken)
     whole = records.join(broken, _FILE_BLOCK, "left_anti").select("value")
     chunks = whole.unionByName(_glued(records, broken).select("value"))
     # The start of a file is a preamble or keeps its own INSERT; a preamble gives a table name that is not listed.
