@@ -203,6 +203,15 @@ def patch_diff(spark, sf_dir):
         "snippet_id", code_parse.unified_diff_udf("code", "patched_code").alias("diff"))
 
 
+@query("udf_unified_diff", """SELECT snippet_id, '--- vulnerable_function.py' || chr(10) || '+++ secured_function.py' || chr(10) || '@@ -0,0 +1'
+  || CASE WHEN n = 1 THEN '' ELSE ',' || n END || ' @@' || chr(10) || list_reduce(list_transform(lines, lambda x: '+' || x || chr(10)), lambda a, b: a || b) AS diff
+ FROM (SELECT snippet_id, string_split(code, chr(10)) AS lines, len(string_split(code, chr(10))) AS n FROM snippets)""")
+def udf_unified_diff(spark, sf_dir):
+    """Diff of every snippet against an empty file."""
+    return _snippets(spark, sf_dir).select("snippet_id", code_parse.unified_diff_udf(
+        F.lit(""), F.concat("code", F.lit("\n"))).alias("diff"))
+
+
 _ML_OPINION = f"""SELECT *, CASE WHEN mlv THEN ml_prob ELSE 1e0 - ml_prob END AS ml_confidence,
   CASE WHEN mlv THEN 'CodeBERT ML detected semantic vulnerability signatures (Confidence: ' || {O.pct('ml_prob')} || ').'
   ELSE 'CodeBERT ML evaluated the code logic structure as safe (Confidence: ' || {O.pct('1e0 - ml_prob')} || ').' END AS ml_rationale,
