@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -36,11 +38,17 @@ def build_session(app: str = "codelake", master: str | None = None, **conf) -> S
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``, or a temp folder if unset."""
+    """The folder all executors can reach, named in ``spark.checkpoint.dir``.
+
+    Only a session in one process (``local``) may go without the setting and gets a temp folder of its own. On a
+    cluster each executor would write to its own disk and reading back would miss rows, so that is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root
-    root = os.environ.get("CODELAKE_SCRATCH") or tempfile.mkdtemp(prefix="codelake-")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
+    root = tempfile.mkdtemp(prefix="codelake-")
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
@@ -55,3 +63,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so that Python workers anywhere can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_codelake_shipped", False) or context.master.startswith("local"):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="codelake-")
+    context.addPyFile(shutil.make_archive(f"{folder}/codelake", "zip", os.path.dirname(here), os.path.basename(here)))
+    context._codelake_shipped = True
