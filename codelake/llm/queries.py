@@ -66,11 +66,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LEAK_SQL = r"""
 WITH words_of AS (
-  SELECT 'd' AS kind, doc_id AS id, list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+'),
-         x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM {docs}
+  SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM {docs}
   UNION ALL
-  SELECT 'b', item_id, list_transform(regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+'),
-         x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) FROM benchmark),
+  SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') FROM benchmark),
 items AS (
   SELECT id, least(10, len(w)) AS n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') AS win
   FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM words_of WHERE kind = 'b' AND len(w) > 0)),
