@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, packing, quality_rules, token_files
+from . import decontaminate, line_dedup, near_dup, packing, quality_rules, token_files
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+@query("op4_near_dup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keep")
+
+
 LINE_SQL = r"""
 WITH lines AS (
   SELECT doc_id, source, pos, line, trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS bare
