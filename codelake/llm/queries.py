@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, near_dup, packing, quality_classifier, quality_rules, token_files, url_filter
+from . import decontaminate, html_extract, line_dedup, near_dup, packing, quality_classifier, quality_rules, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "keep")
 
 
+@query("op5_html_extract")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 LINE_SQL = r"""
 WITH lines AS (
   SELECT doc_id, source, pos, line, trim(line, chr(32) || chr(9) || chr(13) || chr(11) || chr(12)) AS bare
