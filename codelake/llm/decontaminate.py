@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import offsets, utf8
+from .common import fingerprint, offsets, utf8
 
 # Lower-cases A-Z; every byte that is no word byte becomes a blank. Bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -211,7 +211,7 @@ def _result(batch: pd.DataFrame) -> pd.DataFrame:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                        item_column: str = "item_id", item_text: str = "text", width: int = WINDOW,
                        slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: its words, the words inside any occurrence of a test window, and the items concerned.
+    """One row per document (``id_column``): its words, the words inside any occurrence of a test window, and the items concerned.
 
     A window is ``width`` consecutive words of an item; a shorter item that isn't empty is one window. ``runs`` holds
     the hit words as flat start, stop pairs. Near items are those of which the three rarest words of a window stand
@@ -247,9 +247,27 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
                                                       *flat.values())
     kind = docs.schema[id_column].dataType.simpleString()
     out = hits.mapInPandas(lambda batches: (_result(b) for b in batches if len(b)), RESULT)
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind))
+    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", id_column)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest columns of the result, without spans and lists."""
     return find_contamination(docs, benchmark).drop("runs", "items", "near_items")
+
+
+# Contaminated documents are few beside the corpus; up to so many (16 bytes each) they are broadcast, beyond that joined by shuffle.
+BROADCAST_HITS = 1 << 20
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Rows and columns of the documents without a hit.
+
+    A document is known by its id and its text's fingerprint, so rows that repeat an id are judged apart.
+    """
+    keyed = docs.select(F.struct(F.col(id_column).cast("string").alias("id"), fingerprint(text_column).cast("string").alias("fp")).alias("_key"),
+                        F.col(text_column).alias("text")).select(F.to_json("_key").alias("_key"), "text")
+    hit = find_contamination(keyed, benchmark, "_key", "text").where("contaminated").select(F.from_json("_key", "id string, fp string").alias("k"))
+    hit = staged(hit.select(F.col("k.id").alias("_id"), F.col("k.fp").cast("long").alias("_fp")).distinct(), "contaminated")
+    if hit.count() <= BROADCAST_HITS:
+        hit = F.broadcast(hit)
+    return docs.join(hit, F.col(id_column).cast("string").eqNullSafe(F.col("_id")) & (fingerprint(text_column) == F.col("_fp")), "left_anti")

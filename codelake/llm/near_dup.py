@@ -306,3 +306,20 @@ def _classes(signed: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
     return named.join(found, "label").select(
         F.col("id").alias(id_column), F.col("first.id").alias("class_id"), "class_size", "fp",
         (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("fp") == F.col("first.fp"))).alias("keep"))
+
+
+def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """All columns of one document of each class; of repeated rows one stays.
+
+    Columns of ``docs`` named ``_id``, ``_fp`` or ``_copy`` aren't allowed.
+    """
+    kept = (near_duplicates(docs, id_column, text_column, threshold).where("keep")
+            .select(F.col(id_column).alias("_id"), F.col("fp").alias("_fp")).distinct())
+    if kept.count() <= BROADCAST_NODES:
+        kept = F.broadcast(kept)
+    chosen = docs.join(kept, F.col(id_column).eqNullSafe(F.col("_id")) & (fingerprint(text_column) == F.col("_fp")))
+    # Only rows that repeat with id and text need to be told apart; without any, no row is shuffled.
+    again = docs.groupBy(F.col(id_column).alias("_id"), fingerprint(text_column).alias("_fp")).agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return chosen.drop("_id", "_fp")
+    return chosen.dropDuplicates(["_id", "_fp"]).drop("_id", "_fp")
