@@ -68,7 +68,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers anywhere can import it."""
     context = spark.sparkContext
-    if getattr(context, "_codelake_shipped", False) or context.master.startswith("local"):
+    if getattr(context, "_codelake_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
     folder = tempfile.mkdtemp(prefix="codelake-")
