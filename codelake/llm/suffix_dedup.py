@@ -29,8 +29,8 @@ from .common import fingerprint, in_batches, utf8
 LENGTH, GRAM, TOKEN = 400, 64, 100
 # Texts are hashed in pieces of at most so many bytes (positions fit 21 bits), windows of several rows at once.
 PIECE = 1 << 20
-# Groups of one anchor text above this many rows go to the digests, so a task holds no more.
-GROUP_ROWS, CHUNK_ROWS = 4000, 4000
+# Groups of one anchor text above this many bytes go to the digests, so a task holds no more.
+GROUP_BYTES = 1 << 20
 # Tables by document are broadcast up to so many rows (some 50 to 200 bytes each); larger ones are joined by shuffle.
 BROADCAST_ROWS = 1 << 18
 
@@ -82,7 +82,7 @@ def segments(pieces: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tup
     begin = np.cumsum(sizes) - sizes
     text = np.frombuffer(b"".join(pieces), np.uint8)
     n = len(text)
-    if n < length:
+    if not (sizes >= length).any():
         return tuple(np.zeros(0, np.int64) for _ in range(6))
     sums, at = _sums(text), np.arange(n - gram + 1)
     grams = _hashes(sums, at, at + gram)
@@ -184,30 +184,33 @@ def _suffixes(docs: DataFrame, open_segments: DataFrame, kind: str, length: int)
     return in_batches(joined, cut, f"id {kind}, fp long, lo long, gram long, known boolean, left binary, suffix binary")
 
 
-def _search_buckets(suffixes: DataFrame, kind: str, length: int, group_rows: int) -> DataFrame:
+def _search_buckets(suffixes: DataFrame, kind: str, length: int, group_bytes: int) -> DataFrame:
     """Repeated windows found inside buckets (text null), and the rows whose anchor text may reach beyond (with text)."""
     fields = f"id {kind}, fp long, lo long, hi long, known boolean, text binary"
     columns = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         group, ready, out = [], [], []
-        state = {"gram": None, "first": True, "open": False}
+        state = {"gram": None, "first": True, "open": False, "group": 0, "ready": 0}
 
         def resolve():
             for row, flags in zip(ready, repeated([r.left + r.suffix for r in ready], length)):
                 if not row.known:
                     out.extend((row.id, row.fp, row.lo + a, row.lo + b, False, None) for a, b in _flag_runs(flags))
             ready.clear()
+            state["ready"] = 0
 
         def close(at_end: bool):
             # The first and the last anchor text of a bucket may be shared with its neighbours.
             if state["first"] or at_end or state["open"]:
                 out.extend((r.id, r.fp, r.lo, r.lo + len(r.left) + len(r.suffix) - length, r.known, r.left + r.suffix) for r in group)
             elif len(group) > 1:
-                ready.extend(group)
-                if len(ready) >= CHUNK_ROWS:
+                if state["ready"] + state["group"] > PIECE:
                     resolve()
+                ready.extend(group)
+                state["ready"] += state["group"]
             group.clear()
+            state["group"] = 0
 
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -217,7 +220,8 @@ def _search_buckets(suffixes: DataFrame, kind: str, length: int, group_rows: int
                         state["first"] = False
                     state["gram"], state["open"] = row.gram, False
                 group.append(row)
-                if len(group) >= group_rows:
+                state["group"] += len(row.left) + len(row.suffix)
+                if state["group"] >= group_bytes:
                     state["open"] = True
                     close(False)
             if len(out) >= 2000:
@@ -260,7 +264,7 @@ def _merged(intervals: list[tuple[int, int]]) -> list[int]:
 
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM,
-                   group_rows: int = GROUP_ROWS) -> DataFrame:
+                   group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per document: ``id_column``, ``n_bytes``, ``runs`` (removed byte ranges as flat start, stop pairs) and ``kept`` (the
     remaining bytes).
 
@@ -279,7 +283,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     copies = candidates.join(groups.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("id", "fp", "lo", "hi")
     mixed = groups.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     open_segments = groups.join(mixed, "gram", "left_semi").select("gram", "first.*", (F.col("n") > 1).alias("known"))
-    found = staged(_search_buckets(_suffixes(rows, open_segments, kind, length), kind, length, group_rows), "bucket-search")
+    found = staged(_search_buckets(_suffixes(rows, open_segments, kind, length), kind, length, group_bytes), "bucket-search")
     across = _search_boundaries(found.where("text IS NOT NULL").select("id", "fp", "lo", "known", "text"), kind, length)
     inside = found.where("text IS NULL").select("id", "fp", "lo", "hi")
 
