@@ -3,11 +3,11 @@
 1. Documents with equal words are one node. Five-word shingles get the weight tf x (0.9 + 0.1 x idf), with idf from the
    counts of all documents' shingles in hashed cells.
 2. Improved consistent weighted sampling gives each node one sample per hash function; bands of samples are buckets.
-3. In each bucket every node is compared with one centre, which is linear in the bucket; similarities are exact.
-4. Buckets whose nodes aren't all connected go on. Shingles that no other node of such buckets has can't be shared, and
-   their weight bounds the similarity of any pair. The node with the least of it is the second centre; what then is
-   not connected and passes the bound is compared pair by pair. So a large group of copies with scattered edits
-   doesn't turn into all its pairs, and no link is left out.
+3. Every bucket has a centre. A node is compared with the centre that it meets in most buckets; similarities are exact.
+4. Buckets whose nodes aren't all connected go on. A node is compared with the node of its buckets that has the least weight on
+   rare shingles. Pairs that share a rare shingle are few and compared next. For all other pairs of a bucket the weight of
+   rare shingles bounds the similarity; what passes the bound and isn't connected is compared. So a large group of copies
+   with scattered edits doesn't turn into all its pairs, and no link is left out.
 5. Links are joined to classes by least labels.
 """
 
@@ -29,6 +29,8 @@ from .decontaminate import words
 SHINGLE, THRESHOLD = 5, 0.8
 # A pair at the threshold shares a bucket with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.9998.
 BANDS, ROWS = 12, 3
+# A shingle that at most so many nodes of the open buckets have is rare.
+RARE = 8
 # Cells of the shingle counts, and how far idf may lower a weight.
 CELLS, DAMPING = 1 << 16, 0.1
 # Tables of nodes up to this many rows (40 bytes each) are broadcast to pick texts; larger ones are joined by shuffle.
@@ -231,13 +233,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return pd.DataFrame({"node": batch["node"], "shingles": [h.tobytes() for _, h in shingles_of(list(batch["text"]))]})
 
     sets = staged(in_batches(_texts(rows, chosen), gather, "node binary, shingles binary"), "shingles")
-    stars = shared.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    # One centre for each node: the one it meets in most buckets, and so is most alike.
+    met = shared.where("node <> centre").groupBy("node", "centre").agg(F.count("*").alias("n"))
+    stars = met.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("a")).select("a", F.col("node").alias("b"))
     links = staged(compare(stars, sets, factors, threshold), "star-links")
     labels = components(links)
-    able = _able(shared, sets, labels, factors, threshold)
-    # The second centre of a bucket is the node with the least weight of its own, then come all pairs still open.
-    for pairs_of, name in ((_second_stars, "second-links"), (_open_pairs, "last-links")):
-        more = staged(compare(pairs_of(_labelled(able, labels), threshold), sets, factors, threshold), name)
+    able, bounds, rare = _able(shared, sets, labels, factors, threshold)
+    steps = ((lambda: _second_stars(_labelled(able, labels)), "second-links"),
+             (lambda: _rare_pairs(rare, _labelled(bounds, labels), threshold), "rare-links"),
+             (lambda: _open_pairs(_labelled(able, labels), threshold), "open-links"))
+    for pairs, name in steps:
+        more = staged(compare(pairs(), sets, factors, threshold), name)
         if not more.isEmpty():
             links = links.unionByName(more)
             labels = components(links)
@@ -248,10 +254,12 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _able(shared: DataFrame, sets: DataFrame, labels: DataFrame, factors, threshold: float) -> DataFrame:
-    """Nodes of the buckets that aren't one class, with ``alone``: the weight of shingles that no other such node has.
+def _able(shared: DataFrame, sets: DataFrame, labels: DataFrame, factors, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the buckets that aren't one class need to go on.
 
-    Nodes whose ``alone`` rules out every partner are left away.
+    A shingle is rare if at most RARE nodes of such buckets have it. ``alone`` is the weight of a node's shingles that no
+    other of these nodes has, ``few`` that of all its rare ones. Two nodes without a rare shingle in common share at most
+    weight - few. Gives the bucket rows of nodes that can reach the threshold so, all nodes' bounds, and the rare shingles.
     """
     named = _labelled(shared.select("bucket", "node", "weight"), labels)
     # Per bucket the least and greatest label: they differ if the bucket isn't one class.
@@ -263,39 +271,52 @@ def _able(shared: DataFrame, sets: DataFrame, labels: DataFrame, factors, thresh
         return pd.DataFrame({"node": np.repeat(batch["node"].to_numpy(), [len(h) for h, _ in parts]),
                              "shingle": np.concatenate([h for h, _ in parts]).astype(np.int64), "w": np.concatenate([w for _, w in parts])})
 
-    wanted = open_rows.select("node").distinct()
-    singles = (in_batches(sets.join(wanted, "node"), spread, "node binary, shingle long, w double")
-               # Counts combine before the shuffle.
-               .groupBy("shingle").agg(F.count("*").alias("n"), F.first("node").alias("node"), F.first("w").alias("w")).where("n = 1")
-               .groupBy("node").agg(F.sum("w").alias("alone")))
-    return staged(open_rows.join(singles, "node", "left").withColumn("alone", F.coalesce("alone", F.lit(0.0)))
-                  .where((F.col("weight") - F.col("alone")) >= (threshold - 1e-9) * F.col("weight")), "able")
+    wanted = open_rows.select("node", "weight").distinct()
+    rows = in_batches(sets.join(wanted.select("node"), "node"), spread, "node binary, shingle long, w double")
+    # Counts combine before the shuffle, and rows of frequent shingles end at the join.
+    few = rows.groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") <= RARE)
+    rare = staged(rows.join(few, "shingle"), "rare-shingles")
+    sums = rare.groupBy("node").agg(F.sum(F.when(F.col("n") == 1, F.col("w")).otherwise(0.0)).alias("alone"), F.sum("w").alias("few"))
+    bounds = staged(wanted.join(sums, "node", "left").na.fill(0.0, ["alone", "few"]), "bounds")
+    able = bounds.where((F.col("weight") - F.col("few")) >= (threshold - 1e-9) * F.col("weight"))
+    return staged(open_rows.select("bucket", "node").join(able, "node"), "able"), bounds, rare.where("n > 1").select("shingle", "node")
 
 
-def _second_stars(able: DataFrame, threshold: float) -> DataFrame:
-    centre = able.groupBy("bucket").agg(F.min(F.struct("alone", "node", "label", "weight")).alias("c"))
-    stars = able.join(centre, "bucket").where((F.col("node") != F.col("c.node")) & (F.col("label") != F.col("c.label"))
-                                              & _reach("weight", "alone", "c.alone", threshold) & _reach("c.weight", "c.alone", "alone", threshold))
-    return stars.select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+def _second_stars(able: DataFrame) -> DataFrame:
+    """One centre for each node again: of its buckets' nodes the one with the least weight on rare shingles."""
+    centre = able.groupBy("bucket").agg(F.min(F.struct("few", "node", "label")).alias("c"))
+    stars = able.join(centre, "bucket").where((F.col("node") != F.col("c.node")) & (F.col("label") != F.col("c.label")))
+    return stars.groupBy("node").agg(F.min(F.struct("c.few", "c.node")).alias("c")).select(F.col("c.node").alias("a"), F.col("node").alias("b"))
+
+
+def _rare_pairs(rare: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame:
+    """Pairs with a rare shingle in common, at most RARE for each, that aren't connected and may reach the threshold."""
+    x, y = (bounds.select(*[F.col(c).alias(f"{k}_{c}") for c in ("node", "label", "weight", "alone")]) for k in "xy")
+    held = rare.join(bounds.where((F.col("weight") - F.col("alone")) >= (threshold - 1e-9) * F.col("weight")).select("node"), "node", "left_semi")
+    pairs = held.withColumnRenamed("node", "x_node").join(held.withColumnRenamed("node", "y_node"), "shingle").where("x_node < y_node")
+    pairs = pairs.select("x_node", "y_node").distinct().join(x, "x_node").join(y, "y_node")
+    return pairs.where((F.col("x_label") != F.col("y_label")) & _reach("x_weight", "x_alone", "y_weight", "y_alone", threshold)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
 
 def _open_pairs(able: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of a bucket that aren't connected yet and whose similarity may reach the threshold.
+    """Pairs of a bucket that aren't connected yet and whose similarity may reach the threshold without a common rare shingle.
 
     Nearly all buckets are one class by now. Within the others, the bound decides before a pair is made.
     """
-    mixed = able.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("alone").alias("least")).where("low <> high")
-    rows = able.join(mixed.select("bucket", "least"), "bucket").where(_reach("weight", "alone", "least", threshold))
-    x = rows.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "weight", "alone")])
-    y = rows.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "weight", "alone")])
+    mixed = able.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    rows = able.join(mixed, "bucket")
+    x = rows.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "weight", "few")])
+    y = rows.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "weight", "few")])
     pairs = x.join(y, "bucket").where((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label"))
-                                      & _reach("x_weight", "x_alone", "y_alone", threshold) & _reach("y_weight", "y_alone", "x_alone", threshold))
+                                      & _reach("x_weight", "x_few", "y_weight", "y_few", threshold))
     return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
-def _reach(weight: str, alone: str, other: str, threshold: float) -> Column:
-    """Common weight is at most weight - alone, and joint weight at least weight + other."""
-    return (F.col(weight) - F.col(alone)) >= (threshold - 1e-9) * (F.col(weight) + F.col(other))
+def _reach(weight: str, alone: str, other_weight: str, other_alone: str, threshold: float) -> Column:
+    """Whether the similarity may reach the threshold: neither node shares its own part, so that
+    common <= least(weight - alone) of both, and joint = weight + other weight - common."""
+    common = F.least(F.col(weight) - F.col(alone), F.col(other_weight) - F.col(other_alone))
+    return common >= (threshold - 1e-9) * (F.col(weight) + F.col(other_weight) - common)
 
 
 def _classes(signed: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
