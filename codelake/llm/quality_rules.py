@@ -22,7 +22,7 @@ BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MEASURES = ("chars_per_token", "byte_share", "entropy")
 # Bands reach so many interquartile ranges beyond the quartiles, and at least so far from the median.
-SPREAD, SLACK = 4.0, {"chars_per_token": 0.12, "byte_share": 0.05, "entropy": 1.5}
+SPREAD, SLACK = 3.0, {"chars_per_token": 0.12, "byte_share": 0.05, "entropy": 1.5}
 # A language's quartiles count as those of so many documents of the whole corpus besides its own.
 PRIOR_DOCS = 50
 # Texts of so many words at least are measured; shorter ones fail the base rules anyhow.
