@@ -80,9 +80,9 @@ def row_cap(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
 
 def stratified_split(df: DataFrame, id_column: str, test_size: float = 0.1, val_size: float = 0.1,
                      seed: int = 42) -> DataFrame:
-    """Test, validation and training part per label."""
+    """Test, validation and training part per label; rows without a label form a group of their own."""
     totals = df.groupBy(F.col("label").alias("_label")).agg(F.count("*").alias("_n"))
-    ranked = hash_rank(df, id_column, ["label"], seed).join(totals, F.col("label") == F.col("_label"))
+    ranked = hash_rank(df, id_column, ["label"], seed).join(totals, F.col("label").eqNullSafe(F.col("_label")))
     # Digits beyond the sixth only hold representation error of the fractions.
     test = F.ceil(F.round(F.col("_n") * test_size, 6))
     validation = F.ceil(F.round((F.col("_n") - F.col("_test")) * (val_size / (1.0 - test_size)), 6))

@@ -9,12 +9,18 @@ from .. import fixed
 from .rank import top_per_group
 
 
+def left_by_key(rows: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Left join on ``key`` in which rows without a key stay where they are instead of meeting in one task."""
+    keyless = rows.where(F.col(key).isNull()).withColumns({f.name: F.lit(None).cast(f.dataType) for f in other.schema if f.name != key})
+    return rows.where(F.col(key).isNotNull()).join(other, key, "left").unionByName(keyless)
+
+
 def user_repo_jobs(users: DataFrame, repositories: DataFrame, jobs: DataFrame) -> DataFrame:
     """Jobs with their user and, when they have one, their repository."""
     u = users.select(F.col("id").alias("user_id"), "email")
     r = repositories.select(F.col("id").alias("repository_id"), "repo_name", "github_repo_url",
                             F.col("user_id").alias("owner_id"))
-    return jobs.join(u, "user_id").join(r, "repository_id", "left")
+    return left_by_key(jobs.join(u, "user_id"), r, "repository_id")
 
 
 def after_deletes(users: DataFrame, repositories: DataFrame, jobs: DataFrame,
@@ -25,7 +31,7 @@ def after_deletes(users: DataFrame, repositories: DataFrame, jobs: DataFrame,
     repos_left = repositories.join(gone.withColumnRenamed("id", "user_id"), "user_id", "left_anti")
     repos_gone = repositories.join(gone.withColumnRenamed("id", "user_id"), "user_id", "left_semi")
     lost = repos_gone.select(F.col("id").alias("repository_id"), F.lit(True).alias("_lost"))
-    jobs_left = (jobs.join(lost, "repository_id", "left")
+    jobs_left = (left_by_key(jobs, lost, "repository_id")
                  .withColumn("repository_id", F.when(F.col("_lost").isNull(), F.col("repository_id"))).drop("_lost"))
     return users_left, repos_left, jobs_left
 
@@ -112,7 +118,7 @@ def states_after(events: DataFrame, before: DataFrame | None = None) -> DataFram
 def scan_authorisation(requests: DataFrame, repositories: DataFrame) -> DataFrame:
     """404 for an unknown repository, 403 for another owner's, else 200."""
     owners = repositories.select(F.col("id").alias("repository_id"), F.col("user_id").alias("owner_id"))
-    return (requests.join(owners, "repository_id", "left")
+    return (left_by_key(requests, owners, "repository_id")
             .withColumn("http_status", F.when(F.col("owner_id").isNull(), 404)
                         .when(F.col("owner_id") != F.col("user_id"), 403).otherwise(200)))
 
@@ -125,7 +131,7 @@ def webhook_route(payloads: DataFrame, repositories: DataFrame) -> DataFrame:
     """Registered repository of each payload; a missing or unknown URL is answered, not failed."""
     registry = repositories.select(F.col("github_repo_url").alias("html_url"), F.col("id").alias("repository_id"),
                                    F.col("user_id").alias("owner_id"))
-    return (payloads.withColumn("html_url", webhook_url(F.col("payload"))).join(registry, "html_url", "left")
+    return (left_by_key(payloads.withColumn("html_url", webhook_url(F.col("payload"))), registry, "html_url")
             .withColumn("message", F.when(F.coalesce(F.col("html_url"), F.lit("")) == "", "No repository URL in payload")
                         .when(F.col("repository_id").isNull(), "Repository not registered").otherwise("Accepted")))
 

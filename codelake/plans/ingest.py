@@ -23,13 +23,14 @@ def _method_text(row):
 
 
 _METHOD_SQL = "code || chr(10) || '-- it''s' || chr(10) || 'x = ''a'';' || chr(10)"
+_COMMENT = "\n-- that's a note; /* it's not a value\n/* and one that isn't\n   over yet */"
 # A severity text that holds a whole INSERT of its own.
 _TRAP = "\n;\nINSERT INTO \"fixes\" VALUES('no','row');\n'"
 
 
 def write_dump(spark, sf_dir, path):
     c = F.col
-    t = {n: view(spark, sf_dir, f"cvefixes_{n}") for n in ("fixes", "commits", "cve", "method_change", "file_change")}
+    t = {n: view(spark, sf_dir, f"cvefixes_{n}") for n in ("fixes", "commits", "cve", "cwe_classification", "method_change", "file_change")}
     empty = [F.lit("''")] * 10
     parts = [
         t["fixes"].select(dump.insert_text("fixes", q(c("cve_id")), q(c("hash"))).alias("value")),
@@ -38,6 +39,9 @@ def write_dump(spark, sf_dir, path):
         t["method_change"].select(dump.insert_text("method_change", q(c("file_change_id")), q(_method_text(c("code"))), q(c("before_change"))).alias("value")),
         t["file_change"].select(dump.insert_text("file_change", q(c("file_change_id")), q(c("hash")), F.lit("'a''b,c.py'"), *empty,
                                                  F.lit("''"), q(c("programming_language")), F.lit("''"), F.lit("''")).alias("value")),
+        t["cwe_classification"].select(F.concat(dump.insert_text("cwe_classification", q(c("cve_id")), q(c("cwe_id"))), F.lit(_COMMENT)).alias("value")),
+        t["cwe_classification"].select("cwe_id").distinct().select(dump.insert_text("cwe", q(c("cwe_id")), q(F.concat(F.lit("it's "), "cwe_id"))).alias("value")),
+        t["commits"].select("repo_url").distinct().select(F.concat(F.lit(_COMMENT[1:] + "\n"), dump.insert_text("repository", q(c("repo_url")))).alias("value")),
         # A table outside the list, and a row with too few values.
         t["commits"].select(dump.insert_text("users", q(c("hash"))).alias("value")),
         t["cve"].select(dump.insert_text("cve", q(c("cve_id"))).alias("value")),
@@ -48,19 +52,35 @@ def write_dump(spark, sf_dir, path):
     lines.write.mode("overwrite").text(path)
 
 
-WIDTHS = {"fixes": 2, "commits": 2, "cve": 3, "method_change": 3, "file_change": 17}
+WIDTHS = {"fixes": 2, "commits": 2, "cve": 3, "cwe_classification": 2, "cwe": 2, "repository": 1, "method_change": 3, "file_change": 17}
+_TRAP_SQL = " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in _TRAP.split("\n"))
 
 
-@query("dump_ingest", """SELECT 'fixes' AS source_table, 'loaded' AS outcome, count(*) AS n FROM cvefixes_fixes UNION ALL SELECT 'commits', 'loaded', count(*) FROM cvefixes_commits
- UNION ALL SELECT 'cve', 'loaded', count(*) FROM cvefixes_cve UNION ALL SELECT 'cve', 'quarantined', count(*) FROM cvefixes_cve
- UNION ALL SELECT 'method_change', 'loaded', count(*) FROM cvefixes_method_change UNION ALL SELECT 'file_change', 'loaded', count(*) FROM cvefixes_file_change""")
+def _loaded(table, *values, outcome="loaded", source=None):
+    padded = [*values, *["NULL"] * (4 - len(values))]
+    columns = ", ".join(f"CAST({v} AS VARCHAR) AS v{i}" for i, v in enumerate(padded, 1))
+    return f"SELECT '{table}' AS source_table, '{outcome}' AS outcome, {columns} FROM {source or 'cvefixes_' + table}"
+
+
+@query("dump_ingest", " UNION ALL ".join([
+    _loaded("fixes", "cve_id", "hash"), _loaded("commits", "hash", "repo_url"),
+    _loaded("cve", "cve_id", "cvss3_base_score", f"cvss3_base_severity || {_TRAP_SQL}"),
+    _loaded("cve", "'INSERT INTO \"cve\" VALUES(''' || cve_id || ''');'", outcome="quarantined"),
+    _loaded("cwe_classification", "cve_id", "cwe_id"),
+    _loaded("cwe", "cwe_id", "'it''s ' || cwe_id", source="(SELECT DISTINCT cwe_id FROM cvefixes_cwe_classification)"),
+    _loaded("repository", "repo_url", source="(SELECT DISTINCT repo_url FROM cvefixes_commits)"),
+    _loaded("method_change", "file_change_id", f"coalesce({_METHOD_SQL}, 'NULL')", "before_change"),
+    _loaded("file_change", "file_change_id", "hash", "'a''b,c.py'", "coalesce(programming_language, '')")]))
 def dump_ingest(spark, sf_dir):
+    """All tables of a dump with their values, and the rows that are kept apart."""
     path, tables = scratch_path(spark, "dump"), scratch_path(spark, "dump-tables")
     write_dump(spark, sf_dir, path)
     dump.ingest(spark, path, WIDTHS).write.mode("overwrite").partitionBy("good", "table").parquet(tables)
     stored = spark.read.schema("tokens array<string>, statement string, good boolean, table string").parquet(tables)
     outcome = F.when(F.col("good"), "loaded").otherwise("quarantined")
-    return stored.groupBy(F.col("table").alias("source_table"), outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    first = F.when(F.col("good"), F.get("tokens", F.lit(0))).otherwise(F.col("statement"))
+    return stored.select(F.col("table").alias("source_table"), outcome.alias("outcome"), first.alias("v1"),
+                         *[F.get("tokens", F.lit(i - 1)).alias(f"v{i}") for i in (2, 3, 4)])
 
 
 _ROUND_TRIP = f"""SELECT file_change_id, 3 AS n_tokens, coalesce({_METHOD_SQL}, 'NULL') AS code, before_change FROM cvefixes_method_change"""
@@ -103,7 +123,9 @@ def dump_file_change_prune(spark, sf_dir):
 
 
 @query("allowed_tables", """SELECT 'cve' AS source_table, 2 * count(*) AS n FROM cvefixes_cve UNION ALL SELECT 'commits', count(*) FROM cvefixes_commits
- UNION ALL SELECT 'fixes', count(*) FROM cvefixes_fixes UNION ALL SELECT 'method_change', count(*) FROM cvefixes_method_change UNION ALL SELECT 'file_change', count(*) FROM cvefixes_file_change""")
+ UNION ALL SELECT 'fixes', count(*) FROM cvefixes_fixes UNION ALL SELECT 'method_change', count(*) FROM cvefixes_method_change UNION ALL SELECT 'file_change', count(*) FROM cvefixes_file_change
+ UNION ALL SELECT 'cwe_classification', count(*) FROM cvefixes_cwe_classification UNION ALL SELECT 'cwe', count(DISTINCT cwe_id) FROM cvefixes_cwe_classification
+ UNION ALL SELECT 'repository', count(DISTINCT repo_url) FROM cvefixes_commits""")
 def allowed_tables(spark, sf_dir):
     path = scratch_path(spark, "dump")
     write_dump(spark, sf_dir, path)
@@ -124,7 +146,7 @@ def repo_file_scan(spark, sf_dir):
 def repo_py_scan(spark, sf_dir):
     root = scratch_path(spark, "repos")
     repo_files.write_repo_files(view(spark, sf_dir, "snippets"), root)
-    files = repo_files.scan_py_files(spark, f"{root}/Python", "txt")
+    files = repo_files.scan_py_files(spark, f"{root}/language=Python", "txt")
     return files.groupBy(F.regexp_extract("file_path", r"repo_id=(\d+)", 1).cast("bigint").alias("repo_id")).agg(
         F.sum(F.length("code")).cast("bigint").alias("n_chars"))
 

@@ -56,11 +56,50 @@ def file_change_fields(statement: Column) -> Column:
 
 
 _START = "INSERT INTO "
-# A command up to the first ``;`` outside quotes.
-_COMMAND = r"(?:[^';]++|'[^']*+(?:'|\z))++(?:;|\z)"
+# Whole comments and quoted values; what they leave holds a quote only if a value is still open.
+_CLOSED = r"(?s)--[^\n]*+|/\*.*?(?:\*/|\z)|'[^']*+(?:''[^']*+)*+'"
+# A command up to the first ``;`` outside quotes and comments.
+_COMMAND = r"(?:--[^\n]*+|(?s:/\*.*?(?:\*/|\z))|'[^']*+(?:'|\z)|[^';/\-]++|[/\-])++(?:;|\z)"
+_COMMENTS = r"^(?:\s++|--[^\n]*+|(?s:/\*.*?(?:\*/|\z)))++"
 _FILE_BLOCK = ["file", "block"]
-# Up to this many broken blocks (some hundred bytes each) are sent to all tasks; more are joined by shuffle.
-BROADCAST_BLOCKS = 100_000
+
+
+def _open_after(text: Column) -> Column:
+    """1 if a quoted value is open at the end of a text that starts outside of one. Quotes in comments don't count."""
+    return F.contains(F.regexp_replace(text, _CLOSED, ""), F.lit("'")).cast("int")
+
+
+def _state_before(keys: list[str], order: str, start: Column) -> tuple[Column, Column]:
+    """Whether a value is open before each row, from what the rows before do to the state.
+
+    A row keeps the state, swaps it (out 1, in 0) or sets it (out = in). So the state is that of the last row that sets it
+    (else ``start``), swapped as often as rows have swapped it since.
+    """
+    to_here = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    swaps = F.sum(F.when((F.col("out") == 1) & (F.col("in") == 0), 1).otherwise(0)).over(to_here)
+    # Swaps up to the current row, and what a setting row adds: its own count and value.
+    sets = F.col("out") == F.col("in")
+    last = F.last(F.when(sets, F.col("out")), ignorenulls=True).over(before)
+    at_last = F.last(F.when(sets, F.col("_swaps")), ignorenulls=True).over(before)
+    since = F.coalesce(F.last("_swaps").over(before), F.lit(0)) - F.coalesce(at_last, F.lit(0))
+    return swaps, (F.coalesce(last, start) + since) % 2
+
+
+def _with_state(rows: DataFrame, keys: list[str], order: str, start: Column, name: str) -> DataFrame:
+    swaps, state = _state_before(keys, order, start)
+    return rows.withColumn("_swaps", swaps).withColumn(name, state).drop("_swaps")
+
+
+def _block_states(records: DataFrame) -> DataFrame:
+    """Blocks that start inside a value or hold a record that ends inside one, with ``carry``, the state at their start."""
+    # What a block does as a whole: its few records that don't keep the state, folded in order.
+    odd = F.sort_array(F.collect_list(F.when((F.col("out") != 0) | (F.col("in") != 1), F.struct("pos", "out", "in"))))
+    fold = F.aggregate(odd, F.struct(F.lit(0).alias("out"), F.lit(1).alias("in")), lambda acc, r: F.struct(
+        F.when(acc["out"] == 0, r["out"]).otherwise(r["in"]).alias("out"), F.when(acc["in"] == 0, r["out"]).otherwise(r["in"]).alias("in")))
+    blocks = records.groupBy(*_FILE_BLOCK).agg(F.max("out").alias("opens"), fold.alias("f"))
+    placed = _with_state(blocks.select(*_FILE_BLOCK, "opens", "f.*"), ["file"], "block", F.lit(0), "carry")
+    return placed.where("carry = 1 OR opens = 1").select(*_FILE_BLOCK, "carry")
 
 
 def _glued(records: DataFrame, broken: DataFrame) -> DataFrame:
@@ -68,13 +107,11 @@ def _glued(records: DataFrame, broken: DataFrame) -> DataFrame:
 
     Windows run inside one block; what earlier blocks contribute comes from one row per block.
     """
-    inside = Window.partitionBy(*_FILE_BLOCK).orderBy("pos")
+    inside = Window.partitionBy(*_FILE_BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = records.join(broken, _FILE_BLOCK)
-    before = F.coalesce(F.sum("odd").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.when((F.col("carry") + before) % 2 == 0, 1).otherwise(0)
-    marked = placed.withColumn("starts", starts).withColumn(
-        "seq", F.sum("starts").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    placed = _with_state(records.join(broken, _FILE_BLOCK), _FILE_BLOCK, "pos", F.col("carry"), "open")
+    # Read twice below: once for the blocks' counts.
+    marked = staged(placed.withColumn("seq", F.sum(1 - F.col("open")).over(inside)).select(*_FILE_BLOCK, "pos", "seq", "value"), "dump-records")
     # Records before the first start of a block continue the last command of an earlier block.
     bases = marked.groupBy(*_FILE_BLOCK).agg(F.max("seq").alias("_n")).select(
         *_FILE_BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("base"))
@@ -85,24 +122,25 @@ def _glued(records: DataFrame, broken: DataFrame) -> DataFrame:
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """(table, statement) for every INSERT of the dump, whatever its values contain."""
+    """(table, statement) for every INSERT of the dump, whatever its values and comments contain.
+
+    A file that ends inside a value (cut off, say) gives the rest from there as one statement, which an import then finds
+    bad and keeps; other files aren't concerned. A compressed file is one block.
+    """
+    value = F.col("value")
     records = spark.read.option("lineSep", "\n" + _START).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("pos"), "value", (_quotes(F.col("value")) % 2).alias("odd"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = records.groupBy(*_FILE_BLOCK).agg(F.sum("odd").alias("n_odd"))
-    broken = (blocks.withColumn("carry", F.coalesce(F.sum("n_odd").over(earlier), F.lit(0)) % 2)
-              .where("n_odd > 0 or carry = 1").select(*_FILE_BLOCK, "carry"))
-    # Both branches need the list, and its size decides how the text meets it.
-    broken = staged(broken, "dump-broken-blocks")
-    if broken.count() <= BROADCAST_BLOCKS:
-        broken = F.broadcast(broken)
+        F.monotonically_increasing_id().alias("pos"), "value", _open_after(value).alias("out"),
+        # A text that starts inside a value is one with a quote before it.
+        _open_after(F.concat(F.lit("'"), value)).alias("in"))
+    broken = staged(_block_states(records), "dump-broken-blocks")
     whole = records.join(broken, _FILE_BLOCK, "left_anti").select("value")
     chunks = whole.unionByName(_glued(records, broken).select("value"))
     # The start of a file is a preamble or keeps its own INSERT; a preamble gives a table name that is not listed.
-    text = F.when(F.startswith("value", F.lit(_START)), F.col("value")).otherwise(F.concat(F.lit(_START), "value"))
+    bare = F.regexp_replace("value", _COMMENTS, "")
+    text = F.when(F.startswith(bare, F.lit(_START)), bare).otherwise(F.concat(F.lit(_START), "value"))
     commands = chunks.select(F.explode(F.regexp_extract_all(text, F.lit(_COMMAND), F.lit(0))).alias("statement"))
-    return (commands.select(strip(F.col("statement")).alias("statement")).where(F.col("statement").startswith("INSERT INTO"))
+    return (commands.select(strip(F.regexp_replace("statement", _COMMENTS, "")).alias("statement")).where(F.col("statement").startswith("INSERT INTO"))
             .withColumn("table", F.replace(F.regexp_extract("statement", r"^INSERT INTO\s+(\S+?)\s*(?:VALUES\b|\(|\s)", 1),
                                            F.lit('"'), F.lit(""))))
 
@@ -119,17 +157,31 @@ def statement_values(statement: Column) -> Column:
 def ingest(spark: SparkSession, path: str, widths: dict[str, int]) -> DataFrame:
     """Rows of a dump: ``table``, ``good``, ``tokens`` and, for bad rows only, the ``statement`` text.
 
-    A row is bad when its number of values differs from the table's ``widths`` entry. Written partitioned by
+    A row is bad when its number of values differs from the table's ``widths`` entry; of a table without entry any number
+    is good. ``file_change`` rows are cut to the four fields that are used while they are read. Written partitioned by
     ``good`` and ``table``, one pass gives all tables and the quarantine.
     """
-    width = F.coalesce(*[F.when(F.col("table") == t, n) for t, n in widths.items()])
+    width = F.coalesce(*[F.when(F.col("table") == t, n) for t, n in widths.items()], F.size("tokens"))
+    change = file_change_fields(F.col("statement"))
+    kept = F.array(*[change[c] for c in ("file_change_id", "hash", "filename", "programming_language")])
     parsed = (allowed_only(read_statements(spark, path))
               .withColumn("tokens", parse_values(statement_values(F.col("statement"))))
-              .withColumn("good", F.coalesce(F.size("tokens") == width, F.lit(False))))
+              .withColumn("good", F.coalesce(F.size("tokens") == width, F.lit(False)) & (F.size("tokens") > 0))
+              .withColumn("tokens", F.when(F.col("table") == "file_change", kept).otherwise(F.col("tokens"))))
     return parsed.select("table", "good", F.when(F.col("good"), F.col("tokens")).alias("tokens"),
                          F.when(~F.col("good"), F.col("statement")).alias("statement"))
 
 
+def typed(rows: DataFrame, table: str, schema: str) -> DataFrame:
+    """Good rows of one table with named and typed columns (``name type, ...`` in the order of the values).
+
+    The text ``NULL`` is null, and so is what doesn't read as its type.
+    """
+    fields = [f.split() for f in schema.split(", ")]
+    tokens = rows.where(F.col("good") & (F.col("table") == table))
+    return tokens.select(*[F.nullif(F.get("tokens", F.lit(i)), F.lit("NULL")).try_cast(kind).alias(name) for i, (name, kind) in enumerate(fields)])
+
+
 def quote_literal(col: Column) -> Column:
     """A value as SQL text; null becomes NULL."""
     return F.coalesce(F.concat(F.lit("'"), F.replace(col.cast("string"), F.lit("'"), F.lit("''")), F.lit("'")), F.lit("NULL"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,18 @@ from ..functions.text import is_blank, path_excluded, path_extension
 
 
 def _relative(path: Column, root: str) -> Column:
-    """Path below the scanned root; only this part decides about hidden folders."""
+    """Path below the scanned root; only this part decides about hidden folders.
+
+    Both are compared decoded and without scheme and host, and the root is cut off in front only.
+    """
     clean = F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:(//[^/]*)?", ""), "^/+", "/")
-    bare = "/" + root.split("://", 1)[-1].split(":", 1)[-1].strip("/") + "/"
-    return F.replace(clean, F.lit(bare), F.lit(""))
+    bare = "/" + re.sub("^[a-z0-9]+:(//[^/]*)?", "", root).strip("/") + "/"
+    return F.when(F.startswith(clean, F.lit(bare)), F.substring(clean, F.lit(len(bare) + 1), F.length(clean))).otherwise(clean)
+
+
+def _decoded(path: Column) -> Column:
+    """File metadata has percent-encoded paths; a plus sign is no blank there."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def _any_case(ext: str) -> str:
@@ -39,7 +49,7 @@ def scan_repo_files(spark: SparkSession, root: str, extensions: list[tuple[str,
     names = ",".join(_any_case(ext) for ext, _ in extensions)
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", "*.{" + names + "}").load(root)
-             .where(~path_excluded(_relative(F.col("_metadata.file_path"), root))))
+             .where(~path_excluded(_relative(_decoded(F.col("_metadata.file_path")), root))))
     ext = path_extension(F.col("file_path"))
     language = F.coalesce(*[F.when(ext == e, name) for e, name in extensions])
     return (files.withColumn("file_path", _relative(F.col("path"), root))
@@ -49,7 +59,7 @@ def scan_repo_files(spark: SparkSession, root: str, extensions: list[tuple[str,
 def scan_py_files(spark: SparkSession, root: str, suffix: str = "py") -> DataFrame:
     """Non-blank ``.py`` files outside dot folders; undecodable bytes stay visible as replacements."""
     folders = lambda p: F.split(F.regexp_replace(p, "/?[^/]*$", ""), "/")
-    hidden = F.exists(folders(_relative(F.col("_metadata.file_path"), root)), lambda d: F.startswith(d, F.lit(".")))
+    hidden = F.exists(folders(_relative(_decoded(F.col("_metadata.file_path")), root)), lambda d: F.startswith(d, F.lit(".")))
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", f"*.{suffix}").load(root).where(~hidden))
     return (files.select(_relative(F.col("path"), root).alias("file_path"), decode_replace(F.col("content")).alias("code"))
@@ -57,19 +67,24 @@ def scan_py_files(spark: SparkSession, root: str, suffix: str = "py") -> DataFra
 
 
 FILE_RECORDS = 10000
+LANGUAGES = sorted({name for _, name in fixed.EXTENSIONS})
 
 
-def write_repo_files(snippets: DataFrame, root: str) -> None:
-    """Snippets as text files, one folder per language and repository.
+def write_repo_files(snippets: DataFrame, root: str, languages: list[str] | None = None) -> None:
+    """Snippets as text files, one folder per language and repository bucket of a language.
 
-    Files are cut after ``FILE_RECORDS`` snippets, so a large repository gets many files, not a large one.
+    Files are cut after ``FILE_RECORDS`` snippets, so a large repository gets many files, not a large one. ``languages``
+    (all supported ones if not given) are the folders that ``scan_written`` looks for; others go to ``Other``.
     """
-    for name in ("Python", "JavaScript"):
-        (snippets.where(F.col("language") == name).select("repo_id", "code").write.mode("overwrite")
-         .option("maxRecordsPerFile", FILE_RECORDS).partitionBy("repo_id").text(f"{root}/{name}"))
+    names = languages or LANGUAGES
+    language = F.when(F.col("language").isin(names), F.col("language")).otherwise(F.lit("Other"))
+    (snippets.select("repo_id", "code", F.regexp_replace(language, "[^A-Za-z0-9]", "-").alias("language")).write.mode("overwrite")
+     .option("maxRecordsPerFile", FILE_RECORDS).partitionBy("language", "repo_id").text(root))
 
 
-def scan_written(spark: SparkSession, root: str) -> DataFrame:
+def scan_written(spark: SparkSession, root: str, languages: list[str] | None = None) -> DataFrame:
     """Read back what ``write_repo_files`` wrote; Spark names text files ``.txt``, so the folder gives the language."""
-    parts = [scan_repo_files(spark, f"{root}/{name}", [("txt", name)]) for name in ("Python", "JavaScript")]
-    return parts[0].unionByName(parts[1])
+    names = {re.sub("[^A-Za-z0-9]", "-", name): name for name in (languages or LANGUAGES)}
+    folder = F.regexp_extract("file_path", "(?:^|/)language=([^/]+)/", 1)
+    language = F.coalesce(*[F.when(folder == f, name) for f, name in names.items()], folder)
+    return scan_repo_files(spark, root, [("txt", "Other")]).withColumn("language", language)

@@ -25,23 +25,9 @@ SCHEMAS = {
 }
 
 
-# Unique keys of the tables whose rows are costly to compute on.
-SPREAD_KEYS = {"events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"], "orders": ["o_orderkey"],
-               "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
-# A file below this size is one split and so one task; above the upper bound a table has enough splits of its own.
-SPREAD_BYTES = (1 << 20, 128 << 20)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table. A table of one small file is spread over the cores; larger ones are read as they lie."""
-    table = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
-    if name not in SPREAD_KEYS:
-        return table
-    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = spark.sparkContext.defaultParallelism
-    if not SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1] or len(table.inputFiles()) >= cores:
-        return table
-    return table.repartition(cores, *SPREAD_KEYS[name])
+    """A base table, read as it lies; ``spark.sql.files.maxPartitionBytes`` sets the size of a task's share."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int],

@@ -88,3 +88,33 @@ def test_csv_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, 'a "quoted", line\nnext'), (2, None)], "id int, text string")
     sinks.write_csv(rows, str(tmp_path / "csv"))
     assert sorted(sinks.read_csv(spark, str(tmp_path / "csv"), "id int, text string").collect()) == sorted(rows.collect())
+
+
+COMMENTED = ["-- dump of the project's history", "/* it's a\n   block */", "INSERT INTO cve VALUES('a','--no comment');", "-- don't; INSERT INTO cve VALUES('x','y');",
+             "INSERT INTO cve VALUES('b','it''s\n-- ''quoted''\nINSERT INTO cve VALUES(''no'',''row'');'); -- it's done", "INSERT INTO cve VALUES('c','/* open');"]
+
+
+@pytest.mark.parametrize("block", ["40", "100", "1000000"])
+def test_apostrophes_in_comments(spark, tmp_path, block):
+    """Quotes in comments open no value, comment marks in values open no comment, and a file that is cut off harms no other."""
+    lines = COMMENTED + [f"INSERT INTO cve VALUES('n{i}','x');\n-- it's row {i}" for i in range(50)]
+    (tmp_path / "a.sql").write_text("\n".join(lines) + "\n-- that's all")
+    (tmp_path / "b.sql").write_text("INSERT INTO cve VALUES('d','x');\nINSERT INTO cve VALUES('e','cut off")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        rows = dump.ingest(spark, str(tmp_path), {"cve": 2}).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = {"a": "--no comment", "b": "it's\n-- 'quoted'\nINSERT INTO cve VALUES('no','row');", "c": "/* open", "d": "x"} | {f"n{i}": "x" for i in range(50)}
+    assert {r.tokens[0]: r.tokens[1] for r in rows if r.good} == want
+    assert [r.statement for r in rows if not r.good] == ["INSERT INTO cve VALUES('e','cut off"]
+
+
+def test_typed_tables(spark, tmp_path):
+    (tmp_path / "d.sql").write_text("INSERT INTO repository VALUES('u',NULL,'3','x');\nINSERT INTO file_change VALUES('1','h','f.py','o','d',NULL,'Go','','');\n")
+    rows = dump.ingest(spark, str(tmp_path / "d.sql"), {"repository": 4, "file_change": 9})
+    assert dump.typed(rows, "repository", "url string, note string, stars int, n int").collect() == [("u", None, 3, None)]
+    assert dump.typed(rows, "file_change", "id string, hash string, filename string, programming_language string").collect() == [("1", "h", "f.py", "Go")]
