@@ -150,7 +150,7 @@ def token_vectors(pages: DataFrame) -> DataFrame:
     Kind 0 is the host itself, 1 a structure token, 2 a block of text (by hash), 3 the text under a path.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             total: dict = {}
 
             def add(key, n, page, chars=0):
@@ -277,7 +277,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
         joined = salted.join(dealt, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("salt_h")), "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             sets: dict = {}
             texts = []
             for host, html, slot, fixed in zip(batch["host"], batch["html"], batch["slot"], batch["fixed"]):

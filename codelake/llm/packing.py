@@ -53,7 +53,7 @@ def token_lengths(docs: DataFrame, id_column: str, text_column: str, model_path:
     """Tokens of each document by the public vocabulary, word by word, with one end token."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokens = word_tokens(model_path)
-        for batch in batches:
+        for batch in filter(len, batches):
             split = [text.split() for text in batch["text"]]
             words = list({w for ws in split for w in ws})
             size = dict(zip(words, map(len, tokens.of(words)))).__getitem__

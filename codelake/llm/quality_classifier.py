@@ -217,7 +217,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chosen = _Chosen(table.value)
-        for batch in batches:
+        for batch in filter(len, batches):
             got = _scores(batch["text"], chosen)
             ratio = [a * got[k] + b - prior for k, (a, b, prior) in enumerate(fits)]
             yield batch.drop(columns="text").assign(quality_evidence=ratio[0], toxic_evidence=ratio[1])

@@ -103,7 +103,8 @@ def page_words(pages: DataFrame, html_column: str, share: float = WORD_SHARE) ->
             if len(total) > 200_000:
                 yield _frame(total)
                 total = Counter()
-        yield _frame(total)
+        if total:  # a frame without rows has no types
+            yield _frame(total)
 
     def _frame(total: Counter) -> pd.DataFrame:
         return pd.DataFrame({"word": [w.decode() for w in total], "n": list(total.values())})
@@ -137,7 +138,8 @@ def fit(pages: DataFrame, url_column: str, words: dict[str, int], unwanted: list
             if len(total) > 200_000:
                 yield _frame(total)
                 total = Counter()
-        yield _frame(total)
+        if total:  # a frame without rows has no types
+            yield _frame(total)
 
     def _frame(total: Counter) -> pd.DataFrame:
         return pd.DataFrame({"token": [t for t, _ in total], "block": [n if b else 0 for (_, b), n in total.items()],
@@ -169,7 +171,7 @@ def judge_urls(pages: DataFrame, id_column: str = "page_id", url_column: str = "
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segmenter, odds = Segmenter(shared.value[0]), shared.value[1]
-        for batch in batches:
+        for batch in filter(len, batches):
             out = []
             for url in batch["url"]:
                 host, path = split_url(url)
