@@ -106,6 +106,8 @@ def _rows(**fields) -> T.ArrayType:
     return T.ArrayType(T.StructType([T.StructField(name, kind) for name, kind in fields.items()]))
 
 
+# Bytes of file text in one batch for Python.
+FILE_BATCH_BYTES = 16 << 20
 _S, _I = T.StringType(), T.IntegerType()
 FUNCTION_TYPE = _rows(name=_S, source=_S, line_number=_I)
 AST_TYPE = _rows(rule_id=_S, category=_S, severity=_S, line_number=_I, column_start=_I, column_end=_I, snippet=_S, message=_S,
@@ -140,8 +142,12 @@ def unified_diff_udf(original: pd.Series, patched: pd.Series) -> pd.Series:
 
 
 def explode_functions(files: DataFrame, code: str = "code", language: str = "language") -> DataFrame:
-    """One row per function of each file; the file text itself is dropped."""
-    return (files.withColumn("_f", F.explode(source_functions_udf(F.col(code), F.col(language))))
+    """One row per function of each file with its place in it; the file text itself is dropped.
+
+    Whole files cross into Python, so the batches are bounded by bytes.
+    """
+    files.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(FILE_BATCH_BYTES))
+    return (files.select("*", F.posexplode(source_functions_udf(F.col(code), F.col(language))).alias("function_place", "_f"))
             .withColumns({"function_name": F.col("_f.name"), "source": F.col("_f.source"),
                           "line_number": F.col("_f.line_number")}).drop("_f", code))
 

@@ -40,16 +40,20 @@ def confidence_units(column: str = "risk_score") -> Column:
     return F.round(F.coalesce(F.col(column), F.lit(1.0)) * 10000).cast("bigint")
 
 
-def scan_summary(pred: DataFrame, key: str = "repo_id", file: str = "file_path") -> DataFrame:
+def scan_summary(pred: DataFrame, key: str = "repo_id", file: str = "file_path", files: DataFrame | None = None) -> DataFrame:
     """One row per repository: files, functions, findings, severities and the confidence sum.
 
     Files are counted over rows first grouped by (repository, file), which keeps the distinct count
-    inside the same two-step aggregate.
+    inside the same two-step aggregate. ``files`` has all scanned files; those without a function count too.
     """
     bad = F.col("vulnerable")
     per_file = pred.groupBy(key, file).agg(
         F.count("*").alias("_functions"), _count(bad).alias("_findings"), *severity_aggregates(bad),
         F.sum(F.when(bad, confidence_units("confidence")).otherwise(0)).alias("_units"))
+    if files is not None:
+        counts = [c for c in per_file.columns if c not in (key, file)]
+        empty = files.select(key, file, *[F.lit(0).cast("bigint").alias(c) for c in counts])
+        per_file = per_file.unionByName(empty).groupBy(key, file).agg(*[F.sum(c).alias(c) for c in counts])
     return per_file.groupBy(key).agg(
         F.count("*").alias("files_scanned"), F.sum("_functions").alias("functions_scanned"),
         F.sum("_findings").alias("total_vulnerabilities"),
@@ -96,8 +100,8 @@ def with_scores(summary: DataFrame) -> DataFrame:
                 functions > 0, F.round(n / F.nullif(functions, F.lit(0)) * 100, 2)).otherwise(0.0)))
 
 
-def repo_scores(pred: DataFrame, key: str = "repo_id", file: str = "file_path") -> DataFrame:
-    return with_scores(scan_summary(pred, key, file))
+def repo_scores(pred: DataFrame, key: str = "repo_id", file: str = "file_path", files: DataFrame | None = None) -> DataFrame:
+    return with_scores(scan_summary(pred, key, file, files))
 
 
 def compliance_set(findings: DataFrame, key: str = "repo_id") -> DataFrame:

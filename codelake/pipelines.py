@@ -13,15 +13,24 @@ from .operators import dataset, detect, explain, ml, report, score
 from .session import staged
 
 
-def scan(files: DataFrame, repo: str = r"^([^/]+)/", score_functions: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+REPO = r"^([^/]+)/"
+
+
+def scanned_files(files: DataFrame, repo: str = REPO) -> DataFrame:
+    """Repository and path of all files, with or without functions."""
+    return files.select(F.regexp_extract("file_path", repo, 1).alias("repo_id"), "file_path")
+
+
+def scan(files: DataFrame, repo: str = REPO, score_functions: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Predictions for every function of the given files (``file_path``, ``language``, ``code``).
 
     ``repo`` is a pattern whose first group names the repository in a path. ``score_functions`` adds ``ml_prob`` to a
-    frame with ``code``; without it only the static rules decide.
+    frame with ``code``; without it only the static rules decide. ``snippet_id`` orders functions as they stand: by path,
+    line and place. Files without functions give no row; ``scanned_files`` has them for ``repository_risk``.
     """
     functions = explode_functions(files).withColumnRenamed("source", "code")
     functions = functions.withColumn("repo_id", F.regexp_extract("file_path", repo, 1)).withColumn(
-        "snippet_id", F.concat_ws(":", "file_path", "line_number", "function_name"))
+        "snippet_id", F.format_string("%s:%09d:%06d:%s", "file_path", "line_number", "function_place", "function_name")).drop("function_place")
     scored = score_functions(functions) if score_functions else functions.withColumn("ml_prob", F.lit(0.0))
     return detect.predict(scored)
 
@@ -37,9 +46,9 @@ def explained_findings(pred: DataFrame, attention: DataFrame | None = None) -> D
     return detect.finding_projection(explain.with_reason(spanned))
 
 
-def repository_risk(pred: DataFrame) -> DataFrame:
-    """Scores, grade, impact and counts per repository."""
-    return score.repo_scores(pred)
+def repository_risk(pred: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Scores, grade, impact and counts per repository; with ``scanned_files`` those without a function count as clean."""
+    return score.repo_scores(pred, files=files)
 
 
 def executive_reports(pred: DataFrame, attention: DataFrame | None = None, product: str = report.PRODUCT) -> DataFrame:

@@ -79,6 +79,30 @@ def test_repo_scan(spark, tree):
                     "src/blank.py": ("Python", "  \n"), "deep/i.rs": ("Rust", "r")}
 
 
+def test_scan_of_encoded_and_repeated_roots(spark, tmp_path):
+    """A root with a blank, a percent sign and a hidden name is no hidden folder; its name further down stays."""
+    root = tmp_path / ".h d%41+"
+    for name in ("a.py", ".h d%41+/b.py", "c d/e+f.py"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text("x = 1")
+    assert {r.file_path for r in repo_files.scan_py_files(spark, str(root)).collect()} == {"a.py", "c d/e+f.py"}
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from codelake.session import shared_root
+
+    def session(master):
+        held = {}
+        return SimpleNamespace(conf=SimpleNamespace(get=held.get, set=held.__setitem__), sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_root(session(master))
+    assert shared_root(session("local[4]")) and shared_root(session("local"))
+
+
 def test_py_scan(spark, tree):
     rows = {r.file_path: r.code for r in repo_files.scan_py_files(spark, tree).collect()}
     assert rows == {"a.py": "x = 1\ufffd\n", "venv/e.py": "v"}
