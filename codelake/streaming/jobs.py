@@ -1,77 +1,88 @@
-"""Job streams: current status, end of a job, counters, state machine, rate limit, webhooks, latency."""
+"""Job streams: current status, end of a job, counters, state machine, rate limit, webhooks, latency.
+
+``folder`` of every stream holds its rows and progress; give the same one to go on after a stop.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import jobs as J
 from ..operators.detect import predict
+from ..operators.rank import top_per_group
 from ..session import scratch_path
-from .runner import newest_batch, newest_per_key, run_available
+from .runner import newest_per_key, run_available
 
 
-def job_status(events: DataFrame) -> DataFrame:
+def job_status(events: DataFrame, folder: str | None = None) -> DataFrame:
     """Current status per job, emitted when it changes (update mode)."""
-    return newest_per_key(run_available(J.latest_status(events), "update", "status"), ["job_id"])
+    return newest_per_key(run_available(J.latest_status(events), "update", "status", folder), ["job_id"])
 
 
-def job_counters(events: DataFrame) -> DataFrame:
-    return newest_per_key(run_available(J.job_counters(events), "update", "counters"), ["job_id"])
+def job_counters(events: DataFrame, folder: str | None = None) -> DataFrame:
+    return newest_per_key(run_available(J.job_counters(events), "update", "counters", folder), ["job_id"])
 
 
-def rate_limit(requests: DataFrame, window: str = "1 minute", limit: int = 5) -> DataFrame:
-    """Requests per client and window. Complete mode, so windows still open at the end are reported too."""
+def rate_limit(requests: DataFrame, window: str = "1 minute", limit: int = 5, folder: str | None = None) -> DataFrame:
+    """Requests per client and window. Update mode reports windows still open, and the watermark frees those long past."""
     counted = J.rate_limited(requests.withColumn("event_ts", F.col("event_ts").cast("timestamp"))
                              .withWatermark("event_ts", "1 hour"), window, limit)
-    return newest_batch(run_available(counted, "complete", "rate"))
+    return newest_per_key(run_available(counted, "update", "rate", folder), ["client", "window_start"])
 
 
-def request_latency(requests: DataFrame, window: str = "1 day") -> DataFrame:
+def request_latency(requests: DataFrame, window: str = "1 day", folder: str | None = None) -> DataFrame:
     timed = requests.withColumn("event_ts", F.col("event_ts").cast("timestamp")).withWatermark("event_ts", "1 hour")
     units = timed.groupBy(F.window("event_ts", window).alias("w")).agg(
         F.count("*").alias("total_requests"), F.sum(J.duration_units()).alias("_units"))
     out = units.select(F.unix_seconds(F.col("w.start")).alias("window_start"), "total_requests",
                        J.mean_seconds(F.col("_units"), F.col("total_requests")).alias("average_latency_sec"))
-    return newest_batch(run_available(out, "complete", "latency"))
+    return newest_per_key(run_available(out, "update", "latency", folder), ["window_start"])
 
 
-def webhook_route(payloads: DataFrame, repositories: DataFrame) -> DataFrame:
+def webhook_route(payloads: DataFrame, repositories: DataFrame, folder: str | None = None) -> DataFrame:
     """Payloads against the registry: a stream-static join."""
-    return run_available(J.webhook_route(payloads, repositories), "append", "webhook").drop("batch_number")
+    return run_available(J.webhook_route(payloads, repositories), "append", "webhook", folder).drop("batch_number")
 
 
-def findings(snippets: DataFrame) -> DataFrame:
+def findings(snippets: DataFrame, folder: str | None = None) -> DataFrame:
     """Snippets scored as they arrive by the batch expressions."""
-    return run_available(predict(snippets), "append", "findings").drop("batch_number")
+    return run_available(predict(snippets), "append", "findings", folder).drop("batch_number")
 
 
-def raw_events(events: DataFrame) -> DataFrame:
-    return run_available(events, "append", "events").drop("batch_number")
+def raw_events(events: DataFrame, folder: str | None = None) -> DataFrame:
+    return run_available(events, "append", "events", folder).drop("batch_number")
 
 
-def terminal_events(events: DataFrame) -> DataFrame:
+def terminal_events(events: DataFrame, folder: str | None = None) -> DataFrame:
     """The event that ends each job, its first terminal one; a job's later events change nothing."""
-    return newest_per_key(run_available(J.first_terminal(events), "update", "terminal"), ["job_id"])
+    return newest_per_key(run_available(J.first_terminal(events), "update", "terminal", folder), ["job_id"])
 
 
-def retry_machine(events: DataFrame, bucket: str = "day") -> DataFrame:
-    """Checked state steps of every job, across micro batches.
+def retry_machine(events: DataFrame, bucket: str = "day", folder: str | None = None) -> DataFrame:
+    """Checked state steps of every job, across micro batches; ``batch_number`` is the batch that last changed a step.
 
-    Each batch runs the batch operator on its events, starting from the jobs' states after the batch before.
-    States are one table per batch number, so a replayed batch starts from the same place. A busy job is split
-    by time bucket inside the operator instead of being gathered for one stateful call.
+    Events may come late. A batch's jobs are stepped again over all their events so far, in event-time order, and the newest
+    version of a step counts, so the result doesn't depend on how events are dealt to batches. Events and steps are one
+    table per batch number, so a replayed batch starts from the same place. A busy job is split by time bucket inside the
+    operator instead of being gathered for one stateful call.
     """
     spark = events.sparkSession
-    out, states = scratch_path(spark, "retry-out"), scratch_path(spark, "retry-states")
+    folder = folder or scratch_path(spark, "retry")
+    log, out = f"{folder}/events", f"{folder}/rows"
+    seen_schema = T.StructType([*events.schema.fields, T.StructField("batch_number", T.IntegerType())])
+    spark.createDataFrame([], events.schema).write.mode("overwrite").parquet(f"{log}/batch_number=-1")
+    spark.createDataFrame([], J.STEP_SCHEMA).write.mode("overwrite").parquet(f"{out}/batch_number=-1")
 
     def step(batch: DataFrame, number: int) -> None:
-        before = spark.read.parquet(f"{states}/{number - 1}") if number else None
-        steps = J.state_steps(batch, before, bucket)
-        steps.write.mode("overwrite").parquet(f"{out}/batch_number={number}")
-        J.states_after(batch, before).write.mode("overwrite").parquet(f"{states}/{number}")
+        batch.write.mode("overwrite").parquet(f"{log}/batch_number={number}")
+        seen = spark.read.schema(seen_schema).parquet(log).where(F.col("batch_number") <= number).drop("batch_number")
+        concerned = spark.read.schema(events.schema).parquet(f"{log}/batch_number={number}").select("job_id").distinct()
+        J.state_steps(seen.join(concerned, "job_id", "left_semi"), None, bucket).write.mode("overwrite").parquet(f"{out}/batch_number={number}")
 
-    query = (events.writeStream.option("checkpointLocation", scratch_path(spark, "retry-log"))
+    query = (events.writeStream.option("checkpointLocation", f"{folder}/progress")
              .trigger(availableNow=True).foreachBatch(step).start())
     query.awaitTermination()
-    return spark.read.schema(J.STEP_SCHEMA).parquet(out)
+    rows = spark.read.schema(J.STEP_SCHEMA).parquet(out)
+    return top_per_group(rows, ["job_id", "event_id"], [F.desc("batch_number")], 1).drop("rank")

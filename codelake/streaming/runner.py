@@ -23,30 +23,28 @@ def stream_view(spark: SparkSession, sf_dir: str, name: str, base: str = "events
     return view_on(spark, name, stream_table(spark, sf_dir, base))
 
 
-def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
+def run_available(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> DataFrame:
     """Run until no input is left; rows with the number of the batch that wrote them.
 
-    Each batch overwrites its own folder, so a replayed batch after a failure leaves no duplicates.
+    ``folder`` holds the rows (``rows``) and the stream's progress (``progress``). Called again with the same folder, the
+    stream goes on where it stopped; without one, a new folder in the shared folder is used. Each batch overwrites its own
+    part, so a replayed batch after a failure leaves no duplicates.
     """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-state")
+    folder = folder or scratch_path(spark, name)
+    out, schema = f"{folder}/rows", T.StructType([*stream.schema.fields, T.StructField("batch_number", T.IntegerType())])
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_number={number}")
 
-    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", state)
+    # An empty part, so that a stream without input has a readable result.
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{out}/batch_number=-1")
+    query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress")
              .trigger(availableNow=True).foreachBatch(save).start())
     query.awaitTermination()
-    schema = T.StructType([*stream.schema.fields, T.StructField("batch_number", T.IntegerType())])
     return spark.read.schema(schema).parquet(out)
 
 
 def newest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Last written row of each key (update mode)."""
     return top_per_group(rows, keys, [F.desc("batch_number")], 1).drop("rank", "batch_number")
-
-
-def newest_batch(rows: DataFrame) -> DataFrame:
-    """Rows of the last batch (complete mode)."""
-    last = rows.agg(F.max("batch_number")).scalar()
-    return rows.where(F.col("batch_number") == last).drop("batch_number")

@@ -46,10 +46,35 @@ def test_rate_limit(spark, sf_dir, parts):
 
 
 def test_retry_machine(spark, sf_dir, parts):
-    """State carried over batches, with files that arrive in time order."""
-    steps = S.retry_machine(stream(spark, parts, "job_events"))
-    assert steps.select("batch_number").distinct().count() == 5
-    same(steps.drop("batch_number"), J.state_steps(view(spark, sf_dir, "job_events")))
+    """Steps over several batches, with files that arrive in time order."""
+    same(S.retry_machine(stream(spark, parts, "job_events")).drop("batch_number"), J.state_steps(view(spark, sf_dir, "job_events")))
+
+
+EVENT = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+
+
+def write_part(spark, path, name, rows):
+    spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3], [1, 0, 3, 2], [3, 2, 1, 0]])
+def test_late_events_and_restart(spark, sf_dir, tmp_path, order):
+    """The order of arrival doesn't matter, and a stopped stream goes on with the files that are new."""
+    rows = [tuple(r) for r in read_table(spark, sf_dir, "events").orderBy("ts").limit(200).collect()]
+    path, folders = str(tmp_path / "in"), [str(tmp_path / x) for x in ("a", "b", "c")]
+    for at, k in enumerate(order):
+        write_part(spark, path, f"p{at}", rows[k::4])
+        log = view_on(spark, "job_events", spark.read.schema(SCHEMAS["events"]).option("recursiveFileLookup", "true").parquet(path))
+        if at % 2:
+            same(S.retry_machine(stream(spark, path, "job_events"), folder=folders[0]).drop("batch_number"), J.state_steps(log))
+            same(S.job_counters(stream(spark, path, "job_events"), folder=folders[1]), J.job_counters(log))
+            same(S.rate_limit(stream(spark, path, "job_events"), "1 day", 5, folder=folders[2]), J.rate_limited(log, "1 day", 5))
+
+
+def test_no_input(spark, tmp_path):
+    write_part(spark, str(tmp_path / "in"), "none", [])
+    empty = stream(spark, str(tmp_path / "in"), "job_events")
+    assert S.job_status(empty).count() == 0 and S.retry_machine(empty).count() == 0 and S.rate_limit(empty).count() == 0
 
 
 def test_webhooks(spark, sf_dir, parts):
