@@ -10,7 +10,8 @@ are a segment. All suffixes of all bytes would be some twenty times the input, f
    samples, and sorted. Inside a bucket the windows of suffixes with one anchor text are ordered token by token (multikey
    quicksort over 100-byte tokens, level by level), and those with an equal neighbour are repeats.
 4. Anchor texts at the ends of a bucket may go on in the next one, and very large ones are cut by the splitters. They are compared
-   across the boundaries by window digests in a grouped aggregation, which no size of group overloads.
+   across the boundaries in slices of windows, which meet by the hash of the core that a slice's windows share; slices that are
+   still too many for a task go by window digests in a grouped aggregation, which no size of group overloads.
 """
 
 from __future__ import annotations
@@ -186,7 +187,7 @@ def _suffixes(docs: DataFrame, open_segments: DataFrame, kind: str, length: int)
 
 def _search_buckets(suffixes: DataFrame, kind: str, length: int, group_bytes: int) -> DataFrame:
     """Repeated windows found inside buckets (text null), and the rows whose anchor text may reach beyond (with text)."""
-    fields = f"id {kind}, fp long, lo long, hi long, known boolean, text binary"
+    fields = f"id {kind}, fp long, lo long, hi long, known boolean, at int, text binary"
     columns = [f.split()[0] for f in fields.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,14 +197,14 @@ def _search_buckets(suffixes: DataFrame, kind: str, length: int, group_bytes: in
         def resolve():
             for row, flags in zip(ready, repeated([r.left + r.suffix for r in ready], length)):
                 if not row.known:
-                    out.extend((row.id, row.fp, row.lo + a, row.lo + b, False, None) for a, b in _flag_runs(flags))
+                    out.extend((row.id, row.fp, row.lo + a, row.lo + b, False, 0, None) for a, b in _flag_runs(flags))
             ready.clear()
             state["ready"] = 0
 
         def close(at_end: bool):
             # The first and the last anchor text of a bucket may be shared with its neighbours.
             if state["first"] or at_end or state["open"]:
-                out.extend((r.id, r.fp, r.lo, r.lo + len(r.left) + len(r.suffix) - length, r.known, r.left + r.suffix) for r in group)
+                out.extend((r.id, r.fp, r.lo, r.lo + len(r.left) + len(r.suffix) - length, r.known, len(r.left), r.left + r.suffix) for r in group)
             elif len(group) > 1:
                 if state["ready"] + state["group"] > PIECE:
                     resolve()
@@ -238,8 +239,70 @@ def _search_buckets(suffixes: DataFrame, kind: str, length: int, group_bytes: in
     return ordered.mapInPandas(run, fields)
 
 
-def _search_boundaries(rows: DataFrame, kind: str, length: int) -> DataFrame:
-    """Repeated windows among rows of different buckets, by digests of the windows."""
+def _search_boundaries(rows: DataFrame, kind: str, length: int, group_bytes: int) -> DataFrame:
+    """Repeated windows among rows of different buckets, as ranges of window starts.
+
+    A row's windows are cut into slices at fixed distances from the anchor. All windows of a slice hold its core, so equal
+    windows have equal cores, and rows meet by the hash of the core: far fewer than share an anchor text. What is still
+    too large for a task (more than ``group_bytes`` of different texts with one core) goes on as window digests.
+    """
+    fields = f"id {kind}, fp long, known boolean, lo long, core long, text binary"
+    columns, width = [f.split()[0] for f in fields.split(", ")], max(1, length // 6)
+
+    def cut(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in batch.itertuples(index=False):
+            sums = _sums(np.frombuffer(r.text, np.uint8))
+            last = len(r.text) - length
+            for first in range(r.at + -r.at // width * width, last + 1, width):
+                a, b = max(first, 0), min(first + width - 1, last)
+                core = _hashes(sums, np.array([first + width - 1]), np.array([first + length]))
+                out.append((r.id, r.fp, r.known, r.lo + a, core.astype(np.int64)[0], r.text[a:b + length]))
+        return pd.DataFrame(out, columns=columns)
+
+    slices = staged(in_batches(rows, cut, fields), "boundary-slices")
+    # Copies of a slice collapse before the shuffle: one is searched, and known to repeat.
+    single = slices.groupBy("core", "text").agg(F.count("*").alias("n"), F.min(F.struct("lo", "fp", "id")).alias("first"), F.max("known").alias("known"))
+    searched = staged(single.select("core", "text", "first.*", (F.col("known") | (F.col("n") > 1)).alias("known")), "boundary-search")
+    sizes = searched.groupBy("core").agg(F.sum(F.length("text")).alias("size"), F.count("*").alias("n")).where("n > 1")
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ready, size, core, out = [], 0, None, []
+
+        def resolve():
+            for row, flags in zip(ready, repeated([r.text for r in ready], length)):
+                if not row.known:
+                    out.extend((row.id, row.fp, row.lo + a, row.lo + b) for a, b in _flag_runs(flags))
+            ready.clear()
+
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if row.core != core:
+                    core = row.core
+                    # Groups stay whole: each has at most group_bytes.
+                    if size + row.size > PIECE:
+                        resolve()
+                        size = 0
+                    size += row.size
+                ready.append(row)
+            if len(out) > 2000:
+                yield pd.DataFrame(out, columns=["id", "fp", "lo", "hi"])
+                out.clear()
+        resolve()
+        if out:
+            yield pd.DataFrame(out, columns=["id", "fp", "lo", "hi"])
+
+    small = searched.join(sizes.where(F.col("size") <= group_bytes), "core").repartition("core").sortWithinPartitions("core")
+    inside = small.mapInPandas(search, f"id {kind}, fp long, lo long, hi long")
+    # Every copy of a slice that others have repeats as a whole.
+    copies = slices.where(~F.col("known")).join(single.where("n > 1").select("core", "text"), ["core", "text"], "left_semi")
+    whole = copies.select("id", "fp", "lo", (F.col("lo") + F.length("text") - length).alias("hi"))
+    large = searched.join(sizes.where(F.col("size") > group_bytes), "core", "left_semi").select("id", "fp", "lo", "known", "text")
+    return inside.unionByName(whole).unionByName(_search_digests(large, kind, length))
+
+
+def _search_digests(rows: DataFrame, kind: str, length: int) -> DataFrame:
+    """Repeated windows by digests in a grouped aggregation, which no size of group overloads."""
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         frames = []
         for i, text in enumerate(batch["text"]):
@@ -284,7 +347,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     mixed = groups.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
     open_segments = groups.join(mixed, "gram", "left_semi").select("gram", "first.*", (F.col("n") > 1).alias("known"))
     found = staged(_search_buckets(_suffixes(rows, open_segments, kind, length), kind, length, group_bytes), "bucket-search")
-    across = _search_boundaries(found.where("text IS NOT NULL").select("id", "fp", "lo", "known", "text"), kind, length)
+    across = _search_boundaries(found.where("text IS NOT NULL").select("id", "fp", "lo", "known", "at", "text"), kind, length, group_bytes)
     inside = found.where("text IS NULL").select("id", "fp", "lo", "hi")
 
     def join_runs(batch: pd.DataFrame) -> pd.DataFrame:

@@ -79,9 +79,10 @@ def test_suffix_dedup(docs, corpus, none):
     wide = clashing(docs, "id", "fp", "lo", "runs", "own", "gram")
     got = suffix_dedup.digest(suffix_dedup.remove_repeats(wide, length=100, gram=20))
     assert order(map(tuple, got.collect())) == order(brute(100))
-    # Groups above the limit and those cut by bucket ends go through the digests.
-    small = suffix_dedup.digest(suffix_dedup.remove_repeats(docs.repartition(7), length=100, gram=20, group_bytes=600))
-    assert order(map(tuple, small.collect())) == order(brute(100))
+    # Groups above the limit and those cut by bucket ends go through slices and digests.
+    for limit in (600, 150):
+        small = suffix_dedup.digest(suffix_dedup.remove_repeats(docs.repartition(7), length=100, gram=20, group_bytes=limit))
+        assert order(map(tuple, small.collect())) == order(brute(100))
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
