@@ -123,7 +123,3 @@ def exploitability(code: Column, cwe: Column) -> tuple[Column, Column]:
 
 def guard_verdict(command: Column) -> Column:
     return F.when(contains_any(command, fixed.GUARD_WORDS), "BLOCKED").otherwise("SECURE")
-
-
-def blank_code(code: Column) -> Column:
-    return is_blank(code)

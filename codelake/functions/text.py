@@ -41,11 +41,6 @@ def code_lines(code: Column) -> Column:
             .otherwise(parts))
 
 
-def nth_line(code: Column, line: Column) -> Column:
-    """The 1-based line, stripped; null when out of range."""
-    return strip(F.get(code_lines(code), line - 1))
-
-
 def clean_code(code: Column) -> Column:
     return F.coalesce(strip(code), F.lit(""))
 

@@ -23,13 +23,17 @@ def read_findings(spark: SparkSession, path: str, schema, fmt: str = "parquet")
 
 
 def write_reports(reports: DataFrame, path: str, key: str = "repo_id") -> None:
-    """One text file per repository."""
-    reports.select(key, "report").write.mode("overwrite").partitionBy(key).text(path)
+    """Reports as rows in ``BUCKETS`` folders, however many repositories there are."""
+    write_findings(reports.select(key, "report"), path, key=key)
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.text(path, wholetext=True)
-            .select("repo_id", F.regexp_replace("value", "\n\\z", "").alias("report")))
+def read_reports(spark: SparkSession, path: str, schema: str = "repo_id bigint, report string") -> DataFrame:
+    return read_findings(spark, path, schema + ", repo_bucket int")
+
+
+def write_report_files(reports: DataFrame, path: str, repositories: list, key: str = "repo_id") -> None:
+    """One text file for each of the requested repositories."""
+    (reports.where(F.col(key).isin(repositories)).select(key, "report").write.mode("overwrite").partitionBy(key).text(path))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -28,16 +28,16 @@ def test_strip_and_lines_follow_python(spark):
 
 
 def test_clean_code(spark):
-    assert column(spark, ["   \n def test():\n    pass   \n", None], text.clean_code) == ["def test():\n    pass", ""]
+    assert column(spark, ["\n\t total = price * 2\n  print(total) \n\n", None, "ready"], text.clean_code) == ["total = price * 2\n  print(total)", "", "ready"]
 
 
 def test_advanced_clean(spark):
-    py = '\n    # This is a comment\n    def test():\n        """This is a docstring"""\n        pass # end comment\n    '
-    c = "\n /* Block comment */\n void func() {\n  // Line comment\n  int x = 0;\n }\n"
+    py = '# load rates\ndef rate(day):\n    """Rate of a day."""\n    return TABLE[day]  # may raise\n'
+    c = "/* counter of\n   hits */\nlong hits(void) {\n  return total; // shared\n}\n"
     rows = spark.createDataFrame([(py, "Python"), (c, "C"), ("  ", "C"), (None, ""), ("a\r\n\r\n\r\n\r\nb", "C")], "code string, lang string")
     got = [r[0] for r in rows.select(text.advanced_clean(F.col("code"), F.col("lang"))).collect()]
-    assert "comment" not in got[0] and "docstring" not in got[0] and "def test():" in got[0]
-    assert "omment" not in got[1] and "void func()" in got[1]
+    assert not any(x in got[0] for x in ("load", "Rate of", "raise")) and "def rate(day):" in got[0] and "TABLE[day]" in got[0]
+    assert not any(x in got[1] for x in ("counter", "shared")) and "long hits(void)" in got[1]
     assert got[2:] == ["", "", "a\n\nb"]
 
 
@@ -73,8 +73,8 @@ def test_long_text_stays_fast(spark):
 
 
 def test_heuristic_cwe(spark):
-    low = ["query = 'select * from users where id = ' + v", "element.innerhtml = '<div>'", "strcpy(a, b)", "os.system(x)",
-           "yaml.load(x)", "open(filename)", "token = 1", "x = 1", "a description", "strcat(a)", "strncpy(a); strcat(b)"]
+    low = ["sql = 'select price from goods where sku = ' + sku", "panel.innerhtml = note", "strcpy(target, line)", "os.system(job)",
+           "yaml.load(stream)", "open(filename)", "token = 7", "count = 0", "a description", "strcat(line)", "strncpy(a); strcat(b)"]
     assert column(spark, low, rules.heuristic_cwe) == [
         "CWE-89", "CWE-79", "CWE-119", "CWE-78", "CWE-502", "CWE-22", "CWE-798", "CWE-20", "CWE-79", "CWE-119", "CWE-20"]
 
@@ -118,10 +118,10 @@ def test_exploitability(spark):
 
 
 def test_probabilities(spark):
-    values = [-0.5, 1.2, float("nan"), float("inf"), float("-inf"), None, 0.25]
+    values = [-3.0, 7.5, float("nan"), float("-inf"), float("inf"), None, 0.125]
     bad, safe = explain.probability_distribution(F.col("v"))
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").orderBy("i").select(bad, safe).collect()
-    assert [tuple(r) for r in rows] == [(0.0, 1.0), (1.0, 0.0), (0.5, 0.5), (0.5, 0.5), (0.5, 0.5), (0.5, 0.5), (0.25, 0.75)]
+    assert [tuple(r) for r in rows] == [(0.0, 1.0), (1.0, 0.0), (0.5, 0.5), (0.5, 0.5), (0.5, 0.5), (0.5, 0.5), (0.125, 0.875)]
 
 
 def test_certainty(spark):
@@ -133,10 +133,10 @@ def test_certainty(spark):
 
 
 @pytest.mark.parametrize("code,cwe,part", [
-    ("query = 'SELECT * FROM users WHERE name = ' + username", "CWE-89", "SQL"), ("subprocess.run('ping ' + host)", "CWE-78", "shell"),
-    ("pickle.loads(payload)", "CWE-502", "deserializes"), ("open(filename)", "CWE-22", "traversal"), ("elem.innerHTML = c", "CWE-79", "browser DOM"),
-    ("eval(code)", "CWE-94", "dynamic code"), ("log.info(password)", "CWE-312", "cleartext"), ("def some_func():\n    pass", "CWE-999", "signature rules"),
-    ("os.popen(x)", None, "shell"), ("db.execute(q)", None, "unparameterized"), ("h = md5(x)", None, "cryptographic")])
+    ("rows = run('SELECT total FROM bills WHERE nr = ' + nr)", "CWE-89", "SQL"), ("subprocess.run('tar xf ' + upload)", "CWE-78", "shell"),
+    ("state = pickle.loads(blob)", "CWE-502", "deserializes"), ("open(base + filename)", "CWE-22", "traversal"), ("card.innerHTML = title", "CWE-79", "browser DOM"),
+    ("eval(formula)", "CWE-94", "dynamic code"), ("log.info(password)", "CWE-312", "cleartext"), ("def rate(day):\n    return 1", "CWE-999", "signature rules"),
+    ("os.popen(job)", None, "shell"), ("db.execute(text)", None, "unparameterized"), ("h = md5(blob)", None, "cryptographic")])
 def test_reasons(spark, code, cwe, part):
     rows = spark.createDataFrame([(code, 1, cwe)], "code string, first_line int, predicted_cwe string")
     assert part in with_reason(rows).first().reason
