@@ -340,11 +340,12 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), fingerprint(text_column).alias("fp"), utf8(text_column).alias("text"))
     every = staged(_segment_rows(rows, kind, length, gram), "segments")
-    shared = every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # Written first, so that the joins get exchanges of their own and the planner can split an anchor text with very many rows.
+    shared = staged(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared-grams")
     candidates = staged(every.join(shared, "gram", "left_semi"), "shared-anchors")
     groups = staged(candidates.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("lo", "hi", "at", "id", "fp")).alias("first")), "segment-groups")
     copies = candidates.join(groups.where("n > 1").select("gram", "whole"), ["gram", "whole"], "left_semi").select("id", "fp", "lo", "hi")
-    mixed = groups.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds")
+    mixed = staged(groups.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").drop("kinds"), "mixed-grams")
     open_segments = groups.join(mixed, "gram", "left_semi").select("gram", "first.*", (F.col("n") > 1).alias("known"))
     found = staged(_search_buckets(_suffixes(rows, open_segments, kind, length), kind, length, group_bytes), "bucket-search")
     across = _search_boundaries(found.where("text IS NOT NULL").select("id", "fp", "lo", "known", "at", "text"), kind, length, group_bytes)
