@@ -10,14 +10,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Whole texts cross into Python in batches of at most so many bytes and rows.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+BATCH_BYTES, BATCH_ROWS = 2 << 20, 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; Python workers get it in batches bounded by bytes, so long texts can't exhaust them."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers get rows in batches bounded by bytes, so long texts can't exhaust them."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def utf8(column: str) -> Column:

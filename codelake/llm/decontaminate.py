@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import fingerprint, offsets, utf8
+from .common import bound_batches, fingerprint, offsets, utf8
 
 # Lower-cases A-Z; every byte that is no word byte becomes a blank. Bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -221,6 +221,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     repeats counts once; a null item id counts as an empty id. Other columns, whatever their names, are not read.
     An empty benchmark gives no hits, an empty corpus no rows.
     """
+    bound_batches(docs.sparkSession)
     bench = staged(benchmark.select(F.coalesce(F.col(item_column).cast("string"), F.lit("")).alias("item"),
                                     utf8(item_text).alias("text")), "test-items")
     size = bench.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n

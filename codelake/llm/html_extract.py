@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import utf8
+from .common import bound_batches, utf8
 
 # Elements that don't hold main text, and those that don't end a block.
 EXCLUDED = frozenset("nav header footer aside form script style noscript template iframe svg math canvas object button select option "
@@ -263,6 +263,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     long pages are read whole. Repeated rows give a row each. Other columns aren't read. An empty table gives an empty one.
     """
     kind, url_kind = pages.schema[id_column].dataType.simpleString(), pages.schema[url_column].dataType.simpleString()
+    bound_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_column).cast("string"), F.lit(""))
     url = F.coalesce(F.col(url_column).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^.*?://([^/?#]*)", 1))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import Index, fingerprint, in_batches, utf8
+from .common import Index, bound_batches, fingerprint, in_batches, utf8
 from .decontaminate import words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -211,6 +211,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     text all or none are kept here, and ``deduplicate`` keeps one. Other columns aren't read. An empty table gives an empty one.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), fingerprint(text_column).alias("fp"), utf8(text_column).alias("text"))
     factors = spark.sparkContext.broadcast(cell_weights(cell_counts(rows)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import fingerprint, utf8
+from .common import bound_batches, fingerprint, utf8
 from .quality_rules import word_tokens
 
 # Longest sequence, number of buckets, and tokens of a batch with its padding.
@@ -59,6 +59,7 @@ def token_lengths(docs: DataFrame, id_column: str, text_column: str, model_path:
             size = dict(zip(words, map(len, tokens.of(words)))).__getitem__
             yield pd.DataFrame({"id": batch["id"], "fp": batch["fp"], "length": [sum(map(size, ws)) // 4 + 1 for ws in split]})
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), fingerprint(text_column).alias("fp"), utf8(text_column).alias("text"))
     return rows.mapInPandas(run, f"id {docs.schema[id_column].dataType.simpleString()}, fp long, length long")
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import utf8
+from .common import bound_batches, utf8
 from .decontaminate import words
 
 TARGETS = ("quality", "toxic")
@@ -209,6 +209,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     aren't read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_column).alias("id"), F.col(host_column).cast("string").alias("host"),
                        F.col(path_column).cast("string").alias("path"), utf8(text_column).alias("text"))
     labelled = staged(_labelled(rows, labels, max_labels), "labelled")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import Index, offsets, utf8
+from .common import Index, bound_batches, offsets, utf8
 
 BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -162,6 +162,7 @@ def judge(docs: DataFrame, keep_columns: list[str], language: str = "lang", text
     Null and empty texts have no words, measures of 0, and fail. Very long texts are measured whole. Repeated rows are
     judged each. Columns named like the result's are replaced. An empty table gives an empty table.
     """
+    bound_batches(docs.sparkSession)
     own = {x.split()[0] for x in BASE.split(", ")} | {"kept"}
     # The language goes by a name of its own, as a result column may have the same name.
     chosen = docs.select(*[F.col(c) for c in dict.fromkeys(keep_columns) if c not in own],

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import fingerprint, in_batches, utf8
+from .common import bound_batches, fingerprint, in_batches, utf8
 
 LENGTH, GRAM, TOKEN = 400, 64, 100
 # Texts are hashed in pieces of at most so many bytes (positions fit 21 bits), windows of several rows at once.
@@ -339,6 +339,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), fingerprint(text_column).alias("fp"), utf8(text_column).alias("text"))
+    bound_batches(docs.sparkSession)
     every = staged(_segment_rows(rows, kind, length, gram), "segments")
     # Written first, so that the joins get exchanges of their own and the planner can split an anchor text with very many rows.
     shared = staged(every.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "shared-grams")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, staged
-from .common import fingerprint, utf8
+from .common import bound_batches, fingerprint, utf8
 
 END_ID = 1
 FRAME_BYTES = 1 << 20
@@ -199,6 +199,7 @@ def write_tokens(docs: DataFrame, folder: str, id_column: str = "doc_id", text_c
         number = TaskContext.get().partitionId()
         yield pd.DataFrame([{"file_no": number, **write_file(f"{folder}/part-{number:06d}-{uuid.uuid4().hex}.tok", rows())}])
 
+    bound_batches(docs.sparkSession)
     store, place = file_system(folder)
     store.create_dir(place, recursive=True)
     ordered = (docs.select(F.col(id_column).alias("id"), F.col(id_column).cast("string").alias("name"), utf8(text_column).alias("text"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import utf8
+from .common import bound_batches, utf8
 
 # Rules (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -165,6 +165,7 @@ def judge_urls(pages: DataFrame, id_column: str = "page_id", url_column: str = "
     path, no rule and no tokens, so the prior decides. Very long URLs are read whole. Repeated rows are judged each. Of equal
     rules the first counts. Other columns aren't read. An empty table gives an empty table.
     """
+    bound_batches(pages.sparkSession)
     words = page_words(pages, html_column)
     prior, odds = fit(pages, url_column, words, unwanted if unwanted is not None else UNWANTED, label)
     shared = pages.sparkSession.sparkContext.broadcast((words, odds))
