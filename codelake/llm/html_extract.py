@@ -1,14 +1,16 @@
 """Main text of pages (operator 5) by template deduction: equivalence classes of tokens across the pages of a host.
 
-1. A page is read as structure tokens (paths of elements) and blocks of text. For each host, a token's occurrence vector
-   (how often each page has it) is kept as two sums of page-dependent numbers, so that vectors of any length combine in a
-   grouped aggregation; tokens with equal sums share a vector and form an equivalence class.
+1. A page is read as structure tokens (paths of elements) and blocks of text. Pages of a host whose longest blocks are the same
+   (to nine tenths of the text) have one content and count once, so copies don't look like a template. For each host, a token's
+   occurrence vector (how often each content has it) is kept as two sums of content-dependent numbers, so that vectors of any
+   length combine in a grouped aggregation; tokens with equal sums share a vector and form an equivalence class.
 2. Classes of tokens that stand on most pages of the host are valid if they nest: their paths lie within each other. The class
    with one occurrence on each page is the host's template, the others repeat inside its slots.
 3. The slot that holds most of the text that varies from page to page, menus and the like left out, is the main one. Its text
-   blocks, without those that belong to the template themselves (unless the slot is an article), are the result.
+   blocks, without those that belong to the template themselves, are the result. Text in article and main elements is never
+   the template's, nor is what makes up most of a page's slot: such passages are shared by articles.
 
-Hosts with few pages have no template of their own; their pages are read by their elements alone.
+Hosts with few contents have no template of their own; their pages are read by their elements alone.
 """
 
 from __future__ import annotations
@@ -43,14 +45,17 @@ MARKS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo p
                   "notices notification alert popup modal overlay newsletter subscribe subscription share sharing social related widget toolbar "
                   "login signup pagination pager skip complementary contentinfo search dialog".split())
 CONTAINERS = frozenset(["html", "body", "article", "main"])
-# Pages a host needs for a template, share of its pages that have a template token, share of the varying text that the main
+# Contents a host needs for a template, share of them that have a template token, share of the varying text that the main
 # slot holds, and the share at which a block of text belongs to the template.
 MIN_PAGES, ON_PAGES, MAIN_SHARE, FIXED_SHARE = 4, 0.8, 0.6, 0.5
+# Share of a page's text that tells its content (the rest may be a date or a counter), and the most of a slot that is template.
+CONTENT_SHARE, MOST_FIXED = 0.9, 0.5
 # Templates are broadcast up to so many hosts (a few hundred bytes each); beyond, pages are joined by host and part.
 BROADCAST_HOSTS, SALTS = 1 << 15, 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_ARTICLE = "/(?:article|main)(?:[./]|$)"
 _WORDS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -135,60 +140,70 @@ def text_key(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}") - (1 << 63)
 
 
-def _sums(page: str) -> tuple[int, int]:
-    """Two 30-bit numbers of a page; sums over up to 2^33 occurrences fit."""
-    h = xxhash.xxh3_64_intdigest(page)
-    return (h >> 34) + 1, (h & 0x3FFFFFFF) + 1
+def content_key(found: list[tuple[str, str, bool, int]]) -> int:
+    """Hash of the longest blocks that hold most of a page's text outside links; pages with equal keys have one content."""
+    sizes = sorted(((len(text) - links, text) for _, text, excluded, links in found if not excluded), reverse=True)
+    total, seen, chosen = sum(n for n, _ in sizes), 0, []
+    for n, text in sizes:
+        if total and seen >= CONTENT_SHARE * total:
+            break
+        seen += n
+        chosen.append(text)
+    return xxhash.xxh3_64_intdigest("\0".join(chosen)) - (1 << 63)
 
 
-PARTIAL = "host string, kind int, token string, hash long, pages long, first long, second long, most long, chars long"
+PARTIAL = "host string, kind int, token string, hash long, content long, most long, chars long"
 
 
 def token_vectors(pages: DataFrame) -> DataFrame:
-    """Per host and token: pages, sums for the occurrence vector, most on a page, and for blocks the characters outside links.
+    """Per host and token: contents, sums for the occurrence vector, most in one, and for blocks the characters outside links.
 
-    Kind 0 is the host itself, 1 a structure token, 2 a block of text (by hash), 3 the text under a path.
+    Kind 0 is the host itself, 1 a structure token, 2 a block of text (by hash), 3 the text under a path. What pages of one
+    content have is put together by the most that any has.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in filter(len, batches):
             total: dict = {}
 
-            def add(key, n, page, chars=0):
-                a, b = page
-                old = total.get(key, (0, 0, 0, 0, 0))
-                total[key] = (old[0] + 1, old[1] + n * a, old[2] + n * b, max(old[3], n), old[4] + chars)
+            def add(key, n, chars=0):
+                old = total.get(key, (0, 0))
+                total[key] = (max(old[0], n), max(old[1], chars))
 
-            for host, name, html in zip(batch["host"], batch["name"], batch["html"]):
-                page = _sums(name)
+            for host, html in zip(batch["host"], batch["html"]):
                 tokens, found = blocks(html)
-                add((host, 0, "", 0), 1, page)
+                content = content_key(found)
+                add((host, 0, "", 0, content), 1)
                 for path, n in tokens.items():
-                    add((host, 1, path, 0), n, page)
+                    add((host, 1, path, 0, content), n)
                 texts, sizes = Counter(), Counter()
                 for path, text, excluded, links in found:
                     if not excluded:
                         texts[path, text] += 1
                         sizes[path] += len(text) - links
                 for (path, text), n in texts.items():
-                    add((host, 2, path, text_key(path, text)), n, page, n * len(text))
+                    add((host, 2, path, text_key(path, text), content), n, n * len(text))
                 for path, n in sizes.items():
-                    add((host, 3, path, 0), 1, page, n)
+                    add((host, 3, path, 0, content), 1, n)
             yield pd.DataFrame([(*k, *v) for k, v in total.items()], columns=[x.split()[0] for x in PARTIAL.split(", ")])
 
-    rows = pages.mapInPandas(run, PARTIAL)
-    return rows.groupBy("host", "kind", "token", "hash").agg(
-        *[F.sum(c).alias(c) for c in ("pages", "first", "second")], F.max("most").alias("most"), F.sum("chars").alias("chars"))
+    key = ["host", "kind", "token", "hash"]
+    once = pages.mapInPandas(run, PARTIAL).groupBy(*key, "content").agg(F.max("most").alias("most"), F.max("chars").alias("chars"))
+    # Two 30-bit numbers of a content; sums over up to 2^33 occurrences fit.
+    first, second = F.shiftrightunsigned("content", 34) + 1, F.col("content").bitwiseAND(F.lit(0x3FFFFFFF)) + 1
+    return once.groupBy(*key).agg(F.count("*").alias("pages"), F.sum(F.col("most") * first).alias("first"), F.sum(F.col("most") * second).alias("second"),
+                                  F.max("most").alias("most"), F.sum("chars").alias("chars"))
 
 
 def templates(vectors: DataFrame) -> DataFrame:
-    """One row per host with enough pages: the main slot's path and the hashes of text blocks of the template.
+    """One row per host with enough contents: the main slot's path and the hashes of text blocks of the template.
 
-    Tokens of a host's template are few: each stands on at least half of its pages.
+    Tokens of a host's template are few: each stands in at least half of its contents.
     """
     hosts = vectors.where("kind = 0").select(F.col("host").alias("h"), F.col("pages").alias("n")).where(F.col("n") >= MIN_PAGES)
     known = vectors.where("kind > 0").join(hosts, F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    template_text = (F.col("kind") == 2) & ~F.col("token").rlike(_ARTICLE)
     often = known.where(((F.col("kind") == 1) & (F.col("pages") >= ON_PAGES * F.col("n")))
-                        | ((F.col("kind") == 2) & (F.col("pages") >= FIXED_SHARE * F.col("n")) & (F.col("pages") >= 3)))
+                        | (template_text & (F.col("pages") >= FIXED_SHARE * F.col("n")) & (F.col("pages") >= 3)))
     # An equivalence class: tokens of one host with equal vectors.
     classes = (often.where("kind = 1").groupBy("host", "first", "second", "n")
                .agg(F.max("most").alias("most"), F.min("pages").alias("pages"), F.collect_list("token").alias("tokens")))
@@ -205,8 +220,8 @@ def templates(vectors: DataFrame) -> DataFrame:
             for f in r.fixed_chars if r.fixed_chars is not None else []:
                 sizes[f["token"]] -= f["chars"]
             slot = main_slot(r.classes, sizes)
-            # An article is taken whole, with passages that many of them share.
-            out.append((r.host, slot, [] if r.fixed is None or is_article(slot) else list(r.fixed)))
+            # An article is taken whole, with passages that many of them share; so are pages without a slot.
+            out.append((r.host, slot, [] if r.fixed is None or not slot or is_article(slot) else list(r.fixed)))
         return pd.DataFrame(out, columns=["host", "slot", "fixed"])
 
     def by_host(df: DataFrame) -> DataFrame:
@@ -247,12 +262,19 @@ def main_slot(classes, sizes: Counter) -> str:
 
 
 def main_text(html: str, slot: str | None, fixed: frozenset) -> str:
-    """Text blocks of the slot, or if the page hasn't that of its article or main element, or of the whole page."""
+    """Text blocks of the slot, or if the page hasn't that of its article or main element, or of the whole page.
+
+    Only blocks of the slot can be the template's, and if they were most of the slot's text none is.
+    """
     found = [b for b in blocks(html)[1] if not b[2]]
     chosen = [b for b in found if slot and _inside(b[0], slot)]
     if not chosen:
-        chosen = [b for b in found if re.search(r"/(?:article|main)(?:[./]|$)", b[0])] or found
-    return " ".join(text for path, text, _, _ in chosen if not fixed or text_key(path, text) not in fixed)
+        chosen = [b for b in found if re.search(_ARTICLE, b[0])] or found
+    elif fixed:
+        kept = [b for b in chosen if re.search(_ARTICLE, b[0]) or text_key(b[0], b[1]) not in fixed]
+        if sum(len(b[1]) for b in kept) >= (1 - MOST_FIXED) * sum(len(b[1]) for b in chosen):
+            chosen = kept
+    return " ".join(b[1] for b in chosen)
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -260,7 +282,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
     Null html is empty and gives an empty text. Null URLs share an empty host, as do those without ``://``. Broken markup is
     read as far as it goes: unclosed elements end with their parents, text in unclosed comments and scripts is dropped. Very
-    long pages are read whole. Repeated rows give a row each. Other columns aren't read. An empty table gives an empty one.
+    long pages are read whole. Repeated rows give a row each and change no text. Other columns aren't read. An empty table gives an empty one.
     """
     kind, url_kind = pages.schema[id_column].dataType.simpleString(), pages.schema[url_column].dataType.simpleString()
     bound_batches(pages.sparkSession)
@@ -268,8 +290,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     url = F.coalesce(F.col(url_column).cast("string"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^.*?://([^/?#]*)", 1))
     rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), host.alias("host"), html.alias("html"))
-    named = rows.select("host", F.concat_ws("\n", F.col("id").cast("string"), F.xxhash64("url", "html").cast("string")).alias("name"), "html")
-    found = staged(templates(staged(token_vectors(named), "token-vectors")), "templates")
+    found = staged(templates(staged(token_vectors(rows.select("host", "html")), "token-vectors")), "templates")
     if found.count() <= BROADCAST_HOSTS:
         joined = rows.join(F.broadcast(found.withColumnRenamed("host", "h")), F.col("host") == F.col("h"), "left")
     else:

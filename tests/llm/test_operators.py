@@ -295,6 +295,29 @@ def test_template_drops_fixed_blocks(spark):
     assert {r.text for r in html_extract.extract(df).collect()} == {f"Story {i} begins here" for i in range(8)}
 
 
+@pytest.mark.parametrize("box", ["article", "div class=post"])
+@pytest.mark.parametrize("stamp", ["", "Seen {i} times"])
+def test_copies_keep_their_text(spark, box, stamp):
+    """Copies on a host, repeated rows and shared passages are no template, however many there are."""
+    rng = random.Random(1)
+    story, passage = [prose(rng, 40) for _ in range(3)], prose(rng, 30)
+
+    def page(i, texts):
+        inner = "".join(f"<p>{t}</p>" for t in texts)
+        small = f"<div class=stamp>{stamp.format(i=i)}</div>" if stamp else ""
+        return f"<body><div class=top><p>Our site</p></div><{box}>{inner}</{box.split()[0]}>{small}</body>"
+
+    others = [[prose(rng, 40) for _ in range(3)] for _ in range(8)]
+    rows = [(i, f"http://copies.org/{i}", page(i, story)) for i in range(9)]
+    rows += [(20, "http://repeated.org/", page(20, story))] * 9
+    rows += [(30 + i, f"http://half.org/{i}", page(i, story)) for i in range(9)] + [(40 + i, f"http://half.org/x{i}", page(i, t)) for i, t in enumerate(others)]
+    rows += [(50 + i, f"http://passage.org/{i}", page(i, [*t[:2], passage, passage + "."])) for i, t in enumerate(others)] if box == "article" else []
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(" ".join(story) in got[i] for i in [*range(9), 20, *range(30, 39)])
+    assert all(" ".join(t) in got[40 + i] for i, t in enumerate(others))
+    assert box != "article" or all(" ".join([*t[:2], passage, passage + "."]) == got[50 + i] for i, t in enumerate(others))
+
+
 def test_line_dedup(docs, corpus, none):
     rows = [(i, f"Head \nbody {i}\n\n{'Foot' if i % 2 else 'foot'}", None, "a" if i else None, 0) for i in range(8)] + [(9, None, None, "a", None)]
     df = docs.sparkSession.createDataFrame(rows, DOCS)
