@@ -54,6 +54,7 @@ CONTENT_SHARE, MOST_FIXED = 0.9, 0.5
 BROADCAST_HOSTS, SALTS = 1 << 15, 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _ARTICLE = "/(?:article|main)(?:[./]|$)"
 _WORDS = re.compile(r"[a-z]+")
@@ -82,7 +83,7 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, int]]]:
     """Structure tokens with their counts, and text blocks (path, text, excluded, characters in links) in page order."""
     stack: list[tuple[str, str, bool]] = []  # tag, path, excluded
     tokens: Counter = Counter()
-    out, parts, links, in_link, raw = [], [], 0, 0, ""
+    out, parts, links, in_link, at = [], [], 0, 0, 0
 
     def flush():
         nonlocal links
@@ -94,13 +95,10 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, int]]]:
                 out.append((path, text, excluded, min(links, len(text))))
         links = 0
 
-    for cdata, slash, tag, attributes, text in _TOKEN.findall(html):
-        if raw:
-            # Inside a script or the like only its own end tag counts.
-            if slash and tag.lower() == raw:
-                raw = ""
-                stack.pop()
-            continue
+    while at < len(html):
+        token = _TOKEN.match(html, at)  # always matches, at least one character
+        at = token.end()
+        cdata, slash, tag, attributes, text = token.groups("")
         if text or cdata:
             parts.append(text or entities.escape(cdata))
             links += len(text) if in_link else 0
@@ -116,9 +114,9 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, int]]]:
             continue
         flush()
         if slash:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            opened = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if opened is not None:
+                del stack[opened:]
                 in_link = 0
             continue
         while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
@@ -128,10 +126,13 @@ def blocks(html: str) -> tuple[Counter, list[tuple[str, str, bool, int]]]:
         tokens[path] += 1
         if tag in VOID or attributes.endswith("/") and tag in RAW:
             continue
-        stack.append((tag, path, excluded or bool(stack) and stack[-1][2]))
         if tag in RAW:
-            raw = tag
+            # Inside a script or the like only its own end tag counts, whatever looks like a tag before it.
+            end = _RAW_END[tag].search(html, at)
+            at = end.end() if end else len(html)
             in_link = 0
+            continue
+        stack.append((tag, path, excluded or bool(stack) and stack[-1][2]))
     flush()
     return tokens, out
 

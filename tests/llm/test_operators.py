@@ -318,6 +318,15 @@ def test_copies_keep_their_text(spark, box, stamp):
     assert box != "article" or all(" ".join([*t[:2], passage, passage + "."]) == got[50 + i] for i, t in enumerate(others))
 
 
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++){}</script>", "<script>a='<b';if(i<n)x(\"it's\")</SCRIPT >", "<style>a<b{}</style>",
+                                 "<title>i<n</title>", "<script>'</scripts>';i<n</script\n>"])
+def test_raw_elements_end_at_their_own_tag(raw):
+    page = f"<body>{raw}<article><p>The whole story</p></article><script>y()</script><p>Last</p></body>"
+    assert [b[1] for b in html_extract.blocks(page)[1]] == ["The whole story", "Last"]
+    assert html_extract.blocks(page)[0]["/body/article/p"] == 1
+    assert [b[1] for b in html_extract.blocks("<p>One</p><script>never closed <p>two</p>")[1]] == ["One"]
+
+
 def test_line_dedup(docs, corpus, none):
     rows = [(i, f"Head \nbody {i}\n\n{'Foot' if i % 2 else 'foot'}", None, "a" if i else None, 0) for i in range(8)] + [(9, None, None, "a", None)]
     df = docs.sparkSession.createDataFrame(rows, DOCS)
