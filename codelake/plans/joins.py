@@ -139,6 +139,16 @@ def similar_topk(spark, sf_dir):
     return similarity.similar_topk(vectors, similarity.centroids(vectors, "label"), 10, "label")
 
 
+@query("similar_rows_topk", f"""SELECT query_id, vec_id, cosine_similarity, rank FROM (SELECT query_id, vec_id, cosine_similarity,
+  row_number() OVER (PARTITION BY query_id ORDER BY cosine_similarity DESC, vec_id) AS rank
+  FROM (SELECT q.vec_id AS query_id, e.vec_id, {_COS.format(a='q.embedding', b='e.embedding')} AS cosine_similarity
+   FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 10""")
+def similar_rows_topk(spark, sf_dir):
+    """Every row with an id divisible by 100 against all rows, whatever their labels."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return similarity.nearest_rows(vectors.where("vec_id % 100 = 0"), vectors, 10)
+
+
 @query("offset_to_line", "SELECT snippet_id, token_idx, line_number FROM token_lines")
 def offset_to_line(spark, sf_dir):
     cls = explain.cls_attention(view(spark, sf_dir, "attention"))

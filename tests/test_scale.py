@@ -1,6 +1,7 @@
 """Hot keys against brute force, and the shape of the plans."""
 
 import hashlib
+import math
 import random
 from collections import defaultdict
 
@@ -88,6 +89,29 @@ def test_state_steps_with_a_hot_job(spark, bucket):
     assert all(want[r.event_id] == (r.previous, r.legal, r.attempt, r.exhausted) for r in carried)
 
 
+def test_nearest_rows_cross_labels_and_blocks(spark, monkeypatch):
+    """Query rows meet all rows: neighbours under other labels, ties by id, zero vectors, several blocks and pieces."""
+    for name, size in (("BLOCK", 3), ("QUERIES_AT_ONCE", 2), ("ROWS_AT_ONCE", 16)):
+        monkeypatch.setattr(similarity, name, size)
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], i % 4) for i in range(200)]
+    rows += [(200 + i, rows[20][1], 3) for i in range(30)] + [(300, [0.0] * 6, 1), (310, None, 1), (None, rows[0][1], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(5)
+    got = {}
+    for r in similarity.nearest_rows(df.where("vec_id % 20 = 0"), df, 12).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.cosine_similarity))
+    known = {r.vec_id: r.embedding for r in df.collect() if r.vec_id is not None and r.embedding is not None}
+    norm = {i: math.sqrt(sum(x * x for x in v)) for i, v in known.items()}
+
+    def cosine(a, b):
+        return round(sum(x * y for x, y in zip(known[a], known[b])) / (norm[a] * norm[b]), 6) + 0.0 if norm[a] * norm[b] else 0.0
+
+    want = {q: [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-cosine(q, i), i) for i in known if i != q)[:12])] for q in known if q % 20 == 0}
+    assert {q: sorted(v) for q, v in got.items()} == want
+    assert [i for _, i, _ in sorted(got[20])] == list(range(200, 212))
+    assert similarity.nearest_rows(df.limit(0), df, 3).count() == 0 == similarity.nearest_rows(df, df.limit(0), 3).count()
+
+
 def test_similar_topk_matches_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.random() for _ in range(8)], 0 if i % 3 else i % 4) for i in range(90)]
