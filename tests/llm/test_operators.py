@@ -406,6 +406,27 @@ def test_url_filter(spark):
     assert (by[101].host, by[101].path, by[101].rule) == ("", "", None) and by[102].rule == "net/"
 
 
+def test_url_scores_count_rare_words(spark, monkeypatch):
+    """However large the table, a token on one page counts, and so does a page word that occurs once."""
+    rows = [(i, f"https://weather{i % 3}.org/en/{i}", "<p>" + "the " * 15_000 + "</p>") for i in range(20)]
+    rows += [(20, "https://warez-zorkplim.org/7", "<p>zork plim</p>"), (21, "https://plain.org/" + "1/" * 1_500_000, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    segmenter = url_filter.Segmenter(Counter(dict.fromkeys([*url_filter.COMMON, *url_filter.UNWANTED], 3)) | Counter(the=300_000, zork=1, plim=1))
+    tokens = [url_filter.url_tokens(*url_filter.split_url(u), segmenter) for _, u, _ in rows]
+    assert tokens[20] == ["h:warez", "h:zork", "h:plim", "h:org", "p:0"]
+    block, allow = Counter(tokens[20]), Counter(itertools.chain(*tokens[:20], tokens[21]))
+    b, a, size = block.total(), allow.total(), len(block | allow) + 1
+    want = {r[0]: np.log(2 / 22) + sum(n * (np.log((block[x] + 1) / (b + size)) - np.log((allow[x] + 1) / (a + size))) for x, n in Counter(t).items())
+            for r, t in zip(rows, tokens)}
+    for whole, share in ((1 << 17, 1e-6), (0, 1e-6)):
+        monkeypatch.setattr(url_filter, "WORDS_WHOLE", whole)
+        monkeypatch.setattr(url_filter, "TOKEN_SHARE", share)
+        got = url_filter.judge_urls(df).collect()
+        assert len(got) == len(rows)
+        assert {r.page_id: r.score for r in got} == pytest.approx(want)
+        assert all(r.verdict == ("block" if want[r.page_id] > 0 else "allow") for r in got)
+
+
 def test_quality_classifier(spark, none):
     rng = random.Random(6)
     rows, labels = [], []
