@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, line_dedup, near_dup, packing, quality_classifier, quality_rules, suffix_dedup, token_files, url_filter
+from . import decontaminate, exact_dedup, html_extract, line_dedup, merkle, near_dup, packing, quality_classifier, quality_rules, suffix_dedup, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,59 @@ FROM words_of w LEFT JOIN hits h ON w.id = h.id LEFT JOIN leaks l ON w.id = l.id
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op11_exact_dedup", """
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g')) AS text_sha256 FROM documents)
+WINDOW w AS (PARTITION BY text_sha256)""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+
+
+def _leaf_sql(fields: list[str]) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+# Unsigned crc32 of a number's digits, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+MERKLE_SQL = f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, {_leaf_sql(_FIELDS)} AS leaf, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n,
+         CASE WHEN {_CRC} % 2 = 0 THEN {_leaf_sql([*_FIELDS[:-1], "plain"])} END AS changed
+  FROM (SELECT *, replace(text, chr(10), '') AS plain FROM documents)),
+low AS (
+  SELECT source, 0 AS lvl, idx, leaf AS h, n FROM docs UNION ALL
+  SELECT source, lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM low WHERE n > 1 GROUP BY source, lvl, idx // 3),
+subroots AS (SELECT source, h, lvl, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS m FROM low WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos AS idx, h, m AS n FROM subroots UNION ALL
+  SELECT lvl + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY lvl, idx // 3),
+climb AS (
+  SELECT doc_id, source, leaf, 0 AS lvl, idx, coalesce(changed, leaf) AS h, '' AS proof FROM docs UNION ALL
+  SELECT c.doc_id, any_value(c.source), any_value(c.leaf), c.lvl + 1, any_value(c.idx) // 3,
+         sha256(string_agg(CASE WHEN l.idx = c.idx THEN c.h ELSE l.h END, '' ORDER BY l.idx)),
+         any_value(c.proof) || coalesce(string_agg(CASE WHEN l.idx <> c.idx THEN l.h END, '' ORDER BY l.idx), '')
+  FROM climb c JOIN low l ON l.source IS NOT DISTINCT FROM c.source AND l.lvl = c.lvl AND l.idx // 3 = c.idx // 3 WHERE l.n > 1 GROUP BY c.doc_id, c.lvl),
+middle AS (
+  SELECT c.doc_id, c.leaf, s.h AS subroot, s.pos, c.h, c.proof
+  FROM climb c JOIN subroots s ON s.source IS NOT DISTINCT FROM c.source AND s.lvl = c.lvl),
+over AS (
+  SELECT doc_id, leaf, subroot, 0 AS lvl, pos AS idx, h, proof FROM middle UNION ALL
+  SELECT c.doc_id, any_value(c.leaf), any_value(c.subroot), c.lvl + 1, any_value(c.idx) // 3,
+         sha256(string_agg(CASE WHEN l.idx = c.idx THEN c.h ELSE l.h END, '' ORDER BY l.idx)),
+         any_value(c.proof) || coalesce(string_agg(CASE WHEN l.idx <> c.idx THEN l.h END, '' ORDER BY l.idx), '')
+  FROM over c JOIN top l ON l.lvl = c.lvl AND l.idx // 3 = c.idx // 3 WHERE l.n > 1 GROUP BY c.doc_id, c.lvl)
+SELECT o.doc_id, leaf, subroot, r.h AS root, sha256(proof) AS proof_sha256, o.h AS folded_root, o.h = r.h AS verified
+FROM over o, (SELECT h, lvl FROM top WHERE n = 1) r WHERE o.lvl = r.lvl"""
+
+
+@query("op13_merkle_manifest", MERKLE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 2 divides the crc32 of the id, a text has lost its line ends."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return merkle.manifest(table(spark, sf_dir, "documents"), _FIELDS, tampered)
