@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, merkle, near_dup, packing, quality_classifier, quality_rules, suffix_dedup, token_files, url_filter
+from . import decontaminate, exact_dedup, html_extract, line_dedup, merkle, near_dup, packing, quality_classifier, quality_rules, ranked_search, suffix_dedup, token_files, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,26 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"""
+RANK_SQL = f"""
+WITH docs AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+lengths AS (SELECT doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM lengths),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY item_id, term),
+postings AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, term),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(t.docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM postings, total t GROUP BY term),
+parts AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * t.docs) // t.length))) AS part
+          FROM postings JOIN weights USING (term) JOIN lengths USING (doc_id), total t),
+scores AS (SELECT item_id, doc_id, sum(times * part)::BIGINT AS score FROM asked JOIN parts USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10"""
+
+
+@query("op12_ranked_search", RANK_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
