@@ -1,8 +1,8 @@
 """Static rules, CWE heuristics, the hybrid decision and exploitability, as column expressions.
 
-The quantified patterns are written with one atomic prefix from the start of the text. The first keyword
-and the first separator after it decide the match, so no other start has to be tried: the cost is linear
-in the text length where the plain pattern is quadratic on long documents.
+Patterns with several gaps cost time linear in the text. Where the first keyword decides, one atomic prefix from the start
+of the text leaves no other start to try. Where a call's arguments matter, a first pass marks the arguments of each call up
+to the closing bracket, so that stretches don't overlap, and a second pass looks into each stretch once.
 """
 
 from __future__ import annotations
@@ -17,12 +17,22 @@ _ANY = r"(?isu)\A(?>.*?"
 SQL_CONCAT = rf"""{_ANY}(?:{fixed.SQL_WORDS}))(?>.*?\+).*?['"]"""
 SQL_FORMAT = rf"""{_ANY}(?:{fixed.SQL_WORDS})).*?\.format\("""
 SQL_FSTRING = rf"""{_ANY}f"(?:{fixed.SQL_WORDS})).*?\{{"""
-COMMAND = rf"""{_ANY}(?:{fixed.COMMAND_CALLS})\s*\([^)]*?(?:{fixed.COMMAND_PARTS})).*?\)"""
+MARK = "\ue000"
+# Arguments of shell calls up to a bracket; a stretch with a built part must end at a bracket.
+COMMAND_ARGUMENTS = rf"(?iu)((?:{fixed.COMMAND_CALLS})\s*+\()([^)]*+)"
+COMMAND = rf"(?iu){MARK}(?>[^)]*?(?:{fixed.COMMAND_PARTS}))[^)]*+\)"
 SECRET = "(?iu)" + fixed.SECRET_RULE
-PATH = "(?idu)" + fixed.PATH_RULE
+# The same for file calls, line by line: a stretch that goes on in the next line is marked there again. Of a line's stretches
+# the first with an outer value decides, and after it the first step upwards.
+PATH_ARGUMENTS = rf"(?idu)((?:{fixed.PATH_CALLS})\s*+\(|\G(?!\A)\n)([^)\n]*+)"
+PATH = rf"(?idmu)^(?>.*?{MARK}[^)\n{MARK}]*?(?:{fixed.PATH_INPUTS}))(?>.*?(?:{fixed.PATH_STEPS}))[^)\n]*+\)"
 DESERIALIZATION = "(?iu)" + fixed.DESERIALIZATION_RULE
 
 
+def _marked(code: Column, arguments: str) -> Column:
+    return F.regexp_replace(F.replace(code, F.lit(MARK), F.lit("")), arguments, f"$1{MARK}$2")
+
+
 def rule_deserialization(code: Column) -> Column:
     return code.rlike(DESERIALIZATION)
 
@@ -32,7 +42,8 @@ def rule_sql_injection(code: Column) -> Column:
 
 
 def rule_cmd_injection(code: Column) -> Column:
-    return code.rlike(COMMAND)
+    found = _marked(code, COMMAND_ARGUMENTS).rlike(COMMAND)
+    return F.when(code.rlike(f"(?iu){fixed.COMMAND_CALLS}"), found).otherwise(F.when(code.isNotNull(), False))
 
 
 def rule_hardcoded_secret(code: Column) -> Column:
@@ -40,7 +51,8 @@ def rule_hardcoded_secret(code: Column) -> Column:
 
 
 def rule_path_traversal(code: Column) -> Column:
-    return code.rlike(PATH)
+    found = _marked(code, PATH_ARGUMENTS).rlike(PATH)
+    return F.when(code.rlike(fixed.PATH_STEPS), found).otherwise(F.when(code.isNotNull(), False))
 
 
 RULES = {

@@ -1,6 +1,7 @@
 """Golden rows of the scalar functions and parsers."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -67,9 +68,30 @@ def test_linear_patterns_equal_plain_ones(spark, texts):
         assert [r[f"hit_{name}"] for r in hits] == [re.search(pattern, t) is not None for t in texts], name
 
 
-def test_long_text_stays_fast(spark):
-    long = "select update delete + " * 200_000
-    assert column(spark, [long, long + "'"], rules.rule_sql_injection) == [False, True]
+ADVERSARIAL = {
+    "sql_injection": ["select update delete + ", 'f"select ', "select .format", "update\n+"],
+    "cmd_injection": ["system(", "popen (subprocess.call(\n", "system(+", "system(x)", "system( + f\"", "system()+"],
+    "hardcoded_secret": ["token = ", "api_key='aaaaaaaaaaaaaaaaaaaa", "secret =\t'token", "password = '" + "a" * 40 + "; "],
+    "path_traversal": ["open(", "open(+", "open(filename ../", "open(+\n", "File (input)", "open(x) ", "../", "open(\n", "+ ../"],
+    "deserialization": ["pickle.", "yaml.load", "marshal.\n"],
+}
+ENDS = {"sql_injection": " x + '", "cmd_injection": ") system(a + b)", "hardcoded_secret": " token = 'bbbbbbbbbbbbbbbbbbbb'",
+        "path_traversal": ")\nopen(filename + '../x')", "deserialization": " pickle.loads"}
+
+
+@pytest.mark.parametrize("name", sorted(ADVERSARIAL))
+def test_rules_read_a_megabyte_in_linear_time(spark, name):
+    """Texts made of a rule's beginnings: ten times the text takes about ten times as long, and the end still counts."""
+    def took(size):
+        texts = [piece * (size // len(piece)) + end for piece in ADVERSARIAL[name] for end in ("", ENDS[name])]
+        rows = spark.createDataFrame([(t,) for t in texts], "code string").coalesce(1)
+        start = time.time()
+        found = [r.hit for r in rows.select(rules.RULES[name](F.col("code")).alias("hit")).collect()]
+        assert all(found[1::2])
+        return (time.time() - start) / len(texts)
+
+    took(10_000)
+    assert took(1_000_000) < 1.0
 
 
 def test_heuristic_cwe(spark):
