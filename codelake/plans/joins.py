@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..operators import dataset, detect, explain, graph, jobs, similarity
+from ..operators import dataset, detect, explain, graph, jobs, lsh, similarity
 from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import oracle as O
@@ -149,6 +149,21 @@ def similar_rows_topk(spark, sf_dir):
     return similarity.nearest_rows(vectors.where("vec_id % 100 = 0"), vectors, 10)
 
 
+@query("similar_rows_lsh")
+def similar_rows_lsh(spark, sf_dir):
+    """The same search by an index of buckets; its recall is checked by ``lsh_recall``."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return lsh.nearest_by_index(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+@query("lsh_recall", """SELECT count(*) AS queries, count(*) * least(10, (SELECT count(*) FROM embeddings) - 1) AS neighbours, true AS enough
+ FROM embeddings WHERE vec_id % 100 = 0""")
+def lsh_recall(spark, sf_dir):
+    """Whether the index finds at least nine tenths of the exact neighbours."""
+    got = lsh.recall(similar_rows_lsh(spark, sf_dir), similar_rows_topk(spark, sf_dir))
+    return got.select("queries", "neighbours", (F.col("found") >= 0.9 * F.col("neighbours")).alias("enough"))
+
+
 @query("offset_to_line", "SELECT snippet_id, token_idx, line_number FROM token_lines")
 def offset_to_line(spark, sf_dir):
     cls = explain.cls_attention(view(spark, sf_dir, "attention"))

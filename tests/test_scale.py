@@ -5,10 +5,11 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codelake.operators import consensus, dataset, explain, jobs, report, score, similarity
+from codelake.operators import consensus, dataset, explain, jobs, lsh, report, score, similarity
 from codelake.operators.rank import hash_rank, top_per_group
 from codelake.plans import QUERIES
 
@@ -112,6 +113,57 @@ def test_nearest_rows_cross_labels_and_blocks(spark, monkeypatch):
     assert similarity.nearest_rows(df.limit(0), df, 3).count() == 0 == similarity.nearest_rows(df, df.limit(0), 3).count()
 
 
+@pytest.mark.parametrize("structured", [False, True])
+def test_index_search_recall(spark, monkeypatch, structured):
+    """A third of the vectors in one place, blocks of a few rows: the recall target holds, and close neighbours need few buckets."""
+    monkeypatch.setattr(lsh, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(lsh, "BLOCK_QUERIES", 8)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 24))
+    points = [centres[i % 40] + rng.normal(size=24) * 0.15 if structured else rng.normal(size=24) for i in range(1500)]
+    hot = rng.normal(size=24)
+    points += [hot + rng.normal(size=24) * 0.05 for _ in range(700)]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(points)] + [(5000, [0.0] * 24), (5001, None), (None, [1.0] * 24)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    index, asked = lsh.build_index(df, rows_per_bucket=16), df.where("vec_id % 20 = 0")
+    found, exact = lsh.search(index, asked, 10), similarity.nearest_rows(asked, df, 10)
+    assert index.count() == 2201 and index.first().bits == 8
+    result = lsh.recall(found, exact).first()
+    assert result.neighbours == 10 * result.queries and result.found >= 0.9 * result.neighbours
+    # What is found has its exact similarity and rank order.
+    both = found.join(exact.withColumnRenamed("cosine_similarity", "c").drop("rank"), ["query_id", "vec_id"])
+    assert both.where("cosine_similarity <> c").count() == 0 and both.count() == result.found
+    per_query = [r["rank"] for r in found.where("query_id = 20").orderBy(F.desc("cosine_similarity"), "vec_id").collect()]
+    assert per_query == list(range(1, 11))
+
+
+def test_index_reads_few_buckets_of_close_neighbours():
+    plane = lsh.directions(32, 12)
+    rng = np.random.default_rng(1)
+    share = {}
+    for c in (0.2, 0.99):
+        sizes, hits = [], 0
+        for _ in range(200):
+            q = rng.normal(size=32)
+            q /= np.linalg.norm(q)
+            g = rng.normal(size=32)
+            g -= q * (g @ q)
+            near = c * q + np.sqrt(1 - c * c) * g / np.linalg.norm(g)
+            found = lsh.likely_buckets(q @ plane, c, 32, 0.9)
+            assert len(found) == len(set(found.tolist()))
+            sizes.append(len(found))
+            hits += int(lsh.buckets_of((near @ plane)[None, :])[0]) in set(found.tolist())
+        share[c] = np.mean(sizes) / (1 << 12)
+        assert 0.82 <= hits / 200 <= 0.97
+    assert share[0.99] < 0.01 < 0.3 < share[0.2]
+
+
+def test_index_edges(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert lsh.nearest_by_index(df.limit(0), df, 2).count() == 0 == lsh.nearest_by_index(df, df.limit(0), 2).count()
+    assert [(r.query_id, r.vec_id) for r in lsh.nearest_by_index(df, df.where("vec_id = 1"), 5).orderBy("rank").collect()] == [(1, 2), (1, 3)]
+
+
 def test_similar_topk_matches_brute_force(spark):
     rng = random.Random(3)
     rows = [(i, [rng.random() for _ in range(8)], 0 if i % 3 else i % 4) for i in range(90)]
