@@ -74,19 +74,21 @@ def _attempts() -> Column:
     return F.sum(F.when(F.col("status") == "SANDBOXING", 1).otherwise(0))
 
 
-def state_steps(events: DataFrame, before: DataFrame | None = None, bucket: str = "day") -> DataFrame:
-    """State before each event, whether the step is allowed, the attempt number, and if attempts are used up.
-
-    A job's log is cut into time buckets: windows run inside (job, bucket), and a small table of bucket ends
-    carries the state over, so a job with very many events is spread over tasks. ``before`` holds the states
-    left by earlier events (``job_id, last_status, attempts``).
-    """
+def bucket_steps(events: DataFrame, bucket: str = "day") -> DataFrame:
+    """For each event of a job the state before it and the attempts so far, within its bucket of time."""
     cut = events.select("job_id", "event_id", "event_ts", "status", F.date_trunc(bucket, "event_ts").alias("bucket"))
     inside = Window.partitionBy("job_id", "bucket").orderBy("event_ts", "event_id")
-    rows = cut.withColumn("_in_previous", F.lag("status").over(inside)).withColumn(
-        "_in_attempts", _attempts().over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = cut.groupBy("job_id", "bucket").agg(
-        F.max(F.struct("event_ts", "event_id", "status"))["status"].alias("_last"), _attempts().alias("_n"))
+    return cut.withColumn("before", F.lag("status").over(inside)).withColumn(
+        "attempts_so_far", _attempts().over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def chained_steps(rows: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Steps of whole jobs from the steps inside their buckets: a small table of bucket ends carries states over.
+
+    ``before`` holds the states left by earlier events (``job_id, last_status, attempts``).
+    """
+    ends = rows.groupBy("job_id", "bucket").agg(
+        F.max(F.struct("event_ts", "event_id", "status"))["status"].alias("_last"), F.max("attempts_so_far").alias("_n"))
     chain = Window.partitionBy("job_id").orderBy("bucket")
     carried = ends.select(F.col("job_id").alias("_job"), F.col("bucket").alias("_bucket"),
                           F.lag("_last").over(chain).alias("_out_previous"),
@@ -97,13 +99,21 @@ def state_steps(events: DataFrame, before: DataFrame | None = None, bucket: str
     else:
         out = out.join(before, "job_id", "left")
     step = F.concat_ws(">", F.coalesce("previous", F.lit("")), "status")
-    return (out.withColumn("previous", F.coalesce("_in_previous", "_out_previous", "last_status"))
-            .withColumn("attempt", F.col("_in_attempts") + F.col("_out_attempts") + F.coalesce("attempts", F.lit(0)))
+    return (out.withColumn("previous", F.coalesce("before", "_out_previous", "last_status"))
+            .withColumn("attempt", F.col("attempts_so_far") + F.col("_out_attempts") + F.coalesce("attempts", F.lit(0)))
             .select("job_id", "event_id", "previous", "status",
                     step.isin([f"{a}>{b}" for a, b in STEPS]).alias("legal"), "attempt",
                     (F.col("attempt") > fixed.MAX_ATTEMPTS).alias("exhausted")))
 
 
+def state_steps(events: DataFrame, before: DataFrame | None = None, bucket: str = "day") -> DataFrame:
+    """State before each event, whether the step is allowed, the attempt number, and if attempts are used up.
+
+    A job's log is cut into time buckets, so a job with very many events is spread over tasks.
+    """
+    return chained_steps(bucket_steps(events, bucket), before)
+
+
 def states_after(events: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Last state and attempts of every job after these events."""
     now = events.groupBy("job_id").agg(
@@ -159,12 +169,47 @@ def rate_limited(requests: DataFrame, window: str = "1 minute", limit: int = 5)
     """Requests per client and window, with the number answered 429."""
     counted = requests.groupBy(F.window(F.col("event_ts").cast("timestamp"), window).alias("w"), "client").agg(
         F.count("*").alias("requests"))
+    return windows_limited(counted.select("client", F.unix_seconds(F.col("w.start")).alias("window_start"), "requests"), limit)
+
+
+def windows_limited(counted: DataFrame, limit: int) -> DataFrame:
     return counted.select(
-        "client", F.unix_seconds(F.col("w.start")).alias("window_start"), "requests",
-        F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"),
+        "client", "window_start", "requests", F.greatest(F.col("requests") - limit, F.lit(0)).alias("rejected"),
         F.when(F.col("requests") > limit, 429).otherwise(200).alias("http_status"))
 
 
+def request_buckets(requests: DataFrame, seconds: int) -> DataFrame:
+    """Requests as rows of their client's bucket of time and, as context, of the next one.
+
+    A request's last ``seconds`` lie in its own bucket and the one before, so a busy client is spread over its buckets.
+    """
+    width = seconds * 1_000_000
+    us = F.unix_micros(F.col("event_ts").cast("timestamp"))
+    start = (us - F.pmod(us, F.lit(width))).cast("bigint")
+    both = F.explode(F.array(F.struct((start + width).alias("end"), F.lit("own").alias("kind")),
+                             F.struct((start + 2 * width).alias("end"), F.lit("context").alias("kind"))))
+    return requests.select("client", "event_id", us.alias("us"), both.alias("_b")).select(
+        "client", F.col("_b.end").alias("bucket_end"), "event_id", "us", F.col("_b.kind").alias("kind"))
+
+
+def bucket_counts(rows: DataFrame, seconds: int) -> DataFrame:
+    """Requests of the client in the last ``seconds`` up to and with each own request of a bucket; equal times go by id."""
+    place = ["client", "bucket_end"]
+    last = Window.partitionBy(*place).orderBy("us").rangeBetween(1 - seconds * 1_000_000, 0)
+    peers = Window.partitionBy(*place, "us")
+    counted = rows.withColumn("requests", F.count("*").over(last) - F.count("*").over(peers) + F.row_number().over(peers.orderBy("event_id")))
+    return counted.where("kind = 'own'").select(*place, "event_id", "us", "requests")
+
+
+def request_statuses(counted: DataFrame, limit: int = 5) -> DataFrame:
+    return counted.select("client", "event_id", "requests", F.when(F.col("requests") > limit, 429).otherwise(200).alias("http_status"))
+
+
+def rate_limit_log(requests: DataFrame, seconds: int = 60, limit: int = 5) -> DataFrame:
+    """One answer for each request: 429 if the client has sent more than ``limit`` in the last ``seconds``, this one included."""
+    return request_statuses(bucket_counts(request_buckets(requests, seconds), seconds), limit)
+
+
 def duration_units(column: str = "duration_sec") -> Column:
     """Durations in whole microseconds, so that sums do not depend on the order of addition."""
     return F.round(F.col(column) * 1000000).cast("bigint")

@@ -50,6 +50,25 @@ def stream_rate_limit(spark, sf_dir):
     return S.rate_limit(stream_view(spark, sf_dir, "job_events"), window="1 day", limit=5)
 
 
+REQUEST_SQL = """SELECT client, event_id, requests, CASE WHEN requests > 5 THEN 429 ELSE 200 END AS http_status FROM (SELECT client, event_id,
+  count(*) OVER (PARTITION BY client ORDER BY request_us RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY client, request_us)
+  + row_number() OVER (PARTITION BY client, request_us ORDER BY event_id) AS requests FROM requests)"""
+
+
+def _requests(rows):
+    return rows.select("client", "event_id", F.timestamp_micros("request_us").alias("event_ts"))
+
+
+@query("request_statuses", REQUEST_SQL)
+def request_statuses(spark, sf_dir):
+    return J.rate_limit_log(_requests(view(spark, sf_dir, "requests")))
+
+
+@query("stream_request_statuses", REQUEST_SQL)
+def stream_request_statuses(spark, sf_dir):
+    return S.rate_limit_log(_requests(stream_view(spark, sf_dir, "requests")))
+
+
 _STEPS = ", ".join(f"'{a}>{b}'" for a, b in J.STEPS)
 
 
@@ -57,7 +76,7 @@ _STEPS = ", ".join(f"'{a}>{b}'" for a, b in J.STEPS)
  FROM (SELECT job_id, event_id, status, lag(status) OVER w AS previous, CAST(sum(CASE WHEN status = 'SANDBOXING' THEN 1 ELSE 0 END) OVER w AS BIGINT) AS attempt
   FROM job_events WINDOW w AS (PARTITION BY job_id ORDER BY event_ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""")
 def stream_retry_machine(spark, sf_dir):
-    return S.retry_machine(stream_view(spark, sf_dir, "job_events")).drop("batch_number")
+    return S.retry_machine(stream_view(spark, sf_dir, "job_events"), "month")
 
 
 @query("stream_webhook_route", ROUTE_SQL)

@@ -100,6 +100,11 @@ SELECT event_id, concat('job-', cast(user_id AS string)) AS job_id, ts AS event_
        CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS healed,
        concat('10.0.0.', cast(user_id % 50 AS string)) AS client, value / 1000 AS duration_sec
 FROM {{events}}"""),
+    # The log's time runs a thousand times as fast, so that clients send more than one request a minute.
+    "requests": ("events", """
+SELECT event_id, concat('10.0.0.', cast(user_id % 50 AS string)) AS client,
+       ((((cast(year(ts) AS bigint) * 366 + dayofyear(ts)) * 24 + hour(ts)) * 60 + minute(ts)) * 60 + second(ts)) * 1000 + event_id % 1000 AS request_us
+FROM {events}"""),
     "webhook_payloads": ("events", """
 SELECT event_id,
        CASE WHEN event_id % 13 = 0 THEN concat(chr(123), chr(125))

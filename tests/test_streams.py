@@ -1,5 +1,7 @@
 """Streams over several micro batches equal their batch operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +73,88 @@ def test_late_events_and_restart(spark, sf_dir, tmp_path, order):
             same(S.rate_limit(stream(spark, path, "job_events"), "1 day", 5, folder=folders[2]), J.rate_limited(log, "1 day", 5))
 
 
+def request_rows(n=400):
+    """A busy client, several quiet ones, equal times, and days in between."""
+    rng = random.Random(4)
+    start = 1_700_000_000_000_000
+    rows = [(i, "busy" if i % 3 else f"c{rng.randrange(6)}", start + rng.choice([0, 86_400, 200_000]) * 1_000_000 + rng.randrange(200) * 1_500_000) for i in range(n)]
+    return rows
+
+
+def brute_statuses(rows, limit=5):
+    out = set()
+    for i, client, us in rows:
+        n = sum(c == client and us - 60_000_000 < u and (u, j) <= (us, i) for j, c, u in rows)
+        out.add((client, i, n, 429 if n > limit else 200))
+    return out
+
+
+def logged(df):
+    return df.select("client", "event_id", F.timestamp_micros("us").alias("event_ts"))
+
+
+LOG = "event_id long, client string, us long"
+
+
+def test_rate_limit_log(spark):
+    rows = request_rows()
+    got = J.rate_limit_log(logged(spark.createDataFrame(rows, LOG)))
+    assert {tuple(r) for r in got.select("client", "event_id", "requests", "http_status").collect()} == brute_statuses(rows)
+    assert {r.http_status for r in got.collect()} == {200, 429}
+
+
+@pytest.mark.parametrize("shuffled", [False, True])
+def test_request_statuses_over_batches(spark, tmp_path, shuffled):
+    """Each request is answered as in the batch, in whatever order files come, over days, and after a stop."""
+    rows = sorted(request_rows(), key=lambda r: (r[2], r[0]))
+    if shuffled:
+        random.Random(1).shuffle(rows)
+    path, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    late = 0
+    for part in range(4):
+        spark.createDataFrame(rows[part * 100:part * 100 + 100], LOG).coalesce(1).write.parquet(f"{path}/p{part}")
+        if part % 2:
+            raw = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+            got = S.rate_limit_log(logged(raw), folder=folder)
+            assert {tuple(r) for r in got.select("client", "event_id", "requests", "http_status").collect()} == brute_statuses(rows[:part * 100 + 100])
+            late = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/input/rows").where("late").count()
+    assert (late > 0) == shuffled
+
+
+def test_state_of_past_buckets_is_freed(spark, tmp_path):
+    """Once the watermark has passed a bucket its rows leave the state store; the result stays."""
+    rows = [(i, "c", 1_700_000_000_000_000 + (i // 10) * 86_400_000_000 + i) for i in range(60)]
+    path, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    for part in range(6):
+        spark.createDataFrame(rows[part * 10:part * 10 + 10], LOG).coalesce(1).write.parquet(f"{path}/p{part}")
+        raw = spark.readStream.schema(LOG).option("recursiveFileLookup", "true").parquet(path)
+        got = S.rate_limit_log(logged(raw), folder=folder)
+    assert {tuple(r) for r in got.select("client", "event_id", "requests", "http_status").collect()} == brute_statuses(rows)
+    kept = spark.read.format("statestore").option("stateVarName", "log").option("path", f"{folder}/on-time/progress").load()
+    assert {r.key.bucket_end // 86_400_000_000 for r in kept.select("key").distinct().collect()} == {19675 + 5}
+
+
+@pytest.mark.parametrize("order", [[0, 1, 2, 3, 4], [4, 2, 0, 3, 1]])
+def test_windows_count_late_rows(spark, tmp_path, order):
+    """Files of several days in any order give the sums of the batch; rows behind the watermark are added, not dropped."""
+    rows = [(f"c{i % 3}", i * 0.25, 1_700_000_000 + (i % 5) * 86_400 + i * 60) for i in range(200)]
+    schema = "client string, duration_sec double, s long"
+    for at, day in enumerate(order):
+        part = [r for i, r in enumerate(rows) if i % 5 == day]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/p{at}")
+    timed = lambda df: df.select("client", "duration_sec", F.timestamp_seconds("s").alias("event_ts"))
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    log = timed(spark.createDataFrame(rows, schema))
+    folder = str(tmp_path / "latency")
+    days = log.groupBy(F.unix_seconds(F.date_trunc("day", "event_ts")).alias("window_start")).agg(F.count("*").alias("total_requests"),
+                                                                                                F.sum(J.duration_units()).alias("u"))
+    want = days.select("window_start", "total_requests", J.mean_seconds(F.col("u"), F.col("total_requests")).alias("average_latency_sec"))
+    same(S.request_latency(timed(raw), folder=folder), want)
+    same(S.rate_limit(timed(raw), "1 hour", 3), J.rate_limited(log, "1 hour", 3))
+    marked = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/input/rows")
+    assert marked.count() == 200 and (marked.where("late").count() > 0) == (order != sorted(order))
+
+
 def test_no_input(spark, tmp_path):
     write_part(spark, str(tmp_path / "in"), "none", [])
     empty = stream(spark, str(tmp_path / "in"), "job_events")
