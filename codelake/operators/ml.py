@@ -8,46 +8,72 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer,
-                                StopWordsRemover, StringIndexer)
+from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import fixed
 from ..functions.text import is_blank
+from .bayes import TERM, tokens, top_terms
 
-# Words of at least two letters, digits or underscores.
-TERM = r"[\p{L}\p{N}_]{2,}"
 MIN_CWE_ROWS = 50
 
 
 def _terms(code: str) -> list:
     """Lower-cased words without stop words, as unigrams and bigrams in one column."""
     return [RegexTokenizer(inputCol=code, outputCol="words", pattern=TERM, gaps=False),
-            StopWordsRemover(inputCol="words", outputCol="kept"),
+            StopWordsRemover(inputCol="words", outputCol="kept", stopWords=fixed.STOP_WORDS),
             NGram(n=2, inputCol="kept", outputCol="pairs"),
             SQLTransformer(statement="SELECT *, concat(kept, pairs) AS terms FROM __THIS__")]
 
 
-def cwe_pipeline(code: str = "code", cwe: str = "cwe_id", vocabulary: int = 8000, trees: int = 200,
-                 depth: int = 20, seed: int = 42) -> Pipeline:
+def terms_and_pairs(code: Column) -> Column:
+    """The same terms as a column expression."""
+    kept = F.filter(tokens(code, None), lambda t: ~t.isin(fixed.STOP_WORDS))
+    pairs = F.transform(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), lambda t, i: F.concat_ws(" ", t, F.get(kept, i + 1)))
+    return F.concat(kept, pairs)
+
+
+def vocabulary(rows: DataFrame, code: str = "code", size: int = 8000) -> DataFrame:
+    """The terms of the CWE model by number of rows and name: ``position`` from 0, ``term``, ``df`` and smoothed ``idf``."""
+    n = rows.agg(F.count("*")).scalar()
+    top = top_terms(rows, terms_and_pairs(F.col(code)), size).select("term", "df")
+    # At most ``size`` rows are numbered.
+    place = F.row_number().over(Window.orderBy(F.desc("df"), F.asc("term"))) - 1
+    return top.select(place.alias("position"), "term", "df", F.round(F.log((n + 1.0) / (F.col("df") + 1.0)) + 1.0, 6).alias("idf"))
+
+
+def label_index(rows: DataFrame, label: str = "cwe_id") -> DataFrame:
+    """Labels by falling number of rows, then by name: ``position`` from 0, ``label`` and ``rows``. There are as many rows as classes."""
+    counted = rows.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("rows"))
+    return counted.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rows"), F.asc("label"))) - 1)
+
+
+def cwe_pipeline(terms: list[str], code: str = "code", cwe: str = "cwe_id", trees: int = 200, depth: int = 20, seed: int = 42) -> Pipeline:
+    """Forest over the counts of the given ``terms``."""
     return Pipeline(stages=[
-        *_terms(code), CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=vocabulary),
+        *_terms(code), CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts"),
         IDF(inputCol="counts", outputCol="features"), StringIndexer(inputCol=cwe, outputCol="cwe_index"),
         RandomForestClassifier(featuresCol="features", labelCol="cwe_index", numTrees=trees, maxDepth=depth,
                                seed=seed, subsamplingRate=1.0, maxMemoryInMB=1024)])
 
 
-def train_cwe_classifier(samples: DataFrame, **options) -> PipelineModel | None:
+def cwe_samples(samples: DataFrame) -> DataFrame:
+    return samples.where("label = 1 and cwe_id is not null and cwe_id <> ''").select("code", "cwe_id")
+
+
+def train_cwe_classifier(samples: DataFrame, size: int = 8000, **options) -> PipelineModel | None:
     """CWE model on vulnerable rows with a CWE; None when there are too few."""
-    rows = samples.where("label = 1 and cwe_id is not null and cwe_id <> ''").select("code", "cwe_id")
+    rows = cwe_samples(samples)
     # Every stage of the pipeline reads the rows again, so they are spread evenly and kept.
     rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if rows.limit(MIN_CWE_ROWS).count() < MIN_CWE_ROWS:
             return None
-        return cwe_pipeline(**options).fit(rows)
+        terms = [r.term for r in vocabulary(rows, size=size).orderBy("position").collect()]  # at most ``size``
+        return cwe_pipeline(terms, **options).fit(rows)
     finally:
         rows.unpersist()
 
@@ -108,10 +134,11 @@ def term_idf(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def embed(df: DataFrame, width: int = 64, code: str = "code", key: str = "snippet_id") -> DataFrame:
-    """Unit vector of hashed terms per snippet; zeros for blank code."""
-    tokens = RegexTokenizer(inputCol="_text", outputCol="_words", pattern=TERM, gaps=False)
-    counts = HashingTF(inputCol="_words", outputCol="_counts", numFeatures=width)
-    unit = Normalizer(inputCol="_counts", outputCol="_unit", p=2.0)
-    source = df.select(key, F.when(is_blank(F.col(code)), "").otherwise(F.col(code)).alias("_text"))
-    return unit.transform(counts.transform(tokens.transform(source))).select(
-        key, vector_to_array("_unit", "float32").alias("embedding"))
+    """Unit vector of hashed terms per snippet; zeros for blank code. A term's place is its MD5's first four digits, modulo ``width``."""
+    words = F.when(is_blank(F.col(code)), F.array().cast("array<string>")).otherwise(tokens(F.col(code), None))
+    places = F.transform(words, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % width)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter("_places", lambda p: p == i)))
+    length = F.sqrt(F.aggregate("_counts", F.lit(0), lambda total, n: total + n * n).cast("double"))
+    unit = F.transform("_counts", lambda n: F.when(n > 0, n / F.col("_length")).otherwise(0.0).cast("float"))
+    return (df.select(key, places.alias("_places")).select(key, counts.alias("_counts")).select(key, "_counts", length.alias("_length"))
+            .select(key, unit.alias("embedding")))

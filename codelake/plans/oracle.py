@@ -199,6 +199,29 @@ TABLES |= {
     "balanced_rows": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256(code_hash || ':42'), code_hash) AS rank FROM unique_rows), class_size WHERE rank <= n""",
 }
 
+# The classifier in closed form: labelled documents in three parts, its terms, their weights, and the scores of all documents.
+TERM = r"[\p{L}\p{N}_]{2,}"
+_WORDS = f"regexp_extract_all(lower(coalesce(text, '')), {lit(TERM)})"
+TABLES |= {
+    "nb_parts": """SELECT *, CASE WHEN rk <= t THEN 'test' WHEN rk <= t + ceil(round((n - t) * (0.1e0 / 0.9e0), 6)) THEN 'val' ELSE 'train' END AS split
+ FROM (SELECT *, ceil(round(n * 0.1e0, 6)) AS t FROM (SELECT doc_id, quality AS label, count(*) OVER (PARTITION BY quality) AS n,
+  row_number() OVER (PARTITION BY quality ORDER BY sha256(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS rk FROM labels JOIN documents USING (doc_id)))""",
+    "nb_words": f"SELECT doc_id, list_slice({_WORDS}, 1, 512) AS w FROM documents",
+    "nb_tokens": "SELECT doc_id, unnest(w) AS term FROM nb_words",
+    "nb_terms": """SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences, count(*) FILTER (WHERE label = 1) AS bad
+ FROM nb_tokens JOIN nb_parts USING (doc_id) WHERE split = 'train' GROUP BY term ORDER BY df DESC, term LIMIT 8000""",
+    "nb_weights": """SELECT term, CAST(round((ln((bad + 1e0) / (sum(bad) OVER () + count(*) OVER ()))
+  - ln((occurrences - bad + 1e0) / (sum(occurrences - bad) OVER () + count(*) OVER ()))) * 1000000) AS BIGINT) AS weight FROM nb_terms""",
+    "nb_prior": """SELECT CAST(round(ln((count(*) FILTER (WHERE label = 1) + 1e0) / (count(*) FILTER (WHERE label = 0) + 1e0)) * 1000000) AS BIGINT) AS prior
+ FROM nb_parts WHERE split = 'train'""",
+    "nb_scores": """SELECT doc_id, round(1e0 / (1e0 + exp(-greatest(least((coalesce(units, 0) + prior) / 1000000e0, 30e0), -30e0))), 6) AS ml_prob
+ FROM documents LEFT JOIN (SELECT doc_id, sum(weight) AS units FROM nb_tokens JOIN nb_weights USING (term) GROUP BY doc_id) USING (doc_id), nb_prior""",
+    "cwe_rows": "SELECT snippet_id, predicted_cwe AS label, code AS text FROM vuln WHERE coalesce(predicted_cwe, '') <> ''",
+    "cwe_words": f"SELECT snippet_id, list_filter({_WORDS}, lambda t: t NOT IN ({', '.join(map(lit, fixed.STOP_WORDS))})) AS w FROM cwe_rows",
+    "cwe_terms": """SELECT term, count(DISTINCT snippet_id) AS df FROM (SELECT snippet_id, unnest(w) AS term FROM cwe_words
+  UNION ALL SELECT snippet_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM cwe_words) GROUP BY term ORDER BY df DESC, term LIMIT 8000""",
+}
+
 _ORDER = list(TABLES)
 
 

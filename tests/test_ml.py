@@ -1,8 +1,13 @@
 """Spark ML pipelines on small samples."""
 
+import math
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from codelake.operators import ml
+from codelake.operators import bayes, ml
 
 
 def samples(spark, n=60):
@@ -41,3 +46,55 @@ def test_term_idf(spark):
     got = {r.term: r.df for r in ml.term_idf(docs).collect()}
     assert got == {"aa": 1, "bb": 2}
     assert ml.term_idf(docs).where("term = 'bb'").select(F.col("idf")).first()[0] == 1.0
+
+
+def labelled(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        own = "unsafe eval input" if i % 2 else "checked bound query"
+        rows.append((i, " ".join(rng.choice(own.split() + ["alpha", "beta", "gamma_1", "x"]) for _ in range(12)), i % 2))
+    return spark.createDataFrame(rows + [(900, None, 1), (901, "", 0), (902, "eval", None)], "doc_id long, text string, label int")
+
+
+def test_term_model_against_a_plain_version(spark, tmp_path):
+    """Weights and probabilities written out in plain Python; the model learns, and comes back from disk the same."""
+    rows = labelled(spark)
+    model = bayes.train(rows, size=8)
+    docs = [(r.doc_id, re.findall(r"\w{2,}", (r.text or "").lower()), r.label) for r in rows.collect()]
+    known = [d for d in docs if d[2] is not None]
+    df, bad, all_ = Counter(t for _, w, _ in known for t in set(w)), Counter(t for _, w, y in known for t in w if y), Counter(t for _, w, _ in known for t in w)
+    chosen = sorted(df, key=lambda t: (-df[t], t))[:8]
+    b, g = sum(bad[t] for t in chosen), sum(all_[t] - bad[t] for t in chosen)
+    weights = {t: round(1e6 * (math.log((bad[t] + 1) / (b + 8)) - math.log((all_[t] - bad[t] + 1) / (g + 8)))) for t in chosen}
+    assert {r.term: r.weight for r in model.terms.collect()} == weights
+    prior = round(1e6 * math.log((sum(y for *_, y in known) + 1) / (sum(1 - y for *_, y in known) + 1)))
+    want = {i: round(1 / (1 + math.exp(-(prior + sum(weights.get(t, 0) for t in w)) / 1e6)), 6) for i, w, _ in docs}
+    assert {r.doc_id: r.ml_prob for r in bayes.score(model, rows, "doc_id").collect()} == want
+    model.save(str(tmp_path / "m"))
+    loaded = bayes.TermModel.load(spark, str(tmp_path / "m"))
+    assert {r.doc_id: r.ml_prob for r in bayes.score(loaded, rows, "doc_id").collect()} == want
+    batched = ml.score_batches(rows, bayes.scorer(model), "text")
+    assert {r.doc_id: round(r.ml_prob, 6) for r in batched.collect()} == want
+    right = [(want[i] >= 0.5) == (y == 1) for i, w, y in known if w]
+    assert sum(right) > 0.95 * len(right)
+
+
+def test_scorer_cuts_texts(spark):
+    model = bayes.TermModel(spark.createDataFrame([("aa", 5_000_000), ("bb", -9_000_000)], "term string, weight long"), 0)
+    rows = spark.createDataFrame([(1, "aa " * 3 + "bb " * 9)], "doc_id long, text string")
+    cut = ml.score_batches(rows, bayes.scorer(model, max_tokens=3), "text").first().ml_prob
+    assert cut == 1 / (1 + math.exp(-15)) and ml.score_batches(rows, bayes.scorer(model), "text").first().ml_prob < 0.01
+
+
+def test_model_without_rows(spark):
+    rows = labelled(spark)
+    model = bayes.train(rows.limit(0))
+    assert model.terms.count() == 0 and {r.ml_prob for r in bayes.score(model, rows, "doc_id").collect()} == {0.5}
+
+
+def test_vocabulary(spark):
+    rows = spark.createDataFrame([("the cat_1 sat", "x"), ("cat_1 sat sat", "y"), ("Sat and ran", "x")], "code string, cwe_id string")
+    got = [(r.position, r.term, r.df) for r in ml.vocabulary(rows, size=3).orderBy("position").collect()]
+    assert got == [(0, "sat", 3), (1, "cat_1", 2), (2, "cat_1 sat", 2)]
+    assert [(r.position, r.label, r.rows) for r in ml.label_index(rows).orderBy("position").collect()] == [(0, "x", 2), (1, "y", 1)]
