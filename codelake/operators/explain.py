@@ -1,7 +1,8 @@
 """Attention weights mapped to source lines, heat maps and affected lines.
 
-``attention`` has one row per snippet, head and token with character offsets and a weight. A snippet's
-tokens are bounded by the model's input length, so windows per snippet stay small.
+``attention`` has one row per snippet, head and token with character offsets and a weight. A snippet's tokens are bounded by
+the model's input length, so they are gathered once, as one array per snippet; lines, sums and ranks are then looked up inside
+the row, and the code is neither joined to tokens nor moved again.
 """
 
 from __future__ import annotations
@@ -11,31 +12,67 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.explain import reason_sentence
-from ..functions.text import _LINE_ENDS, code_lines, strip
+from ..functions.text import code_lines, strip
 from .rank import top_per_group
 from .settle import settle
 
-TOKEN_KEYS = ["snippet_id", "token_idx", "token", "tok_start", "tok_end"]
+TOKEN_KEYS = ["token_idx", "token", "tok_start", "tok_end"]
 # Weights are kept as whole ten-billionths, so sums, ranks and rounding do not depend on the order of addition.
 UNIT = 10 ** 10
 
 
+def snippet_tokens(attention: DataFrame) -> DataFrame:
+    """One row per snippet with its ``tokens`` in order: the keys and ``units``, the share of the mean over heads.
+
+    Rows are dealt by snippet once; means and lists are made where they then lie.
+    """
+    mean = attention.repartition("snippet_id").groupBy("snippet_id", *TOKEN_KEYS).agg(F.avg("weight").alias("_mean"))
+    lists = mean.groupBy("snippet_id").agg(F.array_sort(F.collect_list(F.struct(*TOKEN_KEYS, "_mean"))).alias("_tokens"))
+    total = F.aggregate("_tokens", F.lit(0.0), lambda acc, t: acc + t["_mean"])
+    share = lambda t: F.when(F.col("_total") > 0, t["_mean"] / F.col("_total")).otherwise(t["_mean"])
+    tokens = F.transform("_tokens", lambda t: F.struct(*[t[k].alias(k) for k in TOKEN_KEYS], F.round(share(t) * UNIT).cast("bigint").alias("units")))
+    return settle(lists.withColumn("_total", total), ["_total"]).select("snippet_id", tokens.alias("tokens"))
+
+
 def cls_attention(attention: DataFrame) -> DataFrame:
-    """Mean over heads, scaled so that a snippet's weights add up to one."""
-    mean = attention.groupBy(*TOKEN_KEYS).agg(F.avg("weight").alias("_mean"))
-    total = F.sum("_mean").over(Window.partitionBy("snippet_id"))
-    share = F.when(F.col("_total") > 0, F.col("_mean") / F.col("_total")).otherwise(F.col("_mean"))
-    return (mean.withColumn("_total", total).withColumn("units", F.round(share * UNIT).cast("bigint"))
-            .withColumn("weight", F.col("units") / UNIT).drop("_mean", "_total"))
+    """One row per token: the mean over heads, scaled so that a snippet's weights add up to one."""
+    return snippet_tokens(attention).select("snippet_id", F.inline("tokens")).withColumn("weight", F.col("units") / UNIT)
 
 
-def line_of_offset(code: Column, offset: Column) -> Column:
-    """1-based line holding a character offset (a line owns its line end); 1 when outside the text."""
-    text = F.regexp_replace(code, _LINE_ENDS, "\n")
-    end = F.length(text) - F.when(F.endswith(text, F.lit("\n")), 1).otherwise(0)
-    before = F.substring(text, F.lit(1), offset.cast("int"))
-    breaks = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))
-    return F.when((offset < 0) | (offset > end) | (text == ""), 1).otherwise(breaks + 1).cast("int")
+def with_lines(df: DataFrame, tokens: DataFrame, code: str = "code") -> DataFrame:
+    """``df`` (one row per snippet) with ``lines``, the texts, and ``placed``: tokens with the line that holds their start.
+
+    A line owns its line end. Tokens that start outside the text count to line 1; padding (offsets 0, 0 after the first token) is
+    left out.
+    """
+    real = F.filter("tokens", lambda t: ~((t["tok_start"] == 0) & (t["tok_end"] == 0) & (t["token_idx"] > 0)))
+    cut = df.join(tokens, "snippet_id", "left").withColumns({
+        "lines": code_lines(F.col(code)), "_real": F.coalesce(real, F.array().cast(tokens.schema["tokens"].dataType))}).drop("tokens")
+    cut = settle(cut, ["lines", "_real"])
+    # Line starts up to the last token: a line takes one character at least.
+    reach = F.coalesce(F.array_max(F.transform("_real", lambda t: t["tok_start"].cast("int"))), F.lit(-1)) + 1
+    some = F.slice("lines", F.lit(1), F.least(F.size("lines"), F.greatest(reach, F.lit(0))))
+    starts = F.aggregate(some, F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at")), lambda acc, line: F.struct(
+        F.concat(acc["starts"], F.array(acc["at"])).alias("starts"), (acc["at"] + F.length(line) + 1).alias("at")))["starts"]
+    end = F.aggregate("lines", F.lit(-1), lambda acc, line: acc + F.length(line) + 1)
+    cut = settle(cut.withColumns({"_starts": starts, "_end": end}), ["_starts", "_end"])
+
+    def line(t: Column) -> Column:
+        at = t["tok_start"]
+        return F.when((at < 0) | (at > F.col("_end")), 1).otherwise(F.size(F.filter("_starts", lambda s: s <= at)))
+
+    placed = F.transform("_real", lambda t: F.struct(t["token_idx"].alias("token_idx"), line(t).alias("line_number"), t["units"].alias("units")))
+    return settle(cut.withColumn("placed", placed), ["placed"]).drop("_real", "_starts", "_end")
+
+
+def with_line_units(df: DataFrame, tokens: DataFrame, code: str = "code") -> DataFrame:
+    """``df`` with ``lines`` and ``line_units``, the weight of each line, zero for lines without tokens."""
+    placed = with_lines(df, tokens, code)
+    held = F.array_distinct(F.transform("placed", lambda p: p["line_number"]))
+    total = lambda n: F.aggregate(F.filter("placed", lambda p: p["line_number"] == n), F.lit(0).cast("bigint"), lambda acc, p: acc + p["units"])
+    summed = settle(placed.withColumn("_sums", F.map_from_entries(F.transform(held, lambda n: F.struct(n, total(n))))), ["_sums"])
+    units = F.transform("lines", lambda _, i: F.coalesce(F.try_element_at("_sums", i + 1), F.lit(0).cast("bigint")))
+    return settle(summed.withColumn("line_units", units), ["line_units"]).drop("placed", "_sums")
 
 
 def line_offsets(snippets: DataFrame, key: str = "snippet_id", code: str = "code") -> DataFrame:
@@ -48,42 +85,40 @@ def line_offsets(snippets: DataFrame, key: str = "snippet_id", code: str = "code
                     (F.col("line_start") + F.length("line_text")).alias("line_end")))
 
 
-def token_lines(cls: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Line of each token; padding tokens (offsets 0,0 after the first token) are left out."""
-    real = cls.where(~((F.col("tok_start") == 0) & (F.col("tok_end") == 0) & (F.col("token_idx") > 0)))
-    return (real.join(snippets.select("snippet_id", "code"), "snippet_id")
-            .withColumn("line_number", line_of_offset(F.col("code"), F.col("tok_start"))))
+def token_lines(attention: DataFrame, snippets: DataFrame) -> DataFrame:
+    """Line of each token; padding tokens are left out."""
+    return with_lines(snippets.select("snippet_id", "code"), snippet_tokens(attention)).select("snippet_id", F.inline("placed"))
+
+
+def line_attention(attention: DataFrame, snippets: DataFrame) -> DataFrame:
+    """Weight per line, with a zero for lines without tokens."""
+    scored = with_line_units(snippets.select("snippet_id", "code"), snippet_tokens(attention))
+    return (scored.select("snippet_id", F.posexplode("line_units").alias("_pos", "units"))
+            .select("snippet_id", (F.col("_pos") + 1).alias("line_number"), "units", (F.col("units") / UNIT).alias("score")))
 
 
-def line_attention(cls: DataFrame, snippets: DataFrame) -> DataFrame:
-    """Weight per line, with a zero for lines without tokens.
+def with_top_lines(pred: DataFrame, tokens: DataFrame, threshold: float = 0.15) -> DataFrame:
+    """``pred`` with ``top_lines``, numbers and units of its affected lines, and ``first_line`` and ``last_line``.
 
-    The zeros come from a union with the line spine, which needs one aggregate instead of an extra join.
+    Affected are the lines above the threshold that aren't trivial, else the best two; none below confidence 0.5.
     """
-    weights = token_lines(cls, snippets).where("code <> ''").select("snippet_id", "line_number", "units")
-    spine = snippets.select("snippet_id", F.posexplode(code_lines(F.col("code"))).alias("pos", "_text")).select(
-        "snippet_id", (F.col("pos") + 1).alias("line_number"), F.lit(0).cast("bigint").alias("units"))
-    return (weights.unionByName(spine).groupBy("snippet_id", "line_number")
-            .agg(F.sum("units").alias("units")).withColumn("score", F.col("units") / UNIT))
-
-
-def top_lines(scores: DataFrame, confidences: DataFrame, threshold: float = 0.15) -> DataFrame:
-    """Affected lines: above the threshold and not trivial; else the best two; none below confidence 0.5."""
-    sure = confidences.where("confidence >= 0.5").select("snippet_id", "code")
-    lines = scores.join(sure, "snippet_id").withColumn(
-        "_solid", F.length(strip(F.get(code_lines(F.col("code")), F.col("line_number") - 1))) > 1).drop("code")
-    per_snippet = Window.partitionBy("snippet_id")
-    order = per_snippet.orderBy(F.desc("units"), F.asc("line_number"))
-    strong = F.col("_solid") & (F.col("units") > round(threshold * UNIT))
-    return (lines.withColumn("_rank", F.row_number().over(order))
-            .withColumn("_any", F.max(F.when(strong, 1).otherwise(0)).over(per_snippet))
-            .where(F.when(F.col("_any") == 1, strong).otherwise(F.col("_solid") & (F.col("_rank") <= 2)))
-            .select("snippet_id", "line_number", "score"))
-
-
-def line_span(top: DataFrame) -> DataFrame:
-    """First and last affected line per snippet."""
-    return top.groupBy("snippet_id").agg(F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"))
+    scored = with_line_units(pred, tokens)
+    ranked = F.transform(F.array_sort(F.transform("line_units", lambda u, i: F.struct((-u).alias("low"), (i + 1).alias("line_number")))),
+                         lambda x: F.struct(x["line_number"].alias("line_number"), (-x["low"]).alias("units")))
+    scored = settle(scored.withColumn("_ranked", F.when(F.col("confidence") >= 0.5, ranked)), ["_ranked"])
+    solid = lambda x: F.length(strip(F.get("lines", x["line_number"] - 1))) > 1
+    strong = F.filter("_ranked", lambda x: (x["units"] > round(threshold * UNIT)) & solid(x))
+    scored = settle(scored.withColumns({"_strong": strong, "_best": F.filter(F.slice("_ranked", 1, 2), solid)}), ["_strong", "_best"])
+    top = F.coalesce(F.when(F.size("_strong") > 0, F.col("_strong")).otherwise(F.col("_best")), F.array().cast("array<struct<line_number:int,units:bigint>>"))
+    scored = settle(scored.withColumn("top_lines", top), ["top_lines"]).drop("_ranked", "_strong", "_best", "lines", "line_units")
+    numbers = F.transform("top_lines", lambda x: x["line_number"])
+    return scored.withColumns({"first_line": F.array_min(numbers), "last_line": F.array_max(numbers)})
+
+
+def top_lines(attention: DataFrame, pred: DataFrame, threshold: float = 0.15) -> DataFrame:
+    """Affected lines of each snippet, one row each."""
+    found = with_top_lines(pred.select("snippet_id", "code", "confidence"), snippet_tokens(attention), threshold)
+    return found.select("snippet_id", F.inline("top_lines")).select("snippet_id", "line_number", (F.col("units") / UNIT).alias("score"))
 
 
 def with_reason(df: DataFrame, code: str = "code", line: str = "first_line", cwe: str = "predicted_cwe") -> DataFrame:

@@ -41,8 +41,7 @@ def explained_findings(pred: DataFrame, attention: DataFrame | None = None) -> D
     if attention is None:
         spanned = bad.withColumns({c: F.lit(None).cast("int") for c in ("first_line", "last_line")})
     else:
-        lines = explain.line_attention(explain.cls_attention(attention), bad.select("snippet_id", "code"))
-        spanned = bad.join(explain.line_span(explain.top_lines(lines, bad)), "snippet_id", "left")
+        spanned = explain.with_top_lines(bad, explain.snippet_tokens(attention))
     return detect.finding_projection(explain.with_reason(spanned))
 
 

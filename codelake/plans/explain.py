@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import explain
 from ..sources.fixtures import view
 from ..sources.tables import read_table
-from .registry import affected_lines, predictions, query
+from .registry import predictions, query
 
 
 def _cls(spark, sf_dir):
@@ -28,19 +28,19 @@ def line_offsets(spark, sf_dir):
 
 @query("line_attention", "SELECT snippet_id, line_number, units / 10000000000e0 AS score FROM line_attention")
 def line_attention(spark, sf_dir):
-    return explain.line_attention(_cls(spark, sf_dir), view(spark, sf_dir, "snippets")).select("snippet_id", "line_number", "score")
+    return explain.line_attention(view(spark, sf_dir, "attention"), view(spark, sf_dir, "snippets")).select("snippet_id", "line_number", "score")
 
 
 @query("sort_lines", "SELECT snippet_id, line_number, row_number() OVER (PARTITION BY snippet_id ORDER BY units DESC, line_number) AS position FROM line_attention")
 def sort_lines(spark, sf_dir):
-    lines = explain.line_attention(_cls(spark, sf_dir), view(spark, sf_dir, "snippets"))
+    lines = explain.line_attention(view(spark, sf_dir, "attention"), view(spark, sf_dir, "snippets"))
     order = Window.partitionBy("snippet_id").orderBy(F.desc("units"), F.asc("line_number"))
     return lines.select("snippet_id", "line_number", F.row_number().over(order).alias("position"))
 
 
 @query("top_lines", "SELECT snippet_id, line_number, units / 10000000000e0 AS score FROM top_lines")
 def top_lines(spark, sf_dir):
-    return affected_lines(spark, sf_dir, predictions(spark, sf_dir).where("vulnerable"))
+    return explain.top_lines(view(spark, sf_dir, "attention"), predictions(spark, sf_dir).where("vulnerable"))
 
 
 HEATMAP_SQL = """SELECT snippet_id, token_idx, token, floor((units + 50000) / 100000) / 100000 AS weight,

@@ -166,8 +166,7 @@ def lsh_recall(spark, sf_dir):
 
 @query("offset_to_line", "SELECT snippet_id, token_idx, line_number FROM token_lines")
 def offset_to_line(spark, sf_dir):
-    cls = explain.cls_attention(view(spark, sf_dir, "attention"))
-    return explain.token_lines(cls, view(spark, sf_dir, "snippets")).select("snippet_id", "token_idx", "line_number")
+    return explain.token_lines(view(spark, sf_dir, "attention"), view(spark, sf_dir, "snippets")).select("snippet_id", "token_idx", "line_number")
 
 
 ROUTE_SQL = """SELECT event_id, html_url, r.id AS repository_id, CASE WHEN coalesce(html_url, '') = '' THEN 'No repository URL in payload'

@@ -36,21 +36,17 @@ def vulnerable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).where("vulnerable").withColumn("risk_score", F.col("confidence"))
 
 
-def affected_lines(spark: SparkSession, sf_dir: str, pred: DataFrame, few: bool = False) -> DataFrame:
-    """Affected lines of the given rows; with ``few`` the attention table is first cut down to them."""
-    snippets, attention = view(spark, sf_dir, "snippets"), view(spark, sf_dir, "attention")
-    if few:
-        wanted = pred.select("snippet_id")
-        snippets, attention = (t.join(wanted, "snippet_id", "left_semi") for t in (snippets, attention))
-    return explain.top_lines(explain.line_attention(explain.cls_attention(attention), snippets), pred)
-
-
 def explained(spark: SparkSession, sf_dir: str, pred: DataFrame | None = None) -> DataFrame:
-    """Vulnerable predictions, or the ``pred`` rows chosen from them, with affected lines and the reason sentence."""
-    few = pred is not None
-    pred = pred if few else predictions(spark, sf_dir).where("vulnerable")
-    spans = explain.line_span(affected_lines(spark, sf_dir, pred, few))
-    return explain.with_reason(pred.join(spans, "snippet_id", "left"))
+    """Vulnerable predictions, or the ``pred`` rows chosen from them, with affected lines and the reason sentence.
+
+    For chosen rows the attention table is first cut down to them.
+    """
+    attention = view(spark, sf_dir, "attention")
+    if pred is not None:
+        attention = attention.join(pred.select("snippet_id"), "snippet_id", "left_semi")
+    else:
+        pred = predictions(spark, sf_dir).where("vulnerable")
+    return explain.with_reason(explain.with_top_lines(pred, explain.snippet_tokens(attention)))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,10 +184,58 @@ def test_heatmap_and_line_scores(spark):
     heat = {r.token: (r.weight, r.importance) for r in explain.heatmap(cls).collect()}
     assert heat == {"a": (0.1, 0.2), "b": (0.4, 0.8)}
     code = spark.createDataFrame([(1, "line1\nline2\nline3")], "snippet_id long, code string")
-    assert {r.line_number: r.score for r in explain.line_attention(cls, code).collect()} == {1: 0.6, 2: 0.4, 3: 0.0}
+    assert {r.line_number: r.score for r in explain.line_attention(att, code).collect()} == {1: 0.6, 2: 0.4, 3: 0.0}
     sure = code.withColumn("confidence", F.lit(0.9))
-    assert [r.line_number for r in explain.top_lines(explain.line_attention(cls, code), sure).orderBy("line_number").collect()] == [1, 2]
-    assert explain.top_lines(explain.line_attention(cls, code), code.withColumn("confidence", F.lit(0.4))).count() == 0
+    assert [r.line_number for r in explain.top_lines(att, sure).orderBy("line_number").collect()] == [1, 2]
+    assert explain.top_lines(att, code.withColumn("confidence", F.lit(0.4))).count() == 0
+
+
+def test_lines_of_tokens_against_a_plain_version(spark):
+    """Every kind of line end, blank and null code, offsets on, at and beyond the ends, padding, snippets without tokens."""
+    rng = random.Random(9)
+    codes = ["".join(rng.choice(["ab", "c", " ", "\n", "\r\n", "\r", "\x0b", "\u2028"]) for _ in range(rng.randrange(40))) for _ in range(60)] + ["", None, "\n", "x\n"]
+    snippets = [(i, c, rng.choice([0.4, 0.5, 0.9])) for i, c in enumerate(codes)]
+    rows = [(i, h, t, f"t{t}", start, start + 1, rng.randrange(5) / 4) for i, c, _ in snippets if i % 7 for t in range(rng.randrange(1, 9))
+            for start in [rng.choice([0, -1, rng.randrange(60)])] for h in (0, 1)]
+    rows += [(i, h, 99, "<pad>", 0, 0, 1.0) for i in range(1, 6) for h in (0, 1)]
+    att = spark.createDataFrame(rows, "snippet_id long, head int, token_idx int, token string, tok_start int, tok_end int, weight double").repartition(3)
+    frame = spark.createDataFrame(snippets, "snippet_id long, code string, confidence double").repartition(3)
+    lines, top = {}, set()
+    for i, code, confidence in snippets:
+        own = (code or "").splitlines()
+        text = "\n".join(own)
+        tokens = {}
+        for r in rows:
+            if r[0] == i:
+                tokens.setdefault((r[2], r[4], r[5]), []).append(r[6])
+        means = {k: sum(v) / len(v) for k, v in tokens.items()}
+        total = sum(means[k] for k in sorted(means))
+        units = [0] * len(own)
+        for (t, start, stop), m in means.items():
+            if not (start == 0 and stop == 0 and t > 0) and own:
+                at = 0 if start < 0 or start > len(text) else text[:start].count("\n")
+                units[at] += math.floor((m / total if total > 0 else m) * 10 ** 10 + 0.5)
+        lines |= {(i, n): u for n, u in enumerate(units, 1)}
+        order = sorted(range(len(own)), key=lambda n: (-units[n], n))
+        solid = [n for n in order if len(own[n].strip()) > 1]
+        strong = [n for n in solid if units[n] > 1_500_000_000]
+        if confidence >= 0.5:
+            top |= {(i, n + 1) for n in strong or [n for n in order[:2] if n in solid]}
+    assert {(r.snippet_id, r.line_number): r.units for r in explain.line_attention(att, frame).collect()} == lines
+    assert {(r.snippet_id, r.line_number) for r in explain.top_lines(att, frame).collect()} == top
+    text = plan(explain.with_top_lines(frame, explain.snippet_tokens(att)))
+    assert text.count("Exchange hashpartitioning") <= 3
+
+
+@pytest.mark.parametrize("key, most", [("finding_projection", 3), ("line_attention", 3), ("cls_attention", 1), ("heatmap_importance", 1)])
+def test_code_and_tokens_are_dealt_once(spark, sf_dir, key, most):
+    """Exchanges with broadcast by size off."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert plan(QUERIES[key](spark, sf_dir)).count("Exchange hashpartitioning") <= most
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_consensus(spark):
