@@ -106,6 +106,9 @@ def predict(df: DataFrame) -> DataFrame:
     return guard_blank(enrich(settle(voted, ["vulnerable", "confidence", "hybrid_cwe", "predicted_cwe"])))
 
 
+REMEDIATION_FIELDS = ["root_cause", "why_dangerous", "secure_coding_recommendation", "example_secure_implementation", "priority_level"]
+
+
 def remediation(df: DataFrame, cwe: str = "predicted_cwe", severity: str = "severity",
                 language: str = "language") -> DataFrame:
     """Advice by CWE and language; the CWE's default example, then a generic record, as fallbacks."""
@@ -158,12 +161,17 @@ def lines_text(start: str = "line_number", first: str = "first_line", last: str
 def finding_projection(pred: DataFrame) -> DataFrame:
     """Vulnerable rows in finding form.
 
-    Expects prediction rows with ``line_number``, ``first_line``, ``last_line`` and ``reason``.
+    Expects prediction rows with ``line_number``, ``first_line``, ``last_line`` and ``reason``. Rows that have a ``language`` get the
+    record ``remediation`` too.
     """
-    return pred.where("vulnerable").select(
+    bad, advice = pred.where("vulnerable"), []
+    if "language" in pred.columns:
+        bad = remediation(bad)
+        advice = [F.struct(*REMEDIATION_FIELDS).alias("remediation")]
+    return bad.select(
         "repo_id", "snippet_id",
         F.coalesce(F.when(F.col("cwe_name") != "", F.col("cwe_name")), F.lit("Security Risk")).alias("type"),
         "severity", "confidence", "predicted_cwe",
         F.coalesce(F.when(F.col("owasp") != "", F.col("owasp")), F.lit("Unknown")).alias("owasp"),
         F.col("file_path").alias("file"), F.concat("function_name", F.lit("()")).alias("function"),
-        lines_text().alias("lines"), "reason", "recommendation", F.col("confidence").alias("risk_score"))
+        lines_text().alias("lines"), "reason", "recommendation", F.col("confidence").alias("risk_score"), *advice)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.explain import reason_sentence
+from ..functions.explain import human_explanation, probability_distribution, reason_sentence
 from ..functions.text import code_lines, strip
 from .rank import top_per_group
 from .settle import settle
@@ -21,17 +21,19 @@ TOKEN_KEYS = ["token_idx", "token", "tok_start", "tok_end"]
 UNIT = 10 ** 10
 
 
-def snippet_tokens(attention: DataFrame) -> DataFrame:
+def snippet_tokens(attention: DataFrame, shape: bool = False) -> DataFrame:
     """One row per snippet with its ``tokens`` in order: the keys and ``units``, the share of the mean over heads.
 
-    Rows are dealt by snippet once; means and lists are made where they then lie.
+    Rows are dealt by snippet once; means and lists are made where they then lie. ``shape`` adds ``heads`` and ``length``.
     """
-    mean = attention.repartition("snippet_id").groupBy("snippet_id", *TOKEN_KEYS).agg(F.avg("weight").alias("_mean"))
-    lists = mean.groupBy("snippet_id").agg(F.array_sort(F.collect_list(F.struct(*TOKEN_KEYS, "_mean"))).alias("_tokens"))
+    mean = attention.repartition("snippet_id").groupBy("snippet_id", *TOKEN_KEYS).agg(F.avg("weight").alias("_mean"), F.max("head").alias("_head"))
+    sizes = [(F.max("_head") + 1).alias("heads"), (F.max("token_idx") + 1).alias("length")] if shape else []
+    lists = mean.groupBy("snippet_id").agg(F.array_sort(F.collect_list(F.struct(*TOKEN_KEYS, "_mean"))).alias("_tokens"), *sizes)
     total = F.aggregate("_tokens", F.lit(0.0), lambda acc, t: acc + t["_mean"])
     share = lambda t: F.when(F.col("_total") > 0, t["_mean"] / F.col("_total")).otherwise(t["_mean"])
     tokens = F.transform("_tokens", lambda t: F.struct(*[t[k].alias(k) for k in TOKEN_KEYS], F.round(share(t) * UNIT).cast("bigint").alias("units")))
-    return settle(lists.withColumn("_total", total), ["_total"]).select("snippet_id", tokens.alias("tokens"))
+    return settle(lists.withColumn("_total", total), ["_total"]).select(
+        "snippet_id", tokens.alias("tokens"), *(["heads", "length"] if shape else []))
 
 
 def cls_attention(attention: DataFrame) -> DataFrame:
@@ -46,8 +48,8 @@ def with_lines(df: DataFrame, tokens: DataFrame, code: str = "code") -> DataFram
     left out.
     """
     real = F.filter("tokens", lambda t: ~((t["tok_start"] == 0) & (t["tok_end"] == 0) & (t["token_idx"] > 0)))
-    cut = df.join(tokens, "snippet_id", "left").withColumns({
-        "lines": code_lines(F.col(code)), "_real": F.coalesce(real, F.array().cast(tokens.schema["tokens"].dataType))}).drop("tokens")
+    none = F.array().cast(tokens.schema["tokens"].dataType)
+    cut = df.join(tokens, "snippet_id", "left").withColumns({"lines": code_lines(F.col(code)), "_real": F.coalesce(real, none)}).drop("tokens")
     cut = settle(cut, ["lines", "_real"])
     # Line starts up to the last token: a line takes one character at least.
     reach = F.coalesce(F.array_max(F.transform("_real", lambda t: t["tok_start"].cast("int"))), F.lit(-1)) + 1
@@ -131,6 +133,45 @@ def with_reason(df: DataFrame, code: str = "code", line: str = "first_line", cwe
         F.col(code), F.col(line), F.col(cwe), F.col("_line_text"), F.col("_line_count"))).drop("_line_text", "_line_count")
 
 
+def highlighted(k: int = 15) -> tuple[Column, Column]:
+    """The largest weight of a row's ``tokens``, to be named ``_peak``, and the ``k`` heaviest tokens without special ones, as in
+    ``heatmap``: (token, weight, importance)."""
+    most = F.array_max(F.transform("tokens", lambda t: t["units"]))
+    peak = F.when(most == 0, F.lit(UNIT).cast("bigint")).otherwise(most)
+    half_up = lambda t: (t["units"] * 20000 + F.col("_peak") - F.pmod(t["units"] * 20000 + F.col("_peak"), 2 * F.col("_peak"))) / (2 * F.col("_peak"))
+    plain = F.filter("tokens", lambda t: ~t["token"].isin(fixed.SPECIAL_TOKENS))
+    rows = F.transform(plain, lambda t: F.struct(
+        (-F.floor((t["units"] + UNIT // 200000) / (UNIT // 100000))).alias("low"), t["token_idx"].alias("at"), t["token"].alias("token"),
+        (half_up(t) / 10000).alias("importance")))
+    return peak, F.transform(F.slice(F.array_sort(rows), 1, k), lambda x: F.struct(
+        x["token"].alias("token"), (-x["low"] / 100000).alias("weight"), x["importance"].alias("importance")))
+
+
+def with_explanation(pred: DataFrame, attention: DataFrame) -> DataFrame:
+    """Predictions with the nested record ``explanation``.
+
+    Vulnerable rows have affected lines, the reason, the heaviest tokens, the attention's shape, a readable text and the
+    probabilities. Safe rows and rows without code have the reason and empty lists.
+    """
+    peak, top = highlighted()
+    tokens = snippet_tokens(attention, shape=True).withColumn("_peak", peak).withColumn("_tokens", top).drop("_peak")
+    found = with_reason(with_top_lines(pred, tokens))
+    bad, safe = probability_distribution(F.col("confidence"))
+    on = lambda value: F.when(F.col("vulnerable"), value)
+    lines = F.coalesce(on(F.array_sort(F.transform("top_lines", lambda x: x["line_number"]))), F.array().cast("array<int>"))
+    weights = F.map_from_entries(F.transform("top_lines", lambda x: F.struct(x["line_number"].cast("string"), x["units"] / UNIT)))
+    shape = F.struct(F.when(F.col("heads").isNull(), 0).otherwise(1).alias("num_layers"), F.coalesce("heads", F.lit(0)).alias("num_heads"),
+                     F.coalesce("length", F.lit(0)).alias("sequence_length"),
+                     F.coalesce(F.concat_ws("x", F.when(F.col("heads").isNotNull(), "1"), "heads", "length", "length"), F.lit("")).alias("dimension"))
+    record = F.struct(
+        F.col("confidence"), F.col("file_path").alias("affected_file"), F.col("function_name").alias("affected_function"), lines.alias("affected_lines"),
+        on(weights).alias("attention_weights"), F.when(F.col("vulnerable"), F.col("reason")).otherwise(F.col("safe_reason")).alias("reason"),
+        F.coalesce(on(F.col("_tokens")), F.array().cast("array<struct<token:string,weight:double,importance:double>>")).alias("highlighted_tokens"),
+        on(shape).alias("attention_shape"), on(human_explanation(F.col("predicted_cwe"), F.col("cwe_name"), F.col("severity"), F.col("reason"))).alias("readable"),
+        F.struct(bad.alias("vulnerable"), safe.alias("safe")).alias("probability_distribution"))
+    return found.withColumn("explanation", record).drop("heads", "length", "_tokens", "top_lines", "first_line", "last_line", "reason")
+
+
 def heatmap(cls: DataFrame) -> DataFrame:
     """Weights relative to the snippet's largest; special tokens leave after the maximum is taken."""
     peak = F.max("units").over(Window.partitionBy("snippet_id"))

@@ -226,7 +226,7 @@ def mean_seconds(units: Column, n: Column) -> Column:
 
 
 def filter_jobs(jobs: DataFrame, status: str | None = None, severity: str | None = None,
-                repository: str | None = None, search: str | None = None) -> DataFrame:
+                repository: str | None = None, search: str | None = None, kind: str | None = None, branch: str | None = None) -> DataFrame:
     """Optional predicates of the vulnerability list."""
     from .score import impact_band
     out = jobs.withColumn("severity", impact_band(F.col("business_risk_score")))
@@ -236,6 +236,10 @@ def filter_jobs(jobs: DataFrame, status: str | None = None, severity: str | None
         out = out.where(F.col("severity") == severity)
     if repository:
         out = out.where(F.col("repository_id") == repository)
+    if kind:
+        out = out.where(F.col("vulnerability_type") == kind)
+    if branch:
+        out = out.where(F.col("branch") == branch)
     if search:
         out = out.where(F.contains(F.lower("target_file_path"), F.lit(search.lower())))
     return out

@@ -125,6 +125,28 @@ def binary_metrics(predictions: DataFrame, label: str = "label", prediction: str
         share(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn")).alias("f1"))
 
 
+def split_metrics(scored: DataFrame, label: str = "label") -> DataFrame:
+    """One row for a training status: losses of the training and validation parts, accuracy and F1 of the others.
+
+    ``scored`` has ``split`` (train, val, test), the label, ``ml_prob`` and ``prediction``. Losses are summed in whole millionths.
+    """
+    right = F.col(label) == F.col("prediction")
+    own = F.greatest(F.when(F.col(label) == 1, F.col("ml_prob")).otherwise(1.0 - F.col("ml_prob")), F.lit(1e-6))
+    units = F.round(-F.log(own) * 1_000_000).cast("bigint")
+    columns = []
+    for name in ("train", "val", "test"):
+        on = lambda c, part=name: F.sum(F.when((F.col("split") == part) & c, 1).otherwise(0))
+        both, any_of = (F.col(label) == 1) & (F.col("prediction") == 1), (F.col(label) + F.col("prediction")).cast("bigint")
+        columns += [on(F.lit(True)).alias(f"{name}_n"), on(right).alias(f"{name}_right"), on(both).alias(f"{name}_both"),
+                    F.sum(F.when(F.col("split") == name, any_of).otherwise(0)).alias(f"{name}_any"),
+                    F.sum(F.when(F.col("split") == name, units).otherwise(0)).alias(f"{name}_units")]
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.nullif(F.col(b), F.lit(0))).otherwise(0.0)
+    f1 = lambda name: F.when(F.col(f"{name}_any") > 0, 2 * F.col(f"{name}_both") / F.nullif(F.col(f"{name}_any"), F.lit(0))).otherwise(0.0)
+    return scored.agg(*columns).select(
+        (share("train_units", "train_n") / 1_000_000).alias("loss"), (share("val_units", "val_n") / 1_000_000).alias("val_loss"),
+        share("val_right", "val_n").alias("val_acc"), f1("val").alias("val_f1"), share("test_right", "test_n").alias("test_accuracy"), f1("test").alias("test_f1"))
+
+
 def term_idf(docs: DataFrame, text: str = "text") -> DataFrame:
     """Document frequency and smoothed idf of every term."""
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit(TERM), F.lit(0)))

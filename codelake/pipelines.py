@@ -50,10 +50,10 @@ def repository_risk(pred: DataFrame, files: DataFrame | None = None) -> DataFram
     return score.repo_scores(pred, files=files)
 
 
-def executive_reports(pred: DataFrame, attention: DataFrame | None = None, product: str = report.PRODUCT) -> DataFrame:
-    """Report text per repository."""
+def executive_reports(pred: DataFrame, attention: DataFrame | None = None, product: str = report.PRODUCT, files: DataFrame | None = None) -> DataFrame:
+    """Report text per repository; with ``scanned_files`` those without a function get one too."""
     found = staged(explained_findings(pred, attention), "findings")
-    return report.report_markdown(score.repo_scores(pred), report.top_findings(found), score.compliance_set(found), product=product)
+    return report.report_markdown(score.repo_scores(pred, files=files), report.top_findings(found), score.compliance_set(found), product=product)
 
 
 def training_rows(tables: dict[str, DataFrame], max_samples: int = 5000) -> DataFrame:

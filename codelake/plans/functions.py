@@ -8,9 +8,11 @@ from .. import fixed
 from ..functions import code_parse, explain, rules, text
 from ..functions.vectors import dot, norm
 from ..operators import consensus, detect, report, score
+from ..operators import explain as explainer
 from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import oracle as O
+from .explain import HEATMAP_SQL
 from .registry import explained, predictions, query, reports
 
 
@@ -108,13 +110,31 @@ def predict_record(spark, sf_dir):
     return predictions(spark, sf_dir).select(*_RECORD)
 
 
+_HUMAN = f"""'Vulnerability Alert: A ' || e.severity || '-severity risk corresponding to ' || e.predicted_cwe || ' (' || e.cwe_name || ') was detected. Explanation: '
+ || e.reason || ' ' || {O.lit(fixed.HUMAN_IMPACT)} || ' ' || {O.lit(fixed.HUMAN_ACTION)}"""
+
+
+@query("prediction_explanation", f"""SELECT p.snippet_id, p.vulnerable, coalesce(l.affected_lines, []) AS affected_lines,
+  CASE WHEN p.vulnerable THEN e.reason ELSE {O.lit(fixed.SAFE_REASON)} END AS reason,
+  CASE WHEN p.vulnerable THEN h.tokens ELSE [] END AS tokens, CASE WHEN p.vulnerable THEN h.importance ELSE [] END AS importance,
+  CASE WHEN p.vulnerable THEN '1x2x6x6' END AS dimension, round(p.confidence, 4) AS p_vulnerable, round(1e0 - p.confidence, 4) AS p_safe,
+  CASE WHEN p.vulnerable THEN {_HUMAN} END AS readable
+ FROM pred p LEFT JOIN explained e USING (snippet_id) LEFT JOIN (SELECT snippet_id, list(line_number ORDER BY line_number) AS affected_lines FROM top_lines GROUP BY 1) l USING (snippet_id)
+ LEFT JOIN (SELECT snippet_id, list(token ORDER BY weight DESC, token_idx) AS tokens, list(importance ORDER BY weight DESC, token_idx) AS importance FROM ({HEATMAP_SQL}) GROUP BY 1) h USING (snippet_id)""")
+def prediction_explanation(spark, sf_dir):
+    """The nested explanation of every prediction, with its parts as columns."""
+    e = explainer.with_explanation(predictions(spark, sf_dir), view(spark, sf_dir, "attention")).select("snippet_id", "vulnerable", "explanation.*")
+    return e.select("snippet_id", "vulnerable", "affected_lines", "reason", F.transform("highlighted_tokens", lambda t: t["token"]).alias("tokens"),
+                    F.transform("highlighted_tokens", lambda t: t["importance"]).alias("importance"), "attention_shape.dimension",
+                    F.col("probability_distribution.vulnerable").alias("p_vulnerable"), F.col("probability_distribution.safe").alias("p_safe"), "readable")
+
+
 @query("reason_text", "SELECT snippet_id, reason FROM explained")
 def reason_text(spark, sf_dir):
     return explained(spark, sf_dir).select("snippet_id", "reason")
 
 
-@query("human_explanation", f"""SELECT snippet_id, 'Vulnerability Alert: A ' || severity || '-severity risk corresponding to ' || predicted_cwe || ' (' || cwe_name || ') was detected. Explanation: '
- || reason || ' ' || {O.lit(fixed.HUMAN_IMPACT)} || ' ' || {O.lit(fixed.HUMAN_ACTION)} AS explanation FROM explained""")
+@query("human_explanation", f"SELECT snippet_id, {_HUMAN} AS explanation FROM explained e")
 def human_explanation(spark, sf_dir):
     return explained(spark, sf_dir).select("snippet_id", explain.human_explanation(
         F.col("predicted_cwe"), F.col("cwe_name"), F.col("severity"), F.col("reason")).alias("explanation"))
@@ -176,6 +196,10 @@ REMEDIATION_FROM = """FROM vuln v LEFT JOIN dim_remediation r ON v.predicted_cwe
 _H, _T, _DANGER, _ADVICE, _EXAMPLE = (O.lit(v) for v in fixed.GENERIC_REMEDIATION)
 ADVICE = f"coalesce(r.secure_recommendation, {_ADVICE})"
 EXAMPLE = f"CASE WHEN r.cwe IS NULL THEN {_EXAMPLE} ELSE coalesce(e.example, d.example, '') END"
+PRIORITY = "CASE severity " + " ".join(f"WHEN {O.lit(a)} THEN {O.lit(b)}" for a, b in fixed.PRIORITY) + f" ELSE {O.lit(fixed.DEFAULT_PRIORITY)} END"
+REMEDIATION_SQL = f"""SELECT v.snippet_id, coalesce(r.root_cause, {_H} || v.predicted_cwe || {_T}) AS root_cause,
+  coalesce(r.why_dangerous, {_DANGER}) AS why_dangerous, {ADVICE} AS secure_coding_recommendation, {EXAMPLE} AS example_secure_implementation,
+  {PRIORITY} AS priority_level {REMEDIATION_FROM}"""
 _PATCHED = f"'# Suggested Secure Replacement for ' || v.predicted_cwe || chr(10) || '# Remediation Recommendation: ' || {ADVICE} || chr(10) || {EXAMPLE} || chr(10)"
 
 
@@ -278,7 +302,8 @@ def udtf_ast_findings(spark, sf_dir):
 
 @query("file_scan_record", f"""SELECT a.snippet_id, s.file_path, rule_id, 'CRITICAL' AS severity, line_number, column_start, column_end, a.snippet,
   'vulnerability_detected' AS status, 0.95e0 AS business_impact_score, false AS compliance_verified, 'semgrep --config=auto ' || s.file_path AS sandbox_command,
-  'SCAN_FLAGGED' AS model_armor_status, CASE WHEN rule_id = 'RS001' THEN {O.lit(fixed.AST_SQL_CONCAT[6])} ELSE {O.lit(fixed.AST_SECRET[6])} END AS patch_instruction
+  'SCAN_FLAGGED' AS model_armor_status, CASE WHEN rule_id = 'RS001' THEN {O.lit(fixed.AST_SQL_CONCAT[6])} ELSE {O.lit(fixed.AST_SECRET[6])} END AS patch_instruction,
+  s.file_path AS location_file, line_number AS location_line, a.snippet AS location_snippet
  FROM ({_AST_SQL}) a JOIN snippets s USING (snippet_id)""")
 def file_scan_record(spark, sf_dir):
     location = F.struct(F.col("file_path").alias("file"), F.col("line_number").alias("line"), "snippet")
@@ -289,7 +314,8 @@ def file_scan_record(spark, sf_dir):
     record = ast_rows(spark, sf_dir).withColumn("agent_payload", payload)
     return record.select("snippet_id", "file_path", "rule_id", "severity", "line_number", "column_start", "column_end", "snippet",
                          "agent_payload.status", "agent_payload.business_impact_score", "agent_payload.compliance_verified",
-                         "agent_payload.sandbox_command", "agent_payload.model_armor_status", "agent_payload.patch_instruction")
+                         "agent_payload.sandbox_command", "agent_payload.model_armor_status", "agent_payload.patch_instruction",
+                         *[F.col(f"agent_payload.location.{c}").alias(f"location_{c}") for c in ("file", "line", "snippet")])
 
 
 @query("snippet_trim", f"""SELECT doc_id, pos, substring({O.strip('line')}, 1, 120) AS trimmed FROM (

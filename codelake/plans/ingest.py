@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import code_parse
-from ..operators import detect, ml, score
+from ..functions import code_parse, udtfs
+from ..pipelines import repository_risk, scan, scanned_files
 from ..session import scratch_path
 from ..sources import dump, repo_files, sinks
 from ..sources.fixtures import view
 from . import oracle as O
-from .aggregates import METRICS_SQL, vote_predictions
-from .functions import REPORT_SQL
+from .functions import _AST_FIELDS, _AST_SQL, REPORT_SQL
 from .registry import predictions, query, reports
 
 q = dump.quote_literal
@@ -132,38 +131,95 @@ def allowed_tables(spark, sf_dir):
     return dump.allowed_only(dump.read_statements(spark, path)).groupBy(F.col("table").alias("source_table")).agg(F.count("*").alias("n"))
 
 
-@query("repo_file_scan", """SELECT language, sum(length(code) + 1)::BIGINT AS n_chars, sum(length(code) - length(replace(code, chr(10), '')) + 1)::BIGINT AS n_lines
- FROM snippets GROUP BY 1""")
-def repo_file_scan(spark, sf_dir):
+# Snippets as functions of source files: a Python or a brace function around each, some hundred of a path in one file.
+_FILE = "concat('repo_', cast(repo_id AS string), '/', replace(replace(file_path, '.py', concat('_', cast(snippet_id div 20000 AS string), '.py')), '.js', concat('_', cast(snippet_id div 20000 AS string), '.js')))"
+_NAME = "concat(function_name, '_', cast(snippet_id AS string))"
+_SOURCE = f"""CASE WHEN language = 'Python' THEN concat('def ', {_NAME}, '(uid, buf):', chr(10), '    ', replace(code, chr(10), concat(chr(10), '    ')))
+ ELSE concat('function ', {_NAME}, '(uid) {{', chr(10), code, chr(10), '}}') END"""
+_SQL = lambda text: text.replace(" AS string", " AS VARCHAR").replace(" div ", " // ")
+# Files without functions: one in each repository, and a repository that has nothing else.
+_EMPTY = "docs/none.js"
+
+
+def source_files(spark, sf_dir):
+    """Files of the repositories: path and content."""
+    snippets = view(spark, sf_dir, "snippets").selectExpr("repo_id", "snippet_id", f"{_FILE} AS file_path", f"{_SOURCE} AS source")
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("snippet_id", "source"))), lambda x: x["source"]), "\n\n")
+    code = snippets.groupBy("file_path").agg(content.alias("content"))
+    empty = snippets.select("repo_id").distinct().unionByName(spark.range(1000, 1001).toDF("repo_id"))
+    return code.unionByName(empty.selectExpr(f"concat('repo_', repo_id, '/{_EMPTY}') AS file_path", "'// none' AS content"))
+
+
+def _written(spark, sf_dir):
     root = scratch_path(spark, "repos")
-    repo_files.write_repo_files(view(spark, sf_dir, "snippets"), root)
-    breaks = F.length("code") - F.length(F.replace("code", F.lit("\n"), F.lit("")))
-    return repo_files.scan_written(spark, root).groupBy("language").agg(
-        F.sum(F.length("code")).cast("bigint").alias("n_chars"), F.sum(breaks).cast("bigint").alias("n_lines"))
+    repo_files.write_source_files(source_files(spark, sf_dir), root)
+    return root
+
+
+_FILES_SQL = f"""SELECT {_SQL(_FILE)} AS file_path, any_value(language) AS language, sum(length({_SQL(_SOURCE)}) + 2) - 2 AS n_chars, any_value(repo_id) AS repo_id
+ FROM snippets GROUP BY 1 UNION ALL SELECT 'repo_' || repo_id || '/{_EMPTY}', 'JavaScript', 7, repo_id FROM (SELECT DISTINCT repo_id FROM snippets UNION ALL SELECT 1000)"""
 
 
-@query("repo_py_scan", "SELECT repo_id, sum(length(code) + 1)::BIGINT AS n_chars FROM snippets WHERE language = 'Python' GROUP BY 1")
+@query("repo_file_scan", f"SELECT file_path, language, CAST(n_chars AS BIGINT) AS n_chars FROM ({_FILES_SQL})")
+def repo_file_scan(spark, sf_dir):
+    """Files with their own names and extensions, read back."""
+    return repo_files.scan_repo_files(spark, _written(spark, sf_dir)).select("file_path", "language", F.length("code").cast("bigint").alias("n_chars"))
+
+
+@query("repo_py_scan", f"SELECT file_path, CAST(n_chars AS BIGINT) AS n_chars FROM ({_FILES_SQL}) WHERE ends_with(file_path, '.py')")
 def repo_py_scan(spark, sf_dir):
-    root = scratch_path(spark, "repos")
-    repo_files.write_repo_files(view(spark, sf_dir, "snippets"), root)
-    files = repo_files.scan_py_files(spark, f"{root}/language=Python", "txt")
-    return files.groupBy(F.regexp_extract("file_path", r"repo_id=(\d+)", 1).cast("bigint").alias("repo_id")).agg(
-        F.sum(F.length("code")).cast("bigint").alias("n_chars"))
+    return repo_files.scan_py_files(spark, _written(spark, sf_dir)).select("file_path", F.length("code").cast("bigint").alias("n_chars"))
 
 
-@query("udtf_python_functions", """SELECT snippet_id, regexp_extract(code, 'def (\\w+)', 1) AS name, code AS source, 1 AS line_number FROM snippets WHERE starts_with(code, 'def ')""")
+_PYTHON_SQL = """SELECT snippet_id, regexp_extract(code, 'def (\\w+)', 1) AS name, code AS source, 1 AS line_number FROM snippets WHERE starts_with(code, 'def ')"""
+
+
+@query("udtf_python_functions", _PYTHON_SQL)
 def udtf_python_functions(spark, sf_dir):
     rows = view(spark, sf_dir, "snippets").select("snippet_id", F.explode(code_parse.python_functions_udf("code")).alias("f"))
     return rows.select("snippet_id", "f.name", "f.source", "f.line_number")
 
 
-@query("udtf_brace_functions", """SELECT file_change_id, regexp_extract(code, 'int (\\w+)', 1) AS name, regexp_extract(code, '(?s)f\\d+\\(\\).*\\}') AS source, 1 AS line_number
- FROM cvefixes_method_change WHERE code LIKE 'int f%'""")
+_BRACE_SQL = """SELECT file_change_id, regexp_extract(code, 'int (\\w+)', 1) AS name, regexp_extract(code, '(?s)f\\d+\\(\\).*\\}') AS source, 1 AS line_number
+ FROM cvefixes_method_change WHERE code LIKE 'int f%'"""
+
+
+@query("udtf_brace_functions", _BRACE_SQL)
 def udtf_brace_functions(spark, sf_dir):
     rows = view(spark, sf_dir, "cvefixes_method_change").select("file_change_id", F.explode(code_parse.brace_functions_udf("code")).alias("f"))
     return rows.select("file_change_id", "f.name", "f.source", "f.line_number")
 
 
+@query("sql_python_functions", _PYTHON_SQL)
+def sql_python_functions(spark, sf_dir):
+    """The same by a table function in SQL."""
+    udtfs.register(spark)
+    return spark.sql("SELECT s.snippet_id, f.name, f.source, f.line_number FROM {snippets} s, LATERAL python_functions(s.code) f", snippets=view(spark, sf_dir, "snippets"))
+
+
+@query("sql_brace_functions", _BRACE_SQL)
+def sql_brace_functions(spark, sf_dir):
+    udtfs.register(spark)
+    return spark.sql("SELECT c.file_change_id, f.name, f.source, f.line_number FROM {changes} c, LATERAL brace_functions(c.code) f",
+                     changes=view(spark, sf_dir, "cvefixes_method_change"))
+
+
+@query("sql_ast_findings", _AST_SQL)
+def sql_ast_findings(spark, sf_dir):
+    udtfs.register(spark)
+    fields = ", ".join(f"f.{c}" for c in _AST_FIELDS if c != "snippet_id")
+    return spark.sql(f"SELECT s.snippet_id, {fields} FROM {{snippets}} s, LATERAL ast_findings(s.code) f", snippets=view(spark, sf_dir, "snippets")).select(*_AST_FIELDS)
+
+
+@query("sql_dump_values", "SELECT doc_id, unnest([0, 1, 2, 3]) AS place, unnest([CAST(doc_id AS VARCHAR), text, 'NULL', source]) AS value FROM documents")
+def sql_dump_values(spark, sf_dir):
+    from ..sources.tables import read_table
+    udtfs.register(spark)
+    docs = read_table(spark, sf_dir, "documents").withColumn("values", F.concat_ws(
+        ", ", F.col("doc_id").cast("string"), q(F.col("text")), F.lit("NULL"), q(F.col("source"))))
+    return spark.sql("SELECT d.doc_id, v.place, v.value FROM {docs} d, LATERAL dump_values(d.values) v", docs=docs)
+
+
 _FINDING_FIELDS = "repo_id bigint, snippet_id bigint, type string, severity string, confidence double, predicted_cwe string, owasp string"
 _FINDING_SQL = "SELECT repo_id, snippet_id, cwe_name AS type, severity, confidence, predicted_cwe, owasp FROM vuln"
 
@@ -197,24 +253,23 @@ def sink_report_formats(spark, sf_dir):
             .unionByName(sinks.read_json(spark, json, _FINDING_FIELDS).select(F.lit("json").alias("format"), "*")))
 
 
-@query("sink_train_status", f"""SELECT 'completed' AS status, 1 AS epoch, 1 AS total_epochs, round(accuracy, 4) AS accuracy, round(f1, 4) AS f1
- FROM ({METRICS_SQL.format(rows='(SELECT mlv AS l, vulnerable AS p FROM pred)')})""")
-def sink_train_status(spark, sf_dir):
-    path = scratch_path(spark, "train-status")
-    sinks.write_json(sinks.train_status(ml.binary_metrics(vote_predictions(spark, sf_dir)), "completed", 1, 1), path)
-    return sinks.read_json(spark, path, "status string, epoch int, total_epochs int, accuracy double, f1 double")
+# What the functions of the files hold: a tree's function ends at its last statement, a brace function starts at its name; a
+# function inside another is one of its own.
+_SCANNED = {"snippets": f"""SELECT repo_id, snippet_id, {_SQL(_FILE)} AS file_path, {_SQL(_NAME)} AS function_name, language, 0.25e0 AS ml_prob,
+  CASE WHEN language = 'Python' THEN rtrim({_SQL(_SOURCE)}, ';') ELSE substring({_SQL(_SOURCE)}, 10) END AS code FROM given
+ UNION ALL SELECT repo_id, -snippet_id, {_SQL(_FILE)}, '', language, 0.25e0, replace(code, chr(10), chr(10) || '    ') FROM given WHERE language = 'Python' AND starts_with(code, 'def ')"""}
+_SCANNED = {"given": O.TABLES["snippets"], **_SCANNED}
 
 
-@query("scan_repository", f"""SELECT repo_id, functions_scanned, total_vulnerabilities, risk_score, security_grade FROM ({O.SCORES.format(summary=f'''(
-  SELECT repo_id, count(*) AS functions_scanned, count(*) FILTER (WHERE vulnerable) AS total_vulnerabilities, {O.severity_counts('vulnerable')}, 0 AS confidence_units
-  FROM (SELECT user_id % 20 AS repo_id, false AS vulnerable, 'None' AS severity FROM events WHERE event_id % 10 = 8
-   AND (event_id % 7 = 0 OR event_id % 3 <> 0)) GROUP BY 1)''')})""")
+@query("scan_repository", f"""SELECT repo_id, files_scanned, functions_scanned, total_vulnerabilities, critical_issues, high_issues, risk_score, security_grade FROM ({O.SCORES.format(summary=f'''(
+  SELECT repo_id, count(DISTINCT file_path) AS files_scanned, count(code) AS functions_scanned, count(*) FILTER (WHERE vulnerable) AS total_vulnerabilities, {O.severity_counts('vulnerable')}, 0 AS confidence_units
+  FROM (SELECT repo_id, file_path, code, vulnerable, severity FROM pred UNION ALL SELECT repo_id, file_path, NULL, false, 'None' FROM ({_FILES_SQL.replace("FROM snippets", "FROM given")}))
+  GROUP BY 1)''')})""", _SCANNED)
 def scan_repository(spark, sf_dir):
-    """Files on storage to functions, findings and scores, end to end."""
-    root = scratch_path(spark, "repos")
-    repo_files.write_repo_files(view(spark, sf_dir, "snippets"), root)
-    functions = code_parse.explode_functions(repo_files.scan_written(spark, root))
-    pred = detect.predict(functions.select(
-        F.regexp_extract("file_path", r"repo_id=(\d+)", 1).cast("bigint").alias("repo_id"), "file_path", "function_name",
-        "language", F.col("source").alias("code"), F.lit(0.25).alias("ml_prob")))
-    return score.repo_scores(pred).select("repo_id", "functions_scanned", "total_vulnerabilities", "risk_score", "security_grade")
+    """Files on storage to functions, findings and scores, end to end; files and repositories without functions count."""
+    files = repo_files.scan_repo_files(spark, _written(spark, sf_dir))
+    repo = r"^repo_(\d+)/"
+    pred = scan(files, repo, lambda functions: functions.withColumn("ml_prob", F.lit(0.25)))
+    scores = repository_risk(pred, scanned_files(files, repo))
+    return scores.select(F.col("repo_id").cast("bigint").alias("repo_id"), "files_scanned", "functions_scanned", "total_vulnerabilities", "critical_issues",
+                         "high_issues", "risk_score", "security_grade")

@@ -9,7 +9,7 @@ from ..operators import dataset, detect, explain, graph, jobs, lsh, similarity
 from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import oracle as O
-from .functions import ADVICE, EXAMPLE, REMEDIATION_FROM
+from .functions import PRIORITY, REMEDIATION_SQL
 from .registry import predictions, query
 
 
@@ -49,19 +49,12 @@ def finding_cwe_enrich(spark, sf_dir):
     return detect.enrich(rows).select("file_change_id", "predicted_cwe", "cwe_name", "severity", "cvss_score", "owasp")
 
 
-_PRIORITY = "CASE severity " + " ".join(f"WHEN {O.lit(a)} THEN {O.lit(b)}" for a, b in fixed.PRIORITY) + f" ELSE {O.lit(fixed.DEFAULT_PRIORITY)} END"
-_HEAD, _TAIL, _DANGER, _, _ = (O.lit(v) for v in fixed.GENERIC_REMEDIATION)
-
-
-@query("finding_remediation", f"""SELECT v.snippet_id, coalesce(r.root_cause, {_HEAD} || v.predicted_cwe || {_TAIL}) AS root_cause,
-  coalesce(r.why_dangerous, {_DANGER}) AS why_dangerous, {ADVICE} AS secure_coding_recommendation, {EXAMPLE} AS example_secure_implementation,
-  {_PRIORITY} AS priority_level {REMEDIATION_FROM}""")
+@query("finding_remediation", REMEDIATION_SQL)
 def finding_remediation(spark, sf_dir):
-    return detect.remediation(predictions(spark, sf_dir).where("vulnerable")).select(
-        "snippet_id", "root_cause", "why_dangerous", "secure_coding_recommendation", "example_secure_implementation", "priority_level")
+    return detect.remediation(predictions(spark, sf_dir).where("vulnerable")).select("snippet_id", *detect.REMEDIATION_FIELDS)
 
 
-@query("finding_priority", f"SELECT snippet_id, severity, {_PRIORITY} AS priority_level FROM pred")
+@query("finding_priority", f"SELECT snippet_id, severity, {PRIORITY} AS priority_level FROM pred")
 def finding_priority(spark, sf_dir):
     return detect.remediation(predictions(spark, sf_dir)).select("snippet_id", "severity", "priority_level")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import bayes, dataset, ml
 from ..session import scratch_path, staged
+from ..sources import sinks
 from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import oracle as O
@@ -112,3 +113,22 @@ def sink_model(spark, sf_dir):
     _model(spark, sf_dir).save(path)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bayes.score(bayes.TermModel.load(spark, path), docs, "doc_id")
+
+
+_SCORED = """(SELECT split, label, prediction, CAST(round(-ln(greatest(CASE WHEN label = 1 THEN ml_prob ELSE 1e0 - ml_prob END, 1e-6)) * 1000000) AS BIGINT) AS units
+ FROM (SELECT *, CASE WHEN ml_prob >= 0.5e0 THEN 1 ELSE 0 END AS prediction FROM nb_parts JOIN nb_scores USING (doc_id)))"""
+_LOSS = lambda part: f"round(coalesce(sum(units) FILTER (WHERE split = '{part}') / nullif(count(*) FILTER (WHERE split = '{part}'), 0) / 1000000e0, 0e0), 4)"
+_ACC = lambda part: f"round(coalesce(count(*) FILTER (WHERE split = '{part}' AND label = prediction) / nullif(count(*) FILTER (WHERE split = '{part}'), 0), 0e0), 4)"
+_F1 = lambda part: f"""round(coalesce(2 * count(*) FILTER (WHERE split = '{part}' AND label = 1 AND prediction = 1)
+ / nullif(sum(label + prediction) FILTER (WHERE split = '{part}'), 0), 0e0), 4)"""
+
+
+@query("sink_train_status", f"""SELECT 'completed' AS status, 1 AS epoch, 1 AS total_epochs, {_LOSS('train')} AS loss, {_LOSS('val')} AS val_loss, {_ACC('val')} AS val_acc,
+  {_F1('val')} AS val_f1, CAST(NULL AS VARCHAR) AS error, {_ACC('test')} AS test_accuracy, {_F1('test')} AS test_f1 FROM {_SCORED}""")
+def sink_train_status(spark, sf_dir):
+    """Status file of a training run over all three parts, written and read back."""
+    parts = staged(_parts(spark, sf_dir), "parts")
+    scored = parts.drop("text").join(bayes.score(bayes.train(parts.where("split = 'train'")), parts, "doc_id"), "doc_id")
+    path = scratch_path(spark, "train-status")
+    sinks.write_status(sinks.train_status(ml.split_metrics(scored.withColumn("prediction", (F.col("ml_prob") >= 0.5).cast("int"))), "completed", 1, 1), path)
+    return sinks.read_json(spark, path, sinks.STATUS).select("*", "test_metrics.*").drop("test_metrics")

@@ -222,18 +222,20 @@ TABLES |= {
   UNION ALL SELECT snippet_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM cwe_words) GROUP BY term ORDER BY df DESC, term LIMIT 8000""",
 }
 
-_ORDER = list(TABLES)
 
+def with_tables(body: str, other: dict[str, str] | None = None) -> str:
+    """The query preceded by every shared table it needs, in dependency order; ``other`` stands in for shared tables."""
+    tables = TABLES | (other or {})
 
-def with_tables(body: str) -> str:
-    """The query preceded by every shared table it needs, in dependency order."""
     def used(text: str) -> set[str]:
-        return set(re.findall(r"[a-z_0-9]+", re.sub(r"'[^']*'", "", text))) & set(_ORDER)
-    needed, todo = set(), used(body)
-    while todo:
-        name = todo.pop()
-        if name not in needed:
-            needed.add(name)
-            todo |= used(TABLES[name]) - needed
-    parts = [f"{name} AS ({TABLES[name]})" for name in _ORDER if name in needed]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body
+        return set(re.findall(r"[a-z_0-9]+", re.sub(r"'[^']*'", "", text))) & set(tables)
+    parts: dict[str, str] = {}
+
+    def add(names: set[str]) -> None:
+        for name in sorted(names, key=list(tables).index):
+            if name not in parts:
+                add(used(tables[name]) - {name})
+                parts[name] = f"{name} AS ({tables[name]})"
+
+    add(used(body))
+    return ("WITH " + ",\n".join(parts.values()) + "\n" if parts else "") + body

@@ -11,6 +11,7 @@ from ..sources.dims import dim
 from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import oracle as O
+from .functions import REMEDIATION_SQL
 from .registry import explained, findings, predictions, query
 
 
@@ -76,10 +77,12 @@ def blank_guard(spark, sf_dir):
                                         F.col("safe_reason").alias("reason"))
 
 
-@query("finding_projection", """SELECT repo_id, snippet_id, type, severity, confidence, predicted_cwe, owasp, file, function, lines, reason,
-  recommendation, risk_score FROM finding""")
+@query("finding_projection", """SELECT repo_id, f.snippet_id, type, f.severity, confidence, f.predicted_cwe, owasp, file, function, lines, reason, recommendation, risk_score,
+  root_cause, why_dangerous, secure_coding_recommendation, example_secure_implementation, priority_level FROM finding f JOIN remediated r USING (snippet_id)""",
+       {"remediated": REMEDIATION_SQL})
 def finding_projection(spark, sf_dir):
-    return findings(spark, sf_dir)
+    """Findings with the fields of their nested ``remediation`` record spread out."""
+    return findings(spark, sf_dir).select("*", "remediation.*").drop("remediation")
 
 
 _RISK_FIELDS = ["repo_id", "repository_score", "security_grade", "business_impact", "business_impact_score", "confidence",
@@ -123,9 +126,10 @@ _SEVERITY = ("CASE WHEN business_risk_score >= 0.8e0 THEN 'Critical' WHEN busine
 
 
 @query("status_severity_filter", f"""SELECT id, repository_id, severity FROM (SELECT *, {_SEVERITY} AS severity FROM vulnerability_jobs)
- WHERE patch_status = 'FAILED' AND severity = 'Low' AND contains(lower(target_file_path), 'm1')""")
+ WHERE patch_status = 'FAILED' AND severity = 'Low' AND vulnerability_type = 'SQL Injection' AND branch = 'main' AND contains(lower(target_file_path), 'm1')""")
 def status_severity_filter(spark, sf_dir):
-    return jobs.filter_jobs(view(spark, sf_dir, "vulnerability_jobs"), status="FAILED", severity="Low", search="M1").select(
+    return jobs.filter_jobs(view(spark, sf_dir, "vulnerability_jobs"), status="FAILED", severity="Low", kind="SQL Injection", branch="main",
+                            search="M1").select(
         "id", "repository_id", "severity")
 
 

@@ -16,13 +16,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(key: str, sql: str | None = None):
-    """Register a query; ``sql`` may use any base table, derived view or shared table of the oracle."""
+def query(key: str, sql: str | None = None, other: dict[str, str] | None = None):
+    """Register a query; ``sql`` may use any base table, derived view or shared table of the oracle, or ``other`` ones."""
     def register(fn):
         assert key not in QUERIES, key
         QUERIES[key] = fn
         if sql is not None:
-            ORACLES[key] = with_tables(sql)
+            ORACLES[key] = with_tables(sql, other)
         return fn
     return register
 

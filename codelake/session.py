@@ -34,7 +34,9 @@ def build_session(app: str = "codelake", master: str | None = None, **conf) -> S
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def shared_root(spark: SparkSession) -> str:

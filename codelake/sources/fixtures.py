@@ -91,6 +91,8 @@ SELECT concat('job-', cast(event_id AS string)) AS id,
        concat('app/m', cast(event_id % 11 AS string), '.py') AS target_file_path,
        value / 500 AS business_risk_score,
        {_JOB_STATUS} AS patch_status,
+       CASE event_id % 4 WHEN 0 THEN 'SQL Injection' WHEN 1 THEN 'Command Injection' WHEN 2 THEN 'Path Traversal' ELSE 'Hardcoded Secret' END AS vulnerability_type,
+       CASE WHEN user_id % 3 = 0 THEN 'main' ELSE 'develop' END AS branch,
        ts AS created_ts
 FROM {{events}}"""),
     "job_events": ("events", f"""

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pandas as pd
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import is_blank, path_excluded, path_extension
+from ..session import staged
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -66,6 +70,23 @@ def scan_py_files(spark: SparkSession, root: str, suffix: str = "py") -> DataFra
             .where(~is_blank(F.col("code"))))
 
 
+def write_source_files(files: DataFrame, root: str) -> DataFrame:
+    """Write each row (``file_path`` below ``root``, ``content``) as a file of its own, with its own name and extension.
+
+    Tasks write the files themselves, one row at a time; a task that runs again writes the same files. Gives the paths.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = (FileSystem.from_uri(root) if re.match("^[a-z0-9]+:/", root) else (LocalFileSystem(), root))
+        for batch in batches:
+            for path, content in zip(batch["file_path"], batch["content"]):
+                store.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{base}/{path}") as out:
+                    out.write(content.encode())
+            yield batch[["file_path"]]
+
+    return staged(files.select("file_path", "content").mapInPandas(run, "file_path string"), "written-files")
+
+
 FILE_RECORDS = 10000
 LANGUAGES = sorted({name for _, name in fixed.EXTENSIONS})
 

@@ -53,8 +53,19 @@ def read_json(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def train_status(metrics: DataFrame, status: str, epoch: int, total_epochs: int) -> DataFrame:
-    """Status row of a training run from its evaluation metrics, four decimals."""
-    r = lambda c: F.round(F.col(c), 4).alias(c)
-    return metrics.select(F.lit(status).alias("status"), F.lit(epoch).alias("epoch"),
-                          F.lit(total_epochs).alias("total_epochs"), r("accuracy"), r("f1"))
+STATUS = ("status string, epoch int, total_epochs int, loss double, val_loss double, val_acc double, val_f1 double, error string, "
+          "test_metrics struct<test_accuracy: double, test_f1: double>")
+
+
+def train_status(metrics: DataFrame, status: str, epoch: int, total_epochs: int, error: str | None = None) -> DataFrame:
+    """Status row of a training run, four decimals, from one row of ``loss``, ``val_loss``, ``val_acc``, ``val_f1``,
+    ``test_accuracy`` and ``test_f1``."""
+    r = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 4).alias(c)
+    return metrics.select(F.lit(status).alias("status"), F.lit(epoch).alias("epoch"), F.lit(total_epochs).alias("total_epochs"),
+                          *map(r, ("loss", "val_loss", "val_acc", "val_f1")), F.lit(error).cast("string").alias("error"),
+                          F.struct(r("test_accuracy"), r("test_f1")).alias("test_metrics"))
+
+
+def write_status(status: DataFrame, path: str) -> None:
+    """One JSON row that has all its fields, empty ones too."""
+    status.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)

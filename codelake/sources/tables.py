@@ -25,9 +25,16 @@ SCHEMAS = {
 }
 
 
+# Session setting: base tables are dealt to so many tasks after the scan. Off unless set; for files of one row group, which
+# one task reads, however many cores there are.
+READ_PARTS = "spark.codelake.readParts"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table, read as it lies; ``spark.sql.files.maxPartitionBytes`` sets the size of a task's share."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    """A base table, read as it lies; ``spark.sql.files.maxPartitionBytes`` sets the size of a task's share, ``READ_PARTS`` deals rows anew."""
+    rows = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get(READ_PARTS, None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, bounds: tuple[int, int],
