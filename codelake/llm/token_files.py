@@ -12,11 +12,11 @@ succeeded, so retries and lost executors leave no doubled rows. Files lie in asc
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,56 +28,85 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, staged
-from .common import bound_batches, fingerprint, utf8
+from .common import bound_batches, fingerprint, gather, keep, numbered_words, utf8
 
 END_ID = 1
 FRAME_BYTES = 1 << 20
-CACHE_WORDS = 400_000
+# Bytes of words that a worker keeps with their ids, at 180 a word; a full cache is emptied but for the last batch's words.
+CACHE_BYTES = 64 << 20
 # Layout of the public seekable format.
 SKIPPABLE, SEEK_FRAME, SEEK_MAGIC, CHECKSUMS = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1, 0x80
-PUNCTUATION = frozenset(b".,;:!?")
+# Words that are one piece, of lower-case letters that no normal form changes; what marks follow as a piece of their own.
+PLAIN, LAST, MARKS = re.compile("[a-zß-öø-ÿ]+"), re.compile("[A-Za-z0-9ß-öø-ÿ]"), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# The model's characters for bytes: itself if printable, the others numbered from 256 on.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+BYTE_CHARS = {b: chr(256 + n) for n, b in enumerate(_OTHERS)}
 
 
 class WordEncoder:
-    """Ids of whole texts, word by word: the tokenizer's pieces never cross ASCII white space."""
+    """Ids of whole texts, word by word: the tokenizer's pieces never cross ASCII white space.
+
+    Words of lower-case Latin letters are one piece, which normalising leaves as it is, so they go to the tokenizer's model at
+    once. A run of ASCII marks at the end of a word is a piece of its own.
+    """
 
     def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
-        self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        if not words:
-            return {}
-        out = self.model.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return {w: np.asarray(e.ids, "<u4").tobytes() for w, e in zip(words, out)}
+        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
+        self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    def _encode(self, words: Iterable[str]) -> dict[str, bytes]:
+        out, rest, tokenize, pack = {}, [], self.tokenizer.model.tokenize, struct.pack
+        for word in words:
+            if PLAIN.fullmatch(word):
+                ids = [t.id for t in tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS))]
+                out[word] = pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(word)
+        if rest:
+            for word, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                ids = found.ids
+                out[word] = pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, as little-endian 32-bit numbers."""
+        known = self.known
+        new = [w for w in words if w not in known]
+        if new:
+            ends, wanted = {}, set()
+            for word in new:
+                stem = word.rstrip(MARKS)
+                if len(stem) == len(word) or not LAST.match(stem[-1:]) or "<|" in word:
+                    wanted.add(word)
+                else:
+                    ends[word] = stem, word[len(stem):]
+                    wanted.update(ends[word])
+            fresh = self._encode(w for w in wanted if w not in known)
+            for word, (stem, marks) in ends.items():
+                fresh[word] = (fresh.get(stem) or known[stem]) + (fresh.get(marks) or known[marks])
+            size = 180 * len(fresh)
+            if self.held + size > CACHE_BYTES:
+                self.known = known = {w: known[w] for w in words if w in known}
+                self.held = 180 * len(known)
+            known.update(fresh)
+            self.held += size
+        return [known[w] for w in words]
 
     def __call__(self, texts: Iterable[bytes]) -> list[bytes]:
-        known, split = self.known, []
-        for text in texts:
-            # Upper and lower case are one to the tokenizer, but its special tokens are found before that.
-            split.append((text if b"<|" in text else text.lower()).split())
-        new = {w for words in split for w in words if w not in known}
-        # A single mark after an ASCII letter is a piece of its own.
-        base = {w: w[:-1] for w in new if w[-1] in PUNCTUATION and w[-2:-1].isalpha() and b"<|" not in w}
-        wanted = (new - base.keys()) | {b for b in base.values() if b not in known} | ({w[-1:] for w in base} - known.keys())
-        fresh = self._encode(sorted(wanted))
-        for word, stem in base.items():
-            fresh[word] = (fresh.get(stem) or known[stem]) + (fresh.get(word[-1:]) or known[word[-1:]])
-        if len(known) < CACHE_WORDS:
-            known.update(fresh)
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        get = (known | fresh).__getitem__ if len(fresh) > len(known) else lambda w: known[w] if w in known else fresh[w]
-        return [b"".join(map(get, words)) for words in split]
+        # Upper and lower case are one to the tokenizer, but its special tokens are found before that.
+        number, ends, words = numbered_words(list(texts), lower=True)
+        ids, ends = gather(self.of(words), number, ends)
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-@lru_cache(maxsize=1)
 def word_encoder(path: str | None) -> WordEncoder:
     """One encoder for all tasks of a worker, which so share its cache."""
-    return WordEncoder(path)
+    return keep(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -117,10 +146,11 @@ def write_file(path: str, documents: Iterable[tuple[str | None, bytes]], frame_b
                 held = 0
         if pending:
             flush()
-        # Directory: document counts of the frames, token counts, and the ids as zero-ended text (a null is one byte 1).
-        words = b"\0".join(b"\1" if n is None else n.encode() for n in names)
+        # Directory: document counts of the frames, token counts, and the ids: their lengths (-1 for null), then their bytes.
+        words = [None if n is None else n.encode() for n in names]
         head = struct.pack("<QQ", len(frames), len(names))
-        body = compress(np.asarray(frames, "<u4").tobytes() + np.asarray(sizes, "<u8").tobytes() + words)
+        body = compress(np.asarray(frames, "<u4").tobytes() + np.asarray(sizes, "<u8").tobytes()
+                        + np.asarray([-1 if w is None else len(w) for w in words], "<i8").tobytes() + b"".join(w or b"" for w in words))
         out.write(_skippable(SKIPPABLE, head + body + struct.pack("<Q", len(head) + len(body) + 8)))
         out.write(_skippable(SEEK_FRAME, b"".join(entries) + struct.pack("<IBI", len(entries), CHECKSUMS, SEEK_MAGIC)))
     return {"path": path, "n_docs": len(names), "n_tokens": sum(sizes), "n_frames": len(entries)}
@@ -146,8 +176,9 @@ class TokenFile:
         body = zstandard.ZstdDecompressor().decompress(content[16:])
         self.frame_docs = np.frombuffer(body[:4 * n_frames], "<u4").astype(np.int64)
         self.lengths = np.frombuffer(body[4 * n_frames:4 * n_frames + 8 * n_docs], "<u8").astype(np.int64)
-        words = body[4 * n_frames + 8 * n_docs:]
-        self.names = [None if x == b"\1" else x.decode() for x in words.split(b"\0")] if n_docs else []
+        sizes = np.frombuffer(body[4 * n_frames + 8 * n_docs:4 * n_frames + 16 * n_docs], "<i8")
+        words, ends = body[4 * n_frames + 16 * n_docs:], np.cumsum(np.maximum(sizes, 0))
+        self.names = [None if n < 0 else words[end - n:end].decode() for n, end in zip(sizes.tolist(), ends.tolist())]
         self.before = np.concatenate([[0], np.cumsum(self.lengths)])
 
     def _bytes(self, at: int, size: int) -> bytes:

@@ -147,12 +147,31 @@ WHITE = st.text(st.one_of(st.sampled_from(" \t\n.,'!?<|>endoftextABCdeféßİ 
 @given(st.lists(WHITE, max_size=4))
 def test_word_encoder(texts):
     encode = token_files.word_encoder(None)
-    want = [encode.model.encode(t, add_special_tokens=False).ids for t in texts]
+    want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(b, "<u4").tolist() for b in encode([t.encode() for t in texts])] == want
 
 
+def test_word_encoder_with_little_cache(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_BYTES", 4000)
+    rng, encode = random.Random(8), token_files.WordEncoder()
+    for _ in range(40):
+        texts = [" ".join(rng.choice(["", "The", "İs", "naïve", "ñß", "ÿé\u0301", "ø", "×÷", "ª"]) + "".join(rng.choice("abcxyz") for _ in range(rng.randrange(9))) + rng.choice(["", ".", "&&&", "'s", "''", "_", "9!", "Σ."])
+                          for _ in range(30)) for _ in range(3)]
+        want = [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encode([t.encode() for t in texts])] == want
+
+
+def test_ids_of_any_bytes(tmp_path):
+    names = ["\x01", None, "a\0b", "", "c", "\0", "é"]
+    rows = [(n, np.arange(i, dtype="<u4").tobytes()) for i, n in enumerate(names)]
+    token_files.write_file(f"{tmp_path}/x.tok", rows, frame_bytes=8)
+    file = token_files.TokenFile(f"{tmp_path}/x.tok")
+    assert [(n, ids) for n, _, ids in file.documents()] == rows
+    assert [n for n, _, _ in file.documents({"a\0b", None})] == [None, "a\0b"]
+
+
 def test_token_files(spark, docs, corpus, none, tmp_path):
-    model = token_files.word_encoder(None).model
+    model = token_files.word_encoder(None).tokenizer
     manifest = token_files.write_tokens(clashing(docs, "id", "name", "fp", "start"), f"file://{tmp_path}/tokens")
     rows = token_files.read_tokens(manifest, with_ids=True).collect()
     ids = {r[:2]: np.array(model.encode(r[1] or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for r in corpus}
