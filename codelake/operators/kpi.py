@@ -24,10 +24,10 @@ def compliance_checks(scores: DataFrame, findings: DataFrame, key: str = "repo_i
     """Every catalogue rule checked on every repository: passed, partial or failed.
 
     Findings are counted per (repository, CWE) before they meet the rules, so the join adds at most three
-    rows per counted pair.
+    rows per counted pair. ``findings`` may be rows or ``score.finding_counts`` of them.
     """
     rules = sorted({violation for _, violation in fixed.COMPLIANCE})
-    by_cwe = findings.groupBy(key, "predicted_cwe").agg(F.count("*").alias("_n"))
+    by_cwe = findings.groupBy(key, "predicted_cwe").agg((F.sum("functions") if "functions" in findings.columns else F.count("*")).alias("_n"))
     from .detect import compliance
     broken = compliance(by_cwe).groupBy(key, "violation").agg(F.sum("_n").alias("broken"))
     every = scores.select(key, "functions_scanned", F.explode(F.array(*[F.lit(r) for r in rules])).alias("violation"))

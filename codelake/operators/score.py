@@ -40,26 +40,41 @@ def confidence_units(column: str = "risk_score") -> Column:
     return F.round(F.coalesce(F.col(column), F.lit(1.0)) * 10000).cast("bigint")
 
 
-def scan_summary(pred: DataFrame, key: str = "repo_id", file: str = "file_path", files: DataFrame | None = None) -> DataFrame:
-    """One row per repository: files, functions, findings, severities and the confidence sum.
+def finding_counts(pred: DataFrame, key: str = "repo_id", file: str = "file_path") -> DataFrame:
+    """One row per (repository, file, CWE, severity, verdict) with ``functions`` and ``units``, the confidence sum of findings.
 
-    Files are counted over rows first grouped by (repository, file), which keeps the distinct count
-    inside the same two-step aggregate. ``files`` has all scanned files; those without a function count too.
+    A small table that one scan of the predictions gives, and from which all figures of a report or dashboard follow.
     """
     bad = F.col("vulnerable")
-    per_file = pred.groupBy(key, file).agg(
-        F.count("*").alias("_functions"), _count(bad).alias("_findings"), *severity_aggregates(bad),
-        F.sum(F.when(bad, confidence_units("confidence")).otherwise(0)).alias("_units"))
+    return pred.groupBy(key, file, "predicted_cwe", "severity", "vulnerable").agg(
+        F.count("*").alias("functions"), F.sum(F.when(bad, confidence_units("confidence")).otherwise(0)).alias("units"))
+
+
+def summary_of_counts(counts: DataFrame, key: str = "repo_id", file: str = "file_path", files: DataFrame | None = None) -> DataFrame:
+    """One row per repository: files, functions, findings, severities and the confidence sum.
+
+    Files are counted over rows first grouped by (repository, file), which keeps the distinct count inside the same two-step
+    aggregate. ``files`` has all scanned files; those without a function count too.
+    """
+    bad, level, n = F.col("vulnerable"), F.coalesce(F.col("severity"), F.lit("Medium")), F.col("functions")
+    on = lambda c, alias: F.sum(F.when(c, n).otherwise(0)).cast("bigint").alias(alias)
+    per_file = counts.groupBy(key, file).agg(
+        F.sum(n).alias("_functions"), on(bad, "_findings"), *[on(bad & (level == name), column) for name, column in zip(SEVERITIES, ISSUE_COLUMNS)],
+        F.sum("units").alias("_units"))
     if files is not None:
-        counts = [c for c in per_file.columns if c not in (key, file)]
-        empty = files.select(key, file, *[F.lit(0).cast("bigint").alias(c) for c in counts])
-        per_file = per_file.unionByName(empty).groupBy(key, file).agg(*[F.sum(c).alias(c) for c in counts])
+        sums = [c for c in per_file.columns if c not in (key, file)]
+        empty = files.select(key, file, *[F.lit(0).cast("bigint").alias(c) for c in sums])
+        per_file = per_file.unionByName(empty).groupBy(key, file).agg(*[F.sum(c).alias(c) for c in sums])
     return per_file.groupBy(key).agg(
         F.count("*").alias("files_scanned"), F.sum("_functions").alias("functions_scanned"),
         F.sum("_findings").alias("total_vulnerabilities"),
         *[F.sum(c).alias(c) for c in ISSUE_COLUMNS], F.sum("_units").alias("confidence_units"))
 
 
+def scan_summary(pred: DataFrame, key: str = "repo_id", file: str = "file_path", files: DataFrame | None = None) -> DataFrame:
+    return summary_of_counts(finding_counts(pred, key, file), key, file, files)
+
+
 def summary_of_findings(findings: DataFrame, key: str = "repo_id") -> DataFrame:
     """Finding side of the summary, for callers that hold findings and codebase sizes apart."""
     return findings.groupBy(key).agg(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import dataset, detect, jobs, kpi, ml, report, score
+from ..session import staged
 from ..sources.fixtures import view
 from ..sources.tables import read_table
 from . import oracle as O
@@ -167,9 +168,14 @@ _CHECKS = """(SELECT *, CASE WHEN broken = 0 THEN 'Compliant' WHEN broken * 10 <
   LEFT JOIN (SELECT repo_id, violation, snippet_id FROM vuln JOIN dim_compliance ON predicted_cwe = cwe) v ON v.repo_id = s.repo_id AND v.violation = c.violation GROUP BY 1, 2, 3))"""
 
 
-def _checks(spark, sf_dir):
-    pred = predictions(spark, sf_dir)
-    return kpi.compliance_checks(score.scan_summary(pred), pred.where("vulnerable"))
+def _counts(spark, sf_dir):
+    """One scan of the predictions."""
+    return staged(score.finding_counts(predictions(spark, sf_dir)), "finding-counts")
+
+
+def _checks(spark, sf_dir, counts=None):
+    counts = _counts(spark, sf_dir) if counts is None else counts
+    return kpi.compliance_checks(score.summary_of_counts(counts), counts.where("vulnerable"))
 
 
 @query("compliance_status", f"SELECT status, count(*) AS checks, CAST(round(count(*) * 100 / sum(count(*)) OVER ()) AS INTEGER) AS percent FROM {_CHECKS} GROUP BY 1")
@@ -193,7 +199,8 @@ def top_noncompliant(spark, sf_dir):
  (SELECT count(*) FILTER (WHERE patch_status = 'VERIFIED') AS patches FROM vulnerability_jobs) b,
  (SELECT CAST(round(count(*) FILTER (WHERE status = 'Compliant') * 100 / count(*)) AS INTEGER) AS compliance_percent FROM {_CHECKS}) c""")
 def dashboard_kpis(spark, sf_dir):
-    return kpi.dashboard(_scores(spark, sf_dir), view(spark, sf_dir, "vulnerability_jobs"), _checks(spark, sf_dir))
+    counts = _counts(spark, sf_dir)
+    return kpi.dashboard(score.with_scores(score.summary_of_counts(counts)), view(spark, sf_dir, "vulnerability_jobs"), _checks(spark, sf_dir, counts))
 
 
 @query("recent_scans", """SELECT repository_id, epoch_us(max(created_ts)) AS last_scan_us, CASE WHEN max(business_risk_score) >= 0.8e0 THEN 'Critical' WHEN max(business_risk_score) >= 0.6e0 THEN 'High'

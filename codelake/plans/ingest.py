@@ -61,6 +61,44 @@ def _loaded(table, *values, outcome="loaded", source=None):
     return f"SELECT '{table}' AS source_table, '{outcome}' AS outcome, {columns} FROM {source or 'cvefixes_' + table}"
 
 
+def _ingested(spark, sf_dir):
+    path, tables = scratch_path(spark, "dump"), scratch_path(spark, "dump-tables")
+    write_dump(spark, sf_dir, path)
+    dump.ingest(spark, path, WIDTHS).write.mode("overwrite").partitionBy("good", "table").parquet(tables)
+    return spark.read.schema("tokens array<string>, statement string, good boolean, table string").parquet(tables)
+
+
+# Columns of the dump's tables as they are used.
+TYPED = {
+    "fixes": "cve_id string, hash string", "commits": "hash string, repo_url string",
+    "cve": "cve_id string, cvss3_base_score double, cvss3_base_severity string", "cwe_classification": "cve_id string, cwe_id string",
+    "cwe": "cwe_id string, cwe_name string", "repository": "repo_url string", "method_change": "file_change_id string, code string, before_change string",
+    "file_change": "file_change_id string, hash string, filename string, programming_language string",
+}
+
+
+def _typed_sql(table, key, text="NULL", number="NULL", source=None):
+    return f"SELECT '{table}' AS source_table, {key} AS row_key, CAST({text} AS VARCHAR) AS row_text, CAST({number} AS DOUBLE) AS row_number FROM {source or 'cvefixes_' + table}"
+
+
+@query("dump_typed", " UNION ALL ".join([
+    _typed_sql("fixes", "cve_id", "hash"), _typed_sql("commits", "hash", "repo_url"), _typed_sql("cve", "cve_id", f"cvss3_base_severity || {_TRAP_SQL}", "cvss3_base_score"),
+    _typed_sql("cwe_classification", "cve_id", "cwe_id"), _typed_sql("cwe", "cwe_id", "'it''s ' || cwe_id", source="(SELECT DISTINCT cwe_id FROM cvefixes_cwe_classification)"),
+    _typed_sql("repository", "repo_url", source="(SELECT DISTINCT repo_url FROM cvefixes_commits)"),
+    _typed_sql("method_change", "file_change_id", _METHOD_SQL), _typed_sql("file_change", "file_change_id", "hash")]))
+def dump_typed(spark, sf_dir):
+    """Every table of the dump as a table with names and types."""
+    stored, out = _ingested(spark, sf_dir), None
+    for table, schema in TYPED.items():
+        rows = dump.typed(stored, table, schema)
+        key, *rest = rows.columns
+        text = next((c for c in rest if c != "cvss3_base_score"), None)
+        part = rows.select(F.lit(table).alias("source_table"), F.col(key).alias("row_key"), (F.col(text) if text else F.lit(None)).cast("string").alias("row_text"),
+                           (F.col("cvss3_base_score") if table == "cve" else F.lit(None)).cast("double").alias("row_number"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("dump_ingest", " UNION ALL ".join([
     _loaded("fixes", "cve_id", "hash"), _loaded("commits", "hash", "repo_url"),
     _loaded("cve", "cve_id", "cvss3_base_score", f"cvss3_base_severity || {_TRAP_SQL}"),
@@ -72,10 +110,7 @@ def _loaded(table, *values, outcome="loaded", source=None):
     _loaded("file_change", "file_change_id", "hash", "'a''b,c.py'", "coalesce(programming_language, '')")]))
 def dump_ingest(spark, sf_dir):
     """All tables of a dump with their values, and the rows that are kept apart."""
-    path, tables = scratch_path(spark, "dump"), scratch_path(spark, "dump-tables")
-    write_dump(spark, sf_dir, path)
-    dump.ingest(spark, path, WIDTHS).write.mode("overwrite").partitionBy("good", "table").parquet(tables)
-    stored = spark.read.schema("tokens array<string>, statement string, good boolean, table string").parquet(tables)
+    stored = _ingested(spark, sf_dir)
     outcome = F.when(F.col("good"), "loaded").otherwise("quarantined")
     first = F.when(F.col("good"), F.get("tokens", F.lit(0))).otherwise(F.col("statement"))
     return stored.select(F.col("table").alias("source_table"), outcome.alias("outcome"), first.alias("v1"),

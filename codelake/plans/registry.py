@@ -54,9 +54,13 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports of all repositories: findings are ranked first and only the listed ones are explained."""
+    """Reports of all repositories.
+
+    The predictions are scanned twice, for the counts that all figures follow from and for the listed findings; only these are
+    explained.
+    """
     pred = predictions(spark, sf_dir)
-    bad = pred.where("vulnerable")
-    ranked = staged(report.top_findings(bad), "listed-findings")
-    listed = detect.finding_projection(explained(spark, sf_dir, ranked)).join(ranked.select("snippet_id", "rank"), "snippet_id")
-    return report.report_markdown(score.repo_scores(pred), listed, score.compliance_set(bad))
+    counts = staged(score.finding_counts(pred), "finding-counts")
+    ranked = staged(report.top_findings(pred.where("vulnerable")), "listed-findings")
+    listed = detect.finding_projection(explained(spark, sf_dir, ranked.drop("language"))).join(ranked.select("snippet_id", "rank"), "snippet_id")
+    return report.report_markdown(score.with_scores(score.summary_of_counts(counts)), listed, score.compliance_set(counts.where("vulnerable")))

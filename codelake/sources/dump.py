@@ -64,9 +64,15 @@ _COMMENTS = r"^(?:\s++|--[^\n]*+|(?s:/\*.*?(?:\*/|\z)))++"
 _FILE_BLOCK = ["file", "block"]
 
 
-def _open_after(text: Column) -> Column:
-    """1 if a quoted value is open at the end of a text that starts outside of one. Quotes in comments don't count."""
-    return F.contains(F.regexp_replace(text, _CLOSED, ""), F.lit("'")).cast("int")
+def _open_after(text: Column, inside: bool = False) -> Column:
+    """1 if a quoted value is open at the end of a text that starts outside of one, or ``inside`` one.
+
+    Quotes in comments don't count. Most texts hold no comment mark at all: then the number of quotes decides.
+    """
+    # A text that starts inside a value is one with a quote before it.
+    whole = F.concat(F.lit("'"), text) if inside else text
+    read = F.contains(F.regexp_replace(whole, _CLOSED, ""), F.lit("'")).cast("int")
+    return F.when(F.contains(text, F.lit("--")) | F.contains(text, F.lit("/*")), read).otherwise((_quotes(text) + int(inside)) % 2)
 
 
 def _state_before(keys: list[str], order: str, start: Column) -> tuple[Column, Column]:
@@ -131,8 +137,7 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     records = spark.read.option("lineSep", "\n" + _START).text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"), "value", _open_after(value).alias("out"),
-        # A text that starts inside a value is one with a quote before it.
-        _open_after(F.concat(F.lit("'"), value)).alias("in"))
+        _open_after(value, inside=True).alias("in"))
     broken = staged(_block_states(records), "dump-broken-blocks")
     whole = records.join(broken, _FILE_BLOCK, "left_anti").select("value")
     chunks = whole.unionByName(_glued(records, broken).select("value"))

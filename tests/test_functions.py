@@ -9,10 +9,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from codelake import fixed
-from codelake.functions import code_parse, explain, rules, text, vectors
+from codelake.functions import code_parse, explain, rules, text, udtfs, vectors
 from codelake.operators import detect, jobs, score
-from codelake.operators.explain import line_of_offset, with_reason
+from codelake.operators.explain import token_lines, with_reason
 from codelake.plans.oracle import CMD_PATTERN, SQL_PATTERN
+from codelake.sources import dump
 
 
 def column(spark, values, expr, kind="string"):
@@ -171,10 +172,12 @@ def test_reason_without_lines(spark):
 
 
 def test_line_of_offset(spark):
-    code = "line1\nline2\nline3\n"
-    rows = spark.createDataFrame([(o,) for o in (-1, 0, 5, 6, 11, 12, 17, 18, 99)], "o int")
-    got = [r[0] for r in rows.select(line_of_offset(F.lit(code), F.col("o"))).collect()]
-    assert got == [1, 1, 1, 2, 2, 3, 3, 1, 1]
+    code = spark.createDataFrame([(1, "line1\nline2\nline3\n")], "snippet_id long, code string")
+    offsets = (-1, 0, 5, 6, 11, 12, 17, 18, 99)
+    rows = spark.createDataFrame([(1, 0, n, "t", o, o + 1, 1.0) for n, o in enumerate(offsets)],
+                                 "snippet_id long, head int, token_idx int, token string, tok_start int, tok_end int, weight double")
+    got = token_lines(rows, code).orderBy("token_idx").collect()
+    assert [r.line_number for r in got] == [1, 1, 1, 2, 2, 3, 3, 1, 1]
 
 
 def test_cosine(spark):
@@ -228,3 +231,27 @@ def test_registration_quality(spark):
     rows = spark.createDataFrame([("Al", "S3cur3P@ssw0rd!"), ("A", "S3cur3P@ssw0rd!"), ("Al", "short1!"), ("Al", "nouppercase1!"), ("Al", "NoDigits!!")],
                                  "full_name string, password string")
     assert [r.accepted for r in jobs.registration_quality(rows).collect()] == [True, False, False, False, False]
+
+
+VALUES = st.text(st.sampled_from("ab',; \n()\"N"), max_size=14)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(VALUES, min_size=20, max_size=20))
+def test_dump_values_in_sql_equal_the_expression(spark, texts):
+    udtfs.register(spark)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    want = {r.i: r.v for r in rows.select("i", dump.parse_values(F.col("t")).alias("v")).collect()}
+    got = {}
+    for r in spark.sql("SELECT r.i, v.place, v.value FROM {rows} r, LATERAL dump_values(r.t) v", rows=rows).collect():
+        got.setdefault(r.i, []).append((r.place, r.value))
+    assert {i: [v for _, v in sorted(x)] for i, x in got.items()} == {i: v for i, v in want.items() if v}
+
+
+def test_table_functions(spark):
+    udtfs.register(spark)
+    code = "def f(a):\n    def g():\n        return 1\n    return g\npassword = 'longsecret'\n"
+    files = spark.createDataFrame([(code, "Python"), ("int h(int a) { return 1; }", "C"), (None, "C"), ("def broken(", "Python")], "code string, language string")
+    found = spark.sql("SELECT f.name, f.line_number FROM {files} s, LATERAL source_functions(s.code, s.language) f", files=files).collect()
+    assert sorted(map(tuple, found)) == [("f", 1), ("g", 2), ("h", 1)]
+    assert spark.sql("SELECT f.rule_id FROM {files} s, LATERAL ast_findings(s.code) f", files=files).collect()[0].rule_id == "RS002"

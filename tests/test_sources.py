@@ -1,9 +1,14 @@
 """Dump splitting, file scans and sinks on small fixtures."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
-from codelake.sources import dump, repo_files, sinks
+from codelake import pipelines
+from codelake.sources import dump, repo_files, sinks, tables
 
 NASTY = ["plain", "it's", "two\nlines;\n", "x');\nINSERT INTO \"cve\" VALUES('fake');\ny", "''", "", "tail,comma", "\n;\n'\n"]
 
@@ -142,3 +147,46 @@ def test_typed_tables(spark, tmp_path):
     rows = dump.ingest(spark, str(tmp_path / "d.sql"), {"repository": 4, "file_change": 9})
     assert dump.typed(rows, "repository", "url string, note string, stars int, n int").collect() == [("u", None, 3, None)]
     assert dump.typed(rows, "file_change", "id string, hash string, filename string, programming_language string").collect() == [("1", "h", "f.py", "Go")]
+
+
+def test_source_files_keep_their_names(spark, tmp_path):
+    """Files written with their own names and read back by extension, with repositories that have no function."""
+    rows = [("repo_1/src/a.py", "def f():\n    import pickle\n    pickle.loads(x)"), ("repo_1/b.JS", "function g(a) {\n}"), ("repo_2/none.go", "// é"),
+            ("repo_1/.git/c.py", "x"), ("repo_1/readme.md", "text")]
+    written = repo_files.write_source_files(spark.createDataFrame(rows, "file_path string, content string").repartition(3), str(tmp_path))
+    assert written.count() == 5
+    files = repo_files.scan_repo_files(spark, str(tmp_path))
+    assert {(r.file_path, r.code) for r in files.collect()} == set(rows[:3])
+    pred = pipelines.scan(files, r"^repo_(\d+)/")
+    scores = {r.repo_id: r for r in pipelines.repository_risk(pred, pipelines.scanned_files(files, r"^repo_(\d+)/")).collect()}
+    assert (scores["1"].files_scanned, scores["1"].functions_scanned, scores["1"].total_vulnerabilities, scores["1"].critical_issues) == (2, 2, 1, 1)
+    assert (scores["2"].files_scanned, scores["2"].functions_scanned, scores["2"].security_grade) == (1, 0, "A")
+    texts = pipelines.executive_reports(pred, files=pipelines.scanned_files(files, r"^repo_(\d+)/"))
+    assert {r.repo_id for r in texts.collect()} == {"1", "2"}
+    found = pipelines.explained_findings(pred).first()
+    assert found.remediation.priority_level.startswith("P0") and found.remediation.root_cause
+
+
+def test_read_parts(spark, sf_dir):
+    spark.conf.set(tables.READ_PARTS, "3")
+    try:
+        assert tables.read_table(spark, sf_dir, "events").rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.unset(tables.READ_PARTS)
+
+
+def test_jobs_from_another_folder(tmp_path):
+    """A session of ``build_session`` has the package on its workers, wherever it is started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import sys
+sys.path.insert(0, {root!r})
+from codelake.session import build_session
+spark = build_session("other", master="local[1]")
+from codelake.functions.code_parse import explode_functions
+rows = spark.createDataFrame([("a.py", "Python", "def f(): pass")], "file_path string, language string, code string")
+print("found", explode_functions(rows).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "found 1" in out.stdout, out.stderr[-2000:]
