@@ -263,7 +263,7 @@ BROADCAST_HITS = 1 << 20
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows and columns of the documents without a hit.
 
-    A document is known by its id and its text's fingerprint, so rows that repeat an id are judged apart.
+    A document is known by its id and its text's fingerprint, so rows that repeat an id are judged apart. Columns may have any names.
     """
     keyed = docs.select(F.struct(F.col(id_column).cast("string").alias("id"), fingerprint(text_column).cast("string").alias("fp")).alias("_key"),
                         F.col(text_column).alias("text")).select(F.to_json("_key").alias("_key"), "text")
@@ -271,4 +271,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "d
     hit = staged(hit.select(F.col("k.id").alias("_id"), F.col("k.fp").cast("long").alias("_fp")).distinct(), "contaminated")
     if hit.count() <= BROADCAST_HITS:
         hit = F.broadcast(hit)
-    return docs.join(hit, F.col(id_column).cast("string").eqNullSafe(F.col("_id")) & (fingerprint(text_column) == F.col("_fp")), "left_anti")
+    rows = docs.select(F.struct(F.col("*")).alias("_row"), F.col(id_column).cast("string").alias("_own_id"), fingerprint(text_column).alias("_own_fp"))
+    return rows.join(hit, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp")), "left_anti").select("_row.*")

@@ -5,9 +5,9 @@
 2. Improved consistent weighted sampling gives each node one sample per hash function; bands of samples are buckets.
 3. Every bucket has a centre. A node is compared with the centre that it meets in most buckets; similarities are exact.
 4. Buckets whose nodes aren't all connected go on. A node is compared with the node of its buckets that has the least weight on
-   rare shingles. Pairs that share a rare shingle are few and compared next. For all other pairs of a bucket the weight of
-   rare shingles bounds the similarity; what passes the bound and isn't connected is compared. So a large group of copies
-   with scattered edits doesn't turn into all its pairs, and no link is left out.
+   rare shingles. Pairs that share a rare shingle are few and compared next. For all other pairs of a bucket, how far both
+   are from a centre bounds how near they can be; nodes that can't be near any other leave the bucket before a pair is made.
+   So a large group of copies with scattered edits doesn't turn into all its pairs, and no link is left out.
 5. Links are joined to classes by least labels.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import Index, bound_batches, fingerprint, in_batches, utf8
+from .common import Index, bound_batches, fingerprint, in_batches, keep, utf8
 from .decontaminate import words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -145,6 +145,7 @@ def band_keys(hashes: np.ndarray, weights: np.ndarray) -> list[int]:
 def cell_counts(docs: DataFrame) -> np.ndarray:
     """Documents' shingles in each cell, over the whole corpus."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep("nothing", lambda: None)
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             own = [h[np.append(True, h[1:] != h[:-1])] for _, h in shingles_of(list(batch["text"])) if len(h)]
@@ -239,10 +240,10 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     stars = met.groupBy("node").agg(F.max_by("centre", F.struct("n", "centre")).alias("a")).select("a", F.col("node").alias("b"))
     links = staged(compare(stars, sets, factors, threshold), "star-links")
     labels = components(links)
-    able, bounds, rare = _able(shared, sets, labels, factors, threshold)
+    able, bounds, rare, held = _able(shared, sets, labels, factors, threshold)
     steps = ((lambda: _second_stars(_labelled(able, labels)), "second-links"),
              (lambda: _rare_pairs(rare, _labelled(bounds, labels), threshold), "rare-links"),
-             (lambda: _open_pairs(_labelled(able, labels), threshold), "open-links"))
+             (lambda: _open_pairs(_labelled(able, labels), sets, held, factors, threshold), "open-links"))
     for pairs, name in steps:
         more = staged(compare(pairs(), sets, factors, threshold), name)
         if not more.isEmpty():
@@ -255,12 +256,13 @@ def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _able(shared: DataFrame, sets: DataFrame, labels: DataFrame, factors, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _able(shared: DataFrame, sets: DataFrame, labels: DataFrame, factors, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What the buckets that aren't one class need to go on.
 
     A shingle is rare if at most RARE nodes of such buckets have it. ``alone`` is the weight of a node's shingles that no
     other of these nodes has, ``few`` that of all its rare ones. Two nodes without a rare shingle in common share at most
-    weight - few. Gives the bucket rows of nodes that can reach the threshold so, all nodes' bounds, and the rare shingles.
+    weight - few. Gives the bucket rows of nodes that can reach the threshold so, all nodes' bounds, the rare shingles that nodes
+    share, and each node's rare shingles.
     """
     named = _labelled(shared.select("bucket", "node", "weight"), labels)
     # Per bucket the least and greatest label: they differ if the bucket isn't one class.
@@ -280,7 +282,8 @@ def _able(shared: DataFrame, sets: DataFrame, labels: DataFrame, factors, thresh
     sums = rare.groupBy("node").agg(F.sum(F.when(F.col("n") == 1, F.col("w")).otherwise(0.0)).alias("alone"), F.sum("w").alias("few"))
     bounds = staged(wanted.join(sums, "node", "left").na.fill(0.0, ["alone", "few"]), "bounds")
     able = bounds.where((F.col("weight") - F.col("few")) >= (threshold - 1e-9) * F.col("weight"))
-    return staged(open_rows.select("bucket", "node").join(able, "node"), "able"), bounds, rare.where("n > 1").select("shingle", "node")
+    return (staged(open_rows.select("bucket", "node").join(able, "node"), "able"), bounds, rare.where("n > 1").select("shingle", "node"),
+            rare.groupBy("node").agg(F.collect_list("shingle").alias("rare")))
 
 
 def _second_stars(able: DataFrame) -> DataFrame:
@@ -299,16 +302,52 @@ def _rare_pairs(rare: DataFrame, bounds: DataFrame, threshold: float) -> DataFra
     return pairs.where((F.col("x_label") != F.col("y_label")) & _reach("x_weight", "x_alone", "y_weight", "y_alone", threshold)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
 
-def _open_pairs(able: DataFrame, threshold: float) -> DataFrame:
+def _differences(pairs: DataFrame, sets: DataFrame, held: DataFrame, factors) -> DataFrame:
+    """For (node, centre) pairs, ``off``, the weight in which the two differ, and ``common_off``, the part of it that another node
+    without a rare shingle of this one can have too: what the centre has more of, and what isn't rare."""
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for xs, ys, rare in zip(batch["xs"], batch["ys"], batch["rare"]):
+            (x, u), (y, v) = (weighted(np.frombuffer(h, np.uint64), factors.value) for h in (xs, ys))
+            both, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+            more = np.zeros(len(both))
+            np.add.at(more, where, np.concatenate([u, -v]))
+            own = np.maximum(more, 0)
+            off = np.abs(more).sum()
+            alone = own[np.isin(both, np.asarray(rare, np.int64).astype(np.uint64))].sum() if rare is not None and len(rare) else 0.0
+            rows.append((off, off - alone))
+        off, common = zip(*rows)
+        return pd.DataFrame({"node": batch["node"], "centre": batch["centre"], "off": off, "common_off": common})
+
+    left = sets.select("node", F.col("shingles").alias("xs")).join(held, "node", "left")
+    right = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("ys"))
+    return in_batches(pairs.join(left, "node").join(right, "centre").select("node", "centre", "xs", "ys", "rare"), run,
+                      "node binary, centre binary, off double, common_off double")
+
+
+def _open_pairs(able: DataFrame, sets: DataFrame, held: DataFrame, factors, threshold: float) -> DataFrame:
     """Pairs of a bucket that aren't connected yet and whose similarity may reach the threshold without a common rare shingle.
 
-    Nearly all buckets are one class by now. Within the others, the bound decides before a pair is made.
+    Nodes are compared with a centre of their bucket. Distance is the weight in which two nodes differ; at the threshold t it is
+    at most k = (1 - t) / (1 + t) of both weights. Two nodes differ from each other by what they differ from the centre, less
+    twice what they have in common of that, and that is at most the lesser ``common_off``:
+    (off - k weight) of both together may not exceed twice the lesser common_off. Nodes that can't meet this with the
+    bucket's best leave it; nearly all of a group with scattered edits do, as their edits are rare. Buckets of one class end here.
     """
-    mixed = able.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    rows = able.join(mixed, "bucket")
-    x = rows.select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "label", "weight", "few")])
-    y = rows.select("bucket", *[F.col(c).alias(f"y_{c}") for c in ("node", "label", "weight", "few")])
+    mixed = able.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                       F.min(F.struct("few", "node"))["node"].alias("centre")).where("low <> high").select("bucket", "centre")
+    rows = staged(able.join(mixed, "bucket"), "open-rows")
+    off = staged(_differences(rows.select("node", "centre").distinct(), sets, held, factors), "differences")
+    share = (1 - threshold) / (1 + threshold)
+    own = F.col("off") - share * F.col("weight")
+    rows = staged(rows.join(off, ["node", "centre"]).withColumns({"own": own, "room": 2 * F.col("common_off") - own}), "open-rows")
+    best = rows.groupBy("bucket").agg(F.min("own").alias("least_own"), F.max("room").alias("most_room"))
+    left = staged(rows.join(best, "bucket").where((F.col("own") <= F.col("most_room") + 1e-6) & (F.col("least_own") <= F.col("room") + 1e-6)), "open-rows")
+    mixed = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    left = left.join(mixed, "bucket", "left_semi")
+    x, y = (left.select("bucket", *[F.col(c).alias(f"{k}_{c}") for c in ("node", "label", "weight", "few", "own", "room")]) for k in "xy")
     pairs = x.join(y, "bucket").where((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label"))
+                                      & (F.col("x_own") <= F.col("y_room") + 1e-6) & (F.col("y_own") <= F.col("x_room") + 1e-6)
                                       & _reach("x_weight", "x_few", "y_weight", "y_few", threshold))
     return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
@@ -331,17 +370,15 @@ def _classes(signed: DataFrame, labels: DataFrame, id_column: str) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of one document of each class; of repeated rows one stays.
-
-    Columns of ``docs`` named ``_id``, ``_fp`` or ``_copy`` aren't allowed.
-    """
+    """All columns, whatever their names, of one document of each class; of repeated rows one stays."""
     kept = (near_duplicates(docs, id_column, text_column, threshold).where("keep")
             .select(F.col(id_column).alias("_id"), F.col("fp").alias("_fp")).distinct())
     if kept.count() <= BROADCAST_NODES:
         kept = F.broadcast(kept)
-    chosen = docs.join(kept, F.col(id_column).eqNullSafe(F.col("_id")) & (fingerprint(text_column) == F.col("_fp")))
+    rows = docs.select(F.struct(F.col("*")).alias("_row"), F.col(id_column).alias("_own_id"), fingerprint(text_column).alias("_own_fp"))
+    chosen = rows.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_fp") == F.col("_fp")))
     # Only rows that repeat with id and text need to be told apart; without any, no row is shuffled.
     again = docs.groupBy(F.col(id_column).alias("_id"), fingerprint(text_column).alias("_fp")).agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return chosen.drop("_id", "_fp")
-    return chosen.dropDuplicates(["_id", "_fp"]).drop("_id", "_fp")
+    if not again.isEmpty():
+        chosen = chosen.dropDuplicates(["_id", "_fp"])
+    return chosen.select("_row.*")
