@@ -375,6 +375,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def digest(result: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """Figures of ``remove_repeats`` per document."""
-    return result.select(id_column, "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
-                         (F.size("runs") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    """Figures of ``remove_repeats`` per document, and whether anything was removed."""
+    removed = (F.col("n_bytes") - F.length("kept")).cast("long")
+    return result.select(id_column, "n_bytes", removed.alias("n_removed"), (F.size("runs") / 2).cast("long").alias("n_spans"),
+                         F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).alias("has_repeats"))
