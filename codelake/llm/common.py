@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -44,6 +46,11 @@ def keep(name: str, make: Callable[[], object]):
     It keeps one thing at a time: the operators of a pipeline share the workers, and what another one kept is let go.
     """
     if name not in _kept:
+        if any(_kept.values()):
+            _kept.clear()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library can give memory back
+                ctypes.CDLL(None).malloc_trim(0)
         _kept.clear()
         _kept[name] = make()
     return _kept[name]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import bound_batches, fingerprint, offsets, utf8
+from .common import bound_batches, fingerprint, keep, offsets, utf8
 
 # Lower-cases A-Z; every byte that is no word byte becomes a blank. Bytes from 0x80 on belong to words.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 0x80 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -66,6 +66,7 @@ def build_index(docs: DataFrame, vocabulary: dict[bytes, int], id_column: str, t
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keep("nothing", lambda: None)
         get = _Vocabulary(shared.value).__getitem__
         for batch in batches:
             if not len(batch):

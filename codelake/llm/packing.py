@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import bound_batches, fingerprint, utf8
+from .common import bound_batches, fingerprint, numbered_words, offsets, utf8
 from .quality_rules import word_tokens
 
 # Longest sequence, number of buckets, and tokens of a batch with its padding.
 MAX_LENGTH, BUCKETS, BATCH_TOKENS = 2048, 16, 65_536
 # Sequences of a bucket are ranked in so many even parts.
 PARTS = 4096
+# Bytes of words that a worker keeps with their tokens.
+CACHE_BYTES = 64 << 20
 
 
 def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
@@ -49,15 +51,15 @@ def best_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[i
     return bounds[::-1]
 
 
-def token_lengths(docs: DataFrame, id_column: str, text_column: str, model_path: str | None = None) -> DataFrame:
+def token_lengths(docs: DataFrame, id_column: str, text_column: str, model_path: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Tokens of each document by the public vocabulary, word by word, with one end token."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = word_tokens(model_path)
+        tokens = word_tokens(model_path, cache_bytes)
         for batch in filter(len, batches):
-            split = [text.split() for text in batch["text"]]
-            words = list({w for ws in split for w in ws})
-            size = dict(zip(words, map(len, tokens.of(words)))).__getitem__
-            yield pd.DataFrame({"id": batch["id"], "fp": batch["fp"], "length": [sum(map(size, ws)) // 4 + 1 for ws in split]})
+            number, ends, words = numbered_words(list(batch["text"]))
+            sizes = np.fromiter(map(len, tokens.of(words)), np.int64, len(words)) // 4
+            total = offsets(sizes[number] if len(number) else [])
+            yield pd.DataFrame({"id": batch["id"], "fp": batch["fp"], "length": np.diff(total[ends]) + 1})
 
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("id"), fingerprint(text_column).alias("fp"), utf8(text_column).alias("text"))
@@ -99,7 +101,7 @@ def pack(lengths: DataFrame, max_length: int = MAX_LENGTH, buckets: int = BUCKET
 
 
 def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", max_length: int = MAX_LENGTH,
-                   buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, model_path: str | None = None) -> DataFrame:
+                   buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, model_path: str | None = None, cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Packing of the documents' tokens: one row per sequence. Null and empty texts have the end token only; null ids
-    stay; columns other than the two aren't read."""
-    return pack(token_lengths(docs, id_column, text_column, model_path), max_length, buckets, batch_tokens).withColumnRenamed("id", id_column)
+    stay; columns other than the two aren't read. ``cache_bytes`` of words are kept by a worker; less costs time only."""
+    return pack(token_lengths(docs, id_column, text_column, model_path, cache_bytes), max_length, buckets, batch_tokens).withColumnRenamed("id", id_column)

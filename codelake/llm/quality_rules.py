@@ -7,8 +7,8 @@ documents borrow from the bands of all.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .common import Index, bound_batches, offsets, utf8
+from .common import bound_batches, gather, keep, numbered_words, utf8
 
 BLANKS, SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -25,37 +25,46 @@ MEASURES = ("chars_per_token", "byte_share", "entropy")
 SPREAD, SLACK = 3.0, {"chars_per_token": 0.12, "byte_share": 0.05, "entropy": 1.5}
 # A language's quartiles count as those of so many documents of the whole corpus besides its own.
 PRIOR_DOCS = 50
-# Texts of so many words at least are measured; shorter ones fail the base rules anyhow.
-CACHE_WORDS = 300_000
+# Bytes of words that a worker keeps with their tokens; a full cache is emptied but for the last batch's words.
+# A word takes about so many bytes.
+CACHE_BYTES, WORD_BYTES = 24 << 20, 180
+# The table of bands is broadcast up to so many languages (100 bytes each); a larger one is joined by shuffle, and the
+# documents of a language are dealt to so many tasks then.
+BROADCAST_BANDS, SALTS = 1 << 17, 64
 
 BASE = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
         "n_tokens long, chars_per_token double, byte_share double, entropy double")
 
 
 class _Tokens(dict):
-    """Token ids of a word by the public vocabulary, as bytes; keeps up to CACHE_WORDS words."""
+    """Token ids of a word by the public vocabulary, as bytes; keeps about so many bytes of words."""
 
-    def __init__(self, model_path: str | None):
+    def __init__(self, model_path: str | None, cache_bytes: int = CACHE_BYTES):
         import public_tokenizers
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path or public_tokenizers.path("piece_bpe_32k.model"))
         self.is_byte = np.fromiter((self.model.is_byte(i) for i in range(self.model.get_piece_size())), bool)
+        self.held, self.most = 0, cache_bytes
 
-    def of(self, words: list[bytes]) -> list[bytes]:
+    def of(self, words: list[str]) -> list[bytes]:
         new = [w for w in words if w not in self]
-        found = {w: np.asarray(ids, np.int32).tobytes() for w, ids in
-                 zip(new, self.model.encode([w.decode("utf-8", "replace") for w in new], num_threads=1))} if new else {}
-        out = [self[w] if w in self else found[w] for w in words]
-        if len(self) < CACHE_WORDS:
+        if new:
+            found = {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in zip(new, self.model.encode(new, num_threads=1))}
+            size = WORD_BYTES * len(found)
+            if self.held + size > self.most:
+                last = {w: self[w] for w in words if w in self}
+                self.clear()
+                self.update(last)
+                self.held = WORD_BYTES * len(last)
             self.update(found)
-        return out
+            self.held += size
+        return [self[w] for w in words]
 
 
-@lru_cache(maxsize=1)
-def word_tokens(model_path: str | None) -> _Tokens:
+def word_tokens(model_path: str | None, cache_bytes: int = CACHE_BYTES) -> _Tokens:
     """One cache for all tasks of a worker."""
-    return _Tokens(model_path)
+    return keep(f"tokens {cache_bytes} {model_path}", lambda: _Tokens(model_path, cache_bytes))
 
 
 def repeat_words(ids: np.ndarray) -> int:
@@ -95,21 +104,12 @@ def _entropies(tokens: np.ndarray, ends: np.ndarray, size: int) -> np.ndarray:
 
 def measure(texts: list[bytes], tokens: _Tokens) -> dict[str, np.ndarray]:
     """All columns of BASE for a batch of texts."""
-    index, word_ids = Index(), []
-    number = index.__getitem__
-    for text in texts:
-        word_ids.append(np.fromiter(map(number, text.split()), np.int64))
-    n_words = np.fromiter(map(len, word_ids), np.int64, len(texts))
-    flat = np.concatenate(word_ids) if len(texts) else np.zeros(0, np.int64)
-    pieces = tokens.of(list(index))
-    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    store = np.frombuffer(b"".join(pieces), np.int32)
+    number, ends, words = numbered_words(texts)
+    n_words = np.diff(ends)
+    word_ids = [number[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
     # Token numbers of all words of all texts in order.
-    long = sizes[flat]
-    at = np.arange(long.sum()) - np.repeat(np.cumsum(long) - long, long) + np.repeat(begin[flat], long)
-    token = store[at].astype(np.int64)
-    ends = np.concatenate([[0], np.cumsum(long)])[offsets(n_words)]
+    token, ends = gather(tokens.of(words), number, ends)
+    token = token.astype(np.int64)
     n_tokens = np.diff(ends)
     is_byte = np.concatenate([[0], np.cumsum(tokens.is_byte[token])])[ends]
     word_chars = np.fromiter((len(x.translate(None, BLANKS).decode("utf-8", "replace")) for x in texts), np.int64, len(texts))
@@ -124,16 +124,14 @@ def measure(texts: list[bytes], tokens: _Tokens) -> dict[str, np.ndarray]:
 
 
 def measured(docs: DataFrame, text_column: str = "text", model_path: str | None = None) -> DataFrame:
-    """All columns of ``docs`` in a struct ``_row``, the text as bytes apart, and the columns of BASE."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All columns of ``docs`` and the columns of BASE. Only the text goes through Python; the rest of a row stays where it is."""
+    @F.pandas_udf(BASE)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokens = word_tokens(model_path)
         for batch in batches:
-            if len(batch):
-                rest = batch.drop(columns="_text")
-                yield rest.assign(**measure(list(batch["_text"]), tokens))
+            yield pd.DataFrame(measure(list(batch), tokens))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.withColumn("_text", utf8(text_column)).mapInPandas(run, f"{kinds}, {BASE}")
+    return docs.withColumn("_measures", run(utf8(text_column))).select(*docs.columns, "_measures.*")
 
 
 def bands(rows: DataFrame, language: str) -> DataFrame:
@@ -164,19 +162,20 @@ def judge(docs: DataFrame, keep_columns: list[str], language: str = "lang", text
     """
     bound_batches(docs.sparkSession)
     own = {x.split()[0] for x in BASE.split(", ")} | {"kept"}
-    # The language goes by a name of its own, as a result column may have the same name.
-    chosen = docs.select(*[F.col(c) for c in dict.fromkeys(keep_columns) if c not in own],
-                         F.col(language).cast("string").alias("_lang"), F.col(text_column).alias("_source_text"))
-    if text_column in keep_columns and text_column not in own:
-        chosen = chosen.drop("_source_text")
-        source = text_column
+    # The columns to keep go along in a struct, so that no name of theirs meets one of ours.
+    names = [c for c in dict.fromkeys(keep_columns) if c not in own]
+    chosen = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.col(language).cast("string").alias("_lang"), F.col(text_column).alias("_text"))
+    rows = staged(measured(chosen, "_text", model_path).drop("_text"), "measures")
+    limits = staged(bands(rows, "_lang"), "bands")
+    same = F.col("_lang").eqNullSafe(F.col("_language"))
+    if limits.count() <= BROADCAST_BANDS:
+        joined = rows.join(F.broadcast(limits), same, "left")
     else:
-        source = "_source_text"
-    rows = staged(measured(chosen, source, model_path).drop("_source_text"), "measures")
-    limits = bands(rows, "_lang")
-    joined = rows.join(limits, F.col("_lang").eqNullSafe(F.col("_language")), "left")
+        dealt = limits.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt_r"))
+        salted = rows.withColumn("_salt_l", F.pmod(F.xxhash64(*MEASURES, "n_tokens", "word_chars"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(dealt, same & (F.col("_salt_l") == F.col("_salt_r")), "left")
     inside = F.lit(True)
     for m in MEASURES:
         inside = inside & F.coalesce(F.col(m).between(F.col(f"_{m}_low"), F.col(f"_{m}_high")), F.lit(True))
-    drop = ["_lang", "_language", *[f"_{m}_{end}" for m in MEASURES for end in ("low", "high")]]
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).drop(*drop)
+    return joined.withColumn("kept", ~F.col("base_failed") & inside).select(
+        *[F.col("_row").getField(c).alias(c) for c in names], *[x.split()[0] for x in BASE.split(", ")], "kept")
