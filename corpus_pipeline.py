@@ -39,7 +39,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The packing of what is left: one row per sequence."""
-    return packing.pack_documents(docs)
+    # The stages share their workers, so this one keeps few words.
+    return packing.pack_documents(docs, cache_bytes=16 << 20)
 
 
 STAGES = [
