@@ -9,6 +9,8 @@ ordered and glued. No task reads a whole file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,12 @@ _TOKEN = r"'[^']*+(?:''[^']*+)*+'|'[^']*+(?:''[^']*+)*+\z|[^',]++(?=,|\z)"
 
 
 def _quotes(col: Column) -> Column:
-    return F.length(col) - F.length(F.replace(col, F.lit("'"), F.lit("")))
+    return F.octet_length(col) - F.octet_length(F.replace(col, F.lit("'"), F.lit("")))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def parse_values(values: Column) -> Column:
@@ -41,25 +48,27 @@ def file_change_fields(statement: Column) -> Column:
 
     Null when the statement has no tuple or fewer than three quoted values. A ``NULL`` language is ''.
     """
-    body = F.regexp_extract(statement, r"(?s)VALUES[^(]*+\((.*)\)", 1)
-    quoted = F.transform(F.slice(F.filter(
-        F.regexp_extract_all(body, F.lit(r"'[^']*+(?:''[^']*+)*+'|[^']++"), F.lit(0)),
-        lambda t: F.startswith(t, F.lit("'"))), 1, 3),
-        lambda t: F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("''"), F.lit("'")))
-    tail = F.substring_index(F.substring_index(body, ",", -3), ",", 1)
-    language = F.btrim(strip(tail), F.lit("'"))
-    enough = F.length(body) - F.length(F.replace(body, F.lit(","), F.lit(""))) >= 2
-    return F.when(F.size(quoted) == 3, F.struct(
-        F.get(quoted, F.lit(0)).alias("file_change_id"), F.get(quoted, F.lit(1)).alias("hash"),
-        F.get(quoted, F.lit(2)).alias("filename"),
-        F.when(enough & (language != "NULL"), language).otherwise("").alias("programming_language")))
+    def fields(body: Column) -> Column:
+        quoted = F.transform(F.slice(F.filter(
+            F.regexp_extract_all(body, F.lit(r"'[^']*+(?:''[^']*+)*+'|[^']++"), F.lit(0)),
+            lambda t: F.startswith(t, F.lit("'"))), 1, 3),
+            lambda t: F.replace(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("''"), F.lit("'")))
+        tail = F.substring_index(F.substring_index(body, ",", -3), ",", 1)
+        enough = F.length(body) - F.length(F.replace(body, F.lit(","), F.lit(""))) >= 2
+        language = F.when(enough, F.nullif(F.btrim(strip(tail), F.lit("'")), F.lit("NULL")))
+        return _let(quoted, lambda t: F.when(F.size(t) == 3, F.struct(
+            F.get(t, F.lit(0)).alias("file_change_id"), F.get(t, F.lit(1)).alias("hash"), F.get(t, F.lit(2)).alias("filename"),
+            F.coalesce(language, F.lit("")).alias("programming_language"))))
+    return _let(F.regexp_extract(statement, r"(?s)VALUES[^(]*+\((.*)\)", 1), fields)
 
 
 _START = "INSERT INTO "
-# Whole comments and quoted values; what they leave holds a quote only if a value is still open.
-_CLOSED = r"(?s)--[^\n]*+|/\*.*?(?:\*/|\z)|'[^']*+(?:''[^']*+)*+'"
+# Whole comments and quoted values to the end of the text; it doesn't match if a value is still open. Read in place, nothing is copied.
+_CLOSED = r"(?:[^'/\-]++|'[^']*+'|--[^\n]*+|/\*(?s:.*?)(?:\*/|\z)|[/\-])*+\z"
 # A command up to the first ``;`` outside quotes and comments.
 _COMMAND = r"(?:--[^\n]*+|(?s:/\*.*?(?:\*/|\z))|'[^']*+(?:'|\z)|[^';/\-]++|[/\-])++(?:;|\z)"
+# The rest of a record that is one command without comments.
+_SINGLE = r"\A[^\s'/;\-][^'/;\-]*+(?:(?:'[^']*+'|-(?!-)|/(?!\*))[^'/;\-]*+)*+;\z"
 _COMMENTS = r"^(?:\s++|--[^\n]*+|(?s:/\*.*?(?:\*/|\z)))++"
 _FILE_BLOCK = ["file", "block"]
 
@@ -69,9 +78,8 @@ def _open_after(text: Column, inside: bool = False) -> Column:
 
     Quotes in comments don't count. Most texts hold no comment mark at all: then the number of quotes decides.
     """
-    # A text that starts inside a value is one with a quote before it.
-    whole = F.concat(F.lit("'"), text) if inside else text
-    read = F.contains(F.regexp_replace(whole, _CLOSED, ""), F.lit("'")).cast("int")
+    # A text that starts inside a value goes up to a quote first.
+    read = (~F.rlike(text, F.lit(r"\A" + ("[^']*+'" if inside else "") + _CLOSED))).cast("int")
     return F.when(F.contains(text, F.lit("--")) | F.contains(text, F.lit("/*")), read).otherwise((_quotes(text) + int(inside)) % 2)
 
 
@@ -144,10 +152,16 @@ def read_statements(spark: SparkSession, path: str) -> DataFrame:
     # The start of a file is a preamble or keeps its own INSERT; a preamble gives a table name that is not listed.
     bare = F.regexp_replace("value", _COMMENTS, "")
     text = F.when(F.startswith(bare, F.lit(_START)), bare).otherwise(F.concat(F.lit(_START), "value"))
-    commands = chunks.select(F.explode(F.regexp_extract_all(text, F.lit(_COMMAND), F.lit(0))).alias("statement"))
-    return (commands.select(strip(F.regexp_replace("statement", _COMMENTS, "")).alias("statement")).where(F.col("statement").startswith("INSERT INTO"))
-            .withColumn("table", F.replace(F.regexp_extract("statement", r"^INSERT INTO\s+(\S+?)\s*(?:VALUES\b|\(|\s)", 1),
-                                           F.lit('"'), F.lit(""))))
+    table = lambda s: F.replace(F.regexp_extract(s, r"^INSERT INTO\s+(\S+?)\s*(?:VALUES\b|\(|\s)", 1), F.lit('"'), F.lit(""))
+    found = F.transform(F.regexp_extract_all(text, F.lit(_COMMAND), F.lit(0)), lambda s: strip(F.regexp_replace(s, _COMMENTS, "")))
+    commands = F.transform(F.filter(found, lambda s: F.startswith(s, F.lit("INSERT INTO"))), lambda s: F.struct(s.alias("statement"), table(s).alias("table")))
+    # Nearly all records are one command of a plainly named table. Each is read once: generated columns aren't copied into filters.
+    name = F.substring_index("value", " ", 1)
+    named = F.rlike(name, F.lit(r'\A"?\w++"?\z')) & (name != "INSERT") & ~F.contains(name, F.lit("VALUES"))
+    marks = F.contains(value, F.lit("--")) | F.contains(value, F.lit("/*"))
+    one = F.array(F.struct(F.concat(F.lit(_START), "value").alias("statement"), F.replace(name, F.lit('"'), F.lit("")).alias("table")))
+    lone = ~marks & (F.octet_length(F.substring_index("value", ";", 1)) == F.octet_length(value) - 1)
+    return chunks.select(F.inline(F.when(named & (lone | F.rlike(value, F.lit(_SINGLE))), one).otherwise(commands)))
 
 
 def allowed_only(statements: DataFrame, tables: list[str] = fixed.DUMP_TABLES) -> DataFrame:
@@ -167,8 +181,8 @@ def ingest(spark: SparkSession, path: str, widths: dict[str, int]) -> DataFrame:
     ``good`` and ``table``, one pass gives all tables and the quarantine.
     """
     width = F.coalesce(*[F.when(F.col("table") == t, n) for t, n in widths.items()], F.size("tokens"))
-    change = file_change_fields(F.col("statement"))
-    kept = F.array(*[change[c] for c in ("file_change_id", "hash", "filename", "programming_language")])
+    kept = _let(file_change_fields(F.col("statement")), lambda change: F.array(
+        *[change[c] for c in ("file_change_id", "hash", "filename", "programming_language")]))
     parsed = (allowed_only(read_statements(spark, path))
               .withColumn("tokens", parse_values(statement_values(F.col("statement"))))
               .withColumn("good", F.coalesce(F.size("tokens") == width, F.lit(False)) & (F.size("tokens") > 0))

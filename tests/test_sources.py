@@ -1,6 +1,8 @@
 """Dump splitting, file scans and sinks on small fixtures."""
 
 import os
+import random
+import re
 import subprocess
 import sys
 
@@ -27,6 +29,43 @@ def test_parse_values_is_stack_safe(spark):
     assert [len(t) for t in rows.select(dump.parse_values(F.col("v"))).first()[0]] == [1, 200_000, 1]
 
 
+def _plain_fields(body):
+    quoted = [t[1:-1].replace("''", "'") for t in re.findall(r"'[^']*+(?:''[^']*+)*+'|[^']++", body) if t.startswith("'")]
+    parts = body.split(",")
+    language = parts[-3].strip().strip("'") if len(parts) >= 3 else ""
+    return (*quoted[:3], "" if language == "NULL" else language) if len(quoted) >= 3 else None
+
+
+def test_file_change_fields_against_a_plain_version(spark):
+    rng = random.Random(6)
+    bits = ["'a'", "''", "'it''s'", "'x,y'", "NULL", " ", ",", ",", "'", "'$1'"]
+    bodies = ["".join(rng.choice(bits) for _ in range(rng.randrange(16))) for _ in range(1000)]
+    bodies += [",".join(rng.choice(bits[:6]) for _ in range(rng.randrange(1, 9))) for _ in range(500)]
+    rows = spark.createDataFrame([(i, f"INSERT INTO file_change VALUES({b});") for i, b in enumerate(bodies)], "i int, s string")
+    got = {r.i: tuple(r.f) if r.f else None for r in rows.select("i", dump.file_change_fields(F.col("s")).alias("f")).collect()}
+    assert got == {i: _plain_fields(b) for i, b in enumerate(bodies)}
+
+
+@pytest.mark.parametrize("record,table", [
+    ("cve VALUES('a;b','-- c');", "cve"), ("\"cve\" VALUES('a');", "cve"), ("cve(a) VALUES('a');", "cve"), ("INSERT INTO cve VALUES('a');", "cve"),
+    ("cveVALUES ('a');", "cve"), ("cve VALUES('a'); -- it's", "cve"), ("cve VALUES('a') /* ; */;", "cve"), ("cve VALUES(-1);", "cve"), ("cve VALUES('a');x;", "cve")])
+def test_records_give_one_command(spark, tmp_path, record, table):
+    """Records that are one command as they stand and records that must be cut give the same kind of row."""
+    (tmp_path / "d.sql").write_text(f"INSERT INTO fixes VALUES('x');\nINSERT INTO {record}\nINSERT INTO fixes VALUES('y');\n")
+    got = [r for r in dump.read_statements(spark, str(tmp_path / "d.sql")).collect() if r.table != "fixes"]
+    assert [r.table for r in got] == [table] and got[0].statement.startswith("INSERT INTO") and got[0].statement.endswith(";")
+
+
+def test_each_command_is_read_once(spark, tmp_path):
+    """The pattern of a command isn't copied into filters, and a file change's values are gathered once for all four fields."""
+    (tmp_path / "d.sql").write_text("INSERT INTO cve VALUES('a');\n")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = dump.allowed_only(dump.read_statements(spark, str(tmp_path / "d.sql")))
+    assert plan(rows).count("VALUES\\b") == 1
+    field = F.lit("x") == dump.file_change_fields(F.col("s"))["hash"]
+    assert plan(spark.createDataFrame([("x",)], "s string").select(field.alias("f"))).count("regexp_extract_all") == 1
+
+
 def test_file_change_fields(spark):
     line = "INSERT INTO \"file_change\" VALUES('1','h','a''b,c.py','old','d','','','','','','','','','Python','','');"
     rows = spark.createDataFrame([(line,), (line.replace("'Python'", "NULL"),), ("INSERT INTO file_change VALUES(1,2,3);",), ("nothing",)], "s string")
