@@ -27,6 +27,9 @@ _COMMENT = "\n-- that's a note; /* it's not a value\n/* and one that isn't\n   o
 _TRAP = "\n;\nINSERT INTO \"fixes\" VALUES('no','row');\n'"
 
 
+DUMP_RECORDS = 100_000
+
+
 def write_dump(spark, sf_dir, path):
     c = F.col
     t = {n: view(spark, sf_dir, f"cvefixes_{n}") for n in ("fixes", "commits", "cve", "cwe_classification", "method_change", "file_change")}
@@ -48,7 +51,8 @@ def write_dump(spark, sf_dir, path):
     lines = parts[0]
     for part in parts[1:]:
         lines = lines.unionByName(part)
-    lines.write.mode("overwrite").text(path)
+    # Packed text in files of so many statements: a packed file is one block.
+    lines.write.mode("overwrite").option("compression", "snappy").option("maxRecordsPerFile", DUMP_RECORDS).text(path)
 
 
 WIDTHS = {"fixes": 2, "commits": 2, "cve": 3, "cwe_classification": 2, "cwe": 2, "repository": 1, "method_change": 3, "file_change": 17}

@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelake import pipelines
+from codelake.plans import ingest
 from codelake.sources import dump, repo_files, sinks, tables
+from codelake.sources.fixtures import view
 
 NASTY = ["plain", "it's", "two\nlines;\n", "x');\nINSERT INTO \"cve\" VALUES('fake');\ny", "''", "", "tail,comma", "\n;\n'\n"]
 
@@ -56,6 +58,16 @@ def test_records_give_one_command(spark, tmp_path, record, table):
     assert [r.table for r in got] == [table] and got[0].statement.startswith("INSERT INTO") and got[0].statement.endswith(";")
 
 
+def test_written_dump_is_packed(spark, sf_dir, tmp_path):
+    """Statements of a dump take far less room on disk than their text, and none is lost."""
+    ingest.write_dump(spark, sf_dir, str(tmp_path / "dump"))
+    size = sum(f.stat().st_size for f in (tmp_path / "dump").glob("part-*"))
+    text = spark.read.text(str(tmp_path / "dump"))
+    assert 3 * size < text.agg(F.sum(F.length("value") + 1)).first()[0]
+    methods = dump.read_statements(spark, str(tmp_path / "dump")).where("table = 'method_change'").count()
+    assert methods == view(spark, sf_dir, "cvefixes_method_change").count()
+
+
 def test_each_command_is_read_once(spark, tmp_path):
     """The pattern of a command isn't copied into filters, and a file change's values are gathered once for all four fields."""
     (tmp_path / "d.sql").write_text("INSERT INTO cve VALUES('a');\n")
