@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code_parse, udtfs
+from ..operators.settle import settle
 from ..pipelines import repository_risk, scan, scanned_files
 from ..session import scratch_path
 from ..sources import dump, repo_files, sinks
@@ -157,7 +158,8 @@ def dump_file_change_prune(spark, sf_dir):
     lines = view(spark, sf_dir, "cvefixes_file_change").select(dump.insert_text(
         "file_change", q(c("file_change_id")), q(c("hash")), F.lit("'a''b,c.py'"), *[F.lit("'x'")] * 11,
         q(F.btrim("programming_language")), F.lit("''"), F.lit("''")).alias("statement"))
-    return lines.select(dump.file_change_fields(c("statement")).alias("f")).where("f is not null").select("f.*")
+    # Not copied into the filter.
+    return settle(lines.select(dump.file_change_fields(c("statement")).alias("f")), ["f"]).where("f is not null").select("f.*")
 
 
 @query("allowed_tables", """SELECT 'cve' AS source_table, 2 * count(*) AS n FROM cvefixes_cve UNION ALL SELECT 'commits', count(*) FROM cvefixes_commits
