@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..functions.text import is_blank
 from .bayes import TERM, tokens, top_terms
+from .settle import settle
 
 MIN_CWE_ROWS = 50
 
@@ -159,8 +160,10 @@ def embed(df: DataFrame, width: int = 64, code: str = "code", key: str = "snippe
     """Unit vector of hashed terms per snippet; zeros for blank code. A term's place is its MD5's first four digits, modulo ``width``."""
     words = F.when(is_blank(F.col(code)), F.array().cast("array<string>")).otherwise(tokens(F.col(code), None))
     places = F.transform(words, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % width)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter("_places", lambda p: p == i)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size("_places") - F.size(F.array_remove("_places", i)))
     length = F.sqrt(F.aggregate("_counts", F.lit(0), lambda total, n: total + n * n).cast("double"))
     unit = F.transform("_counts", lambda n: F.when(n > 0, n / F.col("_length")).otherwise(0.0).cast("float"))
-    return (df.select(key, places.alias("_places")).select(key, counts.alias("_counts")).select(key, "_counts", length.alias("_length"))
-            .select(key, unit.alias("embedding")))
+    # Settled, since the optimizer would copy places and length into the functions that run once per dimension.
+    placed = settle(df.select(key, places.alias("_places")), ["_places"])
+    counted = settle(placed.select(key, counts.alias("_counts")), ["_counts"])
+    return settle(counted.withColumn("_length", length), ["_length"]).select(key, unit.alias("embedding"))

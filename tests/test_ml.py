@@ -98,3 +98,11 @@ def test_vocabulary(spark):
     got = [(r.position, r.term, r.df) for r in ml.vocabulary(rows, size=3).orderBy("position").collect()]
     assert got == [(0, "sat", 3), (1, "cat_1", 2), (2, "cat_1 sat", 2)]
     assert [(r.position, r.label, r.rows) for r in ml.label_index(rows).orderBy("position").collect()] == [(0, "x", 2), (1, "y", 1)]
+
+
+def test_places_of_terms_are_computed_once(spark):
+    """Terms are hashed once per snippet and its length is taken once, not again for each dimension."""
+    rows = spark.createDataFrame([(1, "def f(): return f")], "snippet_id long, code string")
+    steps = str(ml.embed(rows)._jdf.queryExecution().optimizedPlan().toString()).splitlines()
+    own = {word: [line for line in steps if word in line] for word in ("md5", "array_remove", "SQRT")}
+    assert all(len(lines) == 1 for lines in own.values()) and len({lines[0] for lines in own.values()}) == 3
