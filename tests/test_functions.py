@@ -255,3 +255,11 @@ def test_table_functions(spark):
     found = spark.sql("SELECT f.name, f.line_number FROM {files} s, LATERAL source_functions(s.code, s.language) f", files=files).collect()
     assert sorted(map(tuple, found)) == [("f", 1), ("g", 2), ("h", 1)]
     assert spark.sql("SELECT f.rule_id FROM {files} s, LATERAL ast_findings(s.code) f", files=files).collect()[0].rule_id == "RS002"
+
+
+def test_table_functions_give_no_batch_per_call(spark):
+    """A call's few rows aren't made a batch of their own."""
+    udtfs.register(spark)
+    for call in ("python_functions('')", "brace_functions('')", "ast_findings('')", "dump_values('')"):
+        steps = spark.sql(f"SELECT f.* FROM VALUES (1) t(a), LATERAL {call} f")._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPythonUDTF" in steps and "ArrowEvalPythonUDTF" not in steps
