@@ -257,6 +257,23 @@ def test_report_of_a_clean_repository(spark):
     assert "No regulatory compliance violations" in text and "No vulnerabilities identified" in text and "Maintain system updates" in text
 
 
+def test_code_is_moved_for_one_join(spark, sf_dir):
+    """The fix history is joined from the commits' side: the code of the samples meets one join only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tree = QUERIES["select_distinct"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    code = next(i for i, line in enumerate(tree) if "int f" in line)
+    above, at = 0, depth(tree[code])
+    for line in reversed(tree[:code]):
+        if depth(line) < at:
+            at = depth(line)
+            above += "Join" in line
+    assert above == 1
+
+
 def test_early_stop(spark):
     rows = spark.createDataFrame([("r", i, f) for i, f in enumerate([0.1, 0.3, 0.2, 0.25, 0.9], 1)], "run string, epoch int, val_f1 double")
     got = [(r.best_f1, r.no_improvement, r.after_stop) for r in jobs.early_stop(rows, "run").orderBy("epoch").collect()]
