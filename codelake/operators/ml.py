@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import fixed
+from ..functions.code_parse import FILE_BATCH_BYTES
 from ..functions.text import is_blank
 from .bayes import TERM, tokens, top_terms
 from .settle import settle
@@ -99,7 +100,11 @@ def positive_probability(scored: DataFrame) -> DataFrame:
 
 def score_batches(df: DataFrame, load: Callable[[], Callable[[list[str]], list[float]]], code: str = "code",
                   batch: int = 32) -> DataFrame:
-    """``ml_prob`` from any scorer: ``load`` runs once per task and returns a function on lists of texts."""
+    """``ml_prob`` from any scorer: ``load`` runs once per task and returns a function on lists of texts.
+
+    Whole texts cross into Python, so the batches are bounded by bytes.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(FILE_BATCH_BYTES))
     names = df.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

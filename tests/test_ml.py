@@ -106,3 +106,14 @@ def test_places_of_terms_are_computed_once(spark):
     steps = str(ml.embed(rows)._jdf.queryExecution().optimizedPlan().toString()).splitlines()
     own = {word: [line for line in steps if word in line] for word in ("md5", "array_remove", "SQRT")}
     assert all(len(lines) == 1 for lines in own.values()) and len({lines[0] for lines in own.values()}) == 3
+
+
+def test_texts_are_scored_in_batches_bounded_by_bytes(spark):
+    """A batch for Python holds some megabytes of text, however long the texts are."""
+    def load():
+        import sys
+        return lambda texts: [float(len(sys._getframe(1).f_locals["frame"]))] * len(texts)
+
+    rows = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("some words "), 2000).alias("code"))
+    sizes = [r.ml_prob for r in ml.score_batches(rows, load).select("ml_prob").collect()]
+    assert len(sizes) == 2000 and max(sizes) < 1500
