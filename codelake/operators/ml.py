@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizerModel, HashingTF, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import (IDF, CountVectorizerModel, ElementwiseProduct, HashingTF, NGram, RegexTokenizer, SQLTransformer,
+                                StopWordsRemover, StringIndexerModel)
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +19,14 @@ from pyspark.sql import types as T
 from .. import fixed
 from ..functions.code_parse import FILE_BATCH_BYTES
 from ..functions.text import is_blank
+from ..session import staged
 from .bayes import TERM, tokens, top_terms
 from .settle import settle
 
 MIN_CWE_ROWS = 50
+# The forest holds a number for each row and term of the vocabulary; so many copies of equal rows are kept apart.
+FOREST_ROWS = 1 << 16
+BROADCAST_KINDS = 1 << 16
 
 
 def _terms(code: str) -> list:
@@ -53,38 +59,58 @@ def label_index(rows: DataFrame, label: str = "cwe_id") -> DataFrame:
     return counted.withColumn("position", F.row_number().over(Window.orderBy(F.desc("rows"), F.asc("label"))) - 1)
 
 
-def cwe_pipeline(terms: list[str], code: str = "code", cwe: str = "cwe_id", trees: int = 200, depth: int = 20, seed: int = 42) -> Pipeline:
-    """Forest over the counts of the given ``terms``."""
-    return Pipeline(stages=[
-        *_terms(code), CountVectorizerModel.from_vocabulary(terms, inputCol="terms", outputCol="counts"),
-        IDF(inputCol="counts", outputCol="features"), StringIndexer(inputCol=cwe, outputCol="cwe_index"),
-        RandomForestClassifier(featuresCol="features", labelCol="cwe_index", numTrees=trees, maxDepth=depth,
-                               seed=seed, subsamplingRate=1.0, maxMemoryInMB=1024)])
+def cwe_features(vocabulary: list[tuple[str, int]], rows: int, code: str = "code") -> PipelineModel:
+    """Counts of the vocabulary's terms (term, df in ``rows`` rows) times their idf, as ``features``."""
+    idf = [math.log((rows + 1) / (df + 1)) for _, df in vocabulary]
+    return PipelineModel([
+        *_terms(code), CountVectorizerModel.from_vocabulary([t for t, _ in vocabulary], inputCol="terms", outputCol="counts"),
+        ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="counts", outputCol="features")])
+
+
+def weighted_rows(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """One row per distinct ``keys`` and as many copies as ``most`` leaves room for, with ``weight``; weights add up to the number of rows.
+
+    Up to ``most`` rows each row stands for itself. Beyond, rows with equal keys share ever fewer copies of ever more weight, down to
+    one copy of each.
+    """
+    kinds = staged(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "kinds-of-rows")
+    sums = kinds.agg(*[F.sum(F.least("_n", F.lit(1 << k).cast("bigint"))).alias(f"k{k}") for k in range(1, 41)]).first()
+    copies = F.least("_n", F.lit(1 << max((k for k in range(1, 41) if (sums[f"k{k}"] or 0) <= most), default=0)).cast("bigint"))
+    return kinds.withColumn("weight", F.col("_n") / copies).withColumn("_", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).drop("_n", "_")
 
 
 def cwe_samples(samples: DataFrame) -> DataFrame:
     return samples.where("label = 1 and cwe_id is not null and cwe_id <> ''").select("code", "cwe_id")
 
 
-def train_cwe_classifier(samples: DataFrame, size: int = 8000, **options) -> PipelineModel | None:
-    """CWE model on vulnerable rows with a CWE; None when there are too few."""
-    rows = cwe_samples(samples)
-    # Every stage of the pipeline reads the rows again, so they are spread evenly and kept.
-    rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        if rows.limit(MIN_CWE_ROWS).count() < MIN_CWE_ROWS:
-            return None
-        terms = [r.term for r in vocabulary(rows, size=size).orderBy("position").collect()]  # at most ``size``
-        return cwe_pipeline(terms, **options).fit(rows)
-    finally:
-        rows.unpersist()
+def train_cwe_classifier(samples: DataFrame, size: int = 8000, trees: int = 200, depth: int = 20, seed: int = 42) -> PipelineModel | None:
+    """CWE model on vulnerable rows with a CWE; None when there are too few.
+
+    A forest over the terms' counts. Its cost follows the number of rows times terms, so rows with equal counts and CWE are
+    gathered with a weight: rows differ only by what the vocabulary knows of them.
+    """
+    rows = staged(cwe_samples(samples), "cwe-samples")
+    if rows.limit(MIN_CWE_ROWS).count() < MIN_CWE_ROWS:
+        return None
+    terms = [(r.term, r.df) for r in vocabulary(rows, size=size).orderBy("position").collect()]  # at most ``size``
+    labels = [r.label for r in label_index(rows).orderBy("position").collect()]  # classes
+    read = [*cwe_features(terms, rows.count()).stages, StringIndexerModel.from_labels(labels, inputCol="cwe_id", outputCol="cwe_index")]
+    parts = rows.sparkSession.sparkContext.defaultParallelism
+    weighted = staged(weighted_rows(PipelineModel(read).transform(rows), ["features", "cwe_index"], FOREST_ROWS).repartition(parts), "weighted-rows")
+    forest = RandomForestClassifier(featuresCol="features", labelCol="cwe_index", weightCol="weight", numTrees=trees, maxDepth=depth,
+                                    seed=seed, subsamplingRate=1.0, maxMemoryInMB=1024)
+    return PipelineModel([*read, forest.fit(weighted)])
 
 
 def predict_cwe(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """``model_cwe`` column from the fitted model."""
-    labels = F.array(*[F.lit(x) for x in model.stages[-2].labels])
-    scored = PipelineModel([s for s in model.stages if s is not model.stages[-2]]).transform(df)
-    return scored.withColumn("model_cwe", F.get(labels, F.col("prediction").cast("int"))).select(*df.columns, "model_cwe")
+    """``model_cwe`` column from the fitted model, which is asked once for all rows with the same counts."""
+    *read, index, forest = model.stages
+    labels = F.array(*[F.lit(x) for x in index.labels])
+    rows = staged(PipelineModel(read).transform(df).select(*df.columns, "features"), "cwe-features")
+    kinds = staged(forest.transform(rows.select("features").distinct())
+                   .select("features", F.get(labels, F.col("prediction").cast("int")).alias("model_cwe")), "cwe-answers")
+    kinds = F.broadcast(kinds) if kinds.limit(BROADCAST_KINDS + 1).count() <= BROADCAST_KINDS else kinds
+    return rows.join(kinds, "features").select(*df.columns, "model_cwe")
 
 
 def text_pipeline(text: str = "text", label: str = "label", features: int = 1 << 14) -> Pipeline:

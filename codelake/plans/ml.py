@@ -21,11 +21,11 @@ def _samples(spark, sf_dir):
 
 @query("cwe_classifier")
 def cwe_classifier(spark, sf_dir):
-    samples = _samples(spark, sf_dir)
+    samples = staged(_samples(spark, sf_dir).where("label = 1"), "vulnerable-samples")
     model = ml.train_cwe_classifier(samples)
     if model is None:
-        return samples.where("label = 1").select("snippet_id", "cwe_id", F.lit(None).cast("string").alias("model_cwe"))
-    return ml.predict_cwe(model, samples.where("label = 1")).select("snippet_id", "cwe_id", "model_cwe")
+        return samples.select("snippet_id", "cwe_id", F.lit(None).cast("string").alias("model_cwe"))
+    return ml.predict_cwe(model, samples).select("snippet_id", "cwe_id", "model_cwe")
 
 
 @query("cwe_vocabulary", """SELECT 'term' AS kind, row_number() OVER (ORDER BY df DESC, term) - 1 AS position, term AS name, df AS n,

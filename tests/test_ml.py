@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import functions as F
 
 from codelake.operators import bayes, ml
@@ -23,6 +24,30 @@ def test_cwe_classifier_learns_and_skips(spark):
     assert ml.train_cwe_classifier(samples(spark, 40)) is None
 
 
+def test_equal_rows_share_copies(spark):
+    """The forest's rows are bounded by the kinds of rows, not by their number, and every row counts in the weights."""
+    rows = spark.range(3000).select((F.col("id") % 3 % 2).alias("a"), (F.col("id") < 3).alias("b"))
+    got = ml.weighted_rows(rows, ["a", "b"], most=100)
+    sums = {(r.a, r.b): (r.n, r.w) for r in got.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}
+    assert {k: w for k, (_, w) in sums.items()} == {(0, False): 1998, (1, False): 999, (0, True): 2, (1, True): 1}
+    assert sum(n for n, _ in sums.values()) <= 100 and sums[(0, True)][0] == 2
+    apart = ml.weighted_rows(rows, ["a", "b"], most=3000)
+    assert apart.count() == 3000 and apart.where("weight <> 1").count() == 0
+    assert ml.weighted_rows(rows, ["a", "b"], most=1).agg(F.sum("weight")).first()[0] == 3000
+
+
+def test_cwe_forest_reads_equal_rows_once(spark, monkeypatch):
+    """Training and prediction give the forest kinds of rows; the answers are those of every row."""
+    seen = []
+    fit, transform = ml.RandomForestClassifier.fit, RandomForestClassificationModel.transform
+    monkeypatch.setattr(ml.RandomForestClassifier, "fit", lambda self, df: seen.append(df.count()) or fit(self, df))
+    monkeypatch.setattr(RandomForestClassificationModel, "transform", lambda self, df: seen.append(df.count()) or transform(self, df))
+    monkeypatch.setattr(ml, "FOREST_ROWS", 40)
+    rows = samples(spark, 600)
+    got = ml.predict_cwe(ml.train_cwe_classifier(rows, trees=3, depth=4), rows)
+    assert got.count() == 600 and got.where("model_cwe <> cwe_id").count() == 0 and seen[0] <= 40 and seen[1] == 2
+
+
 def test_metrics_guards(spark):
     empty = spark.createDataFrame([], "label int, prediction int")
     assert tuple(ml.binary_metrics(empty).select("accuracy", "precision", "recall", "f1").first()) == (0.0, 0.0, 0.0, 0.0)
