@@ -44,6 +44,16 @@ def decode_replace(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+# Source files are small: a task takes so many that their starts don't outweigh them. Spark counts 4 MB for each by default, so
+# that a task has some 30 files of a few kilobytes.
+OPEN_COST_BYTES = 512 << 10
+
+
+def _files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    spark.conf.set("spark.sql.files.openCostInBytes", str(OPEN_COST_BYTES))
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+
+
 def scan_repo_files(spark: SparkSession, root: str, extensions: list[tuple[str, str]] = fixed.EXTENSIONS) -> DataFrame:
     """Files with a supported extension outside hidden and environment folders: path, language, code.
 
@@ -51,9 +61,7 @@ def scan_repo_files(spark: SparkSession, root: str, extensions: list[tuple[str,
     Names starting with ``_`` are not listed by Spark; give such folders as explicit roots.
     """
     names = ",".join(_any_case(ext) for ext, _ in extensions)
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", "*.{" + names + "}").load(root)
-             .where(~path_excluded(_relative(_decoded(F.col("_metadata.file_path")), root))))
+    files = _files(spark, root, "*.{" + names + "}").where(~path_excluded(_relative(_decoded(F.col("_metadata.file_path")), root)))
     ext = path_extension(F.col("file_path"))
     language = F.coalesce(*[F.when(ext == e, name) for e, name in extensions])
     return (files.withColumn("file_path", _relative(F.col("path"), root))
@@ -64,8 +72,7 @@ def scan_py_files(spark: SparkSession, root: str, suffix: str = "py") -> DataFra
     """Non-blank ``.py`` files outside dot folders; undecodable bytes stay visible as replacements."""
     folders = lambda p: F.split(F.regexp_replace(p, "/?[^/]*$", ""), "/")
     hidden = F.exists(folders(_relative(_decoded(F.col("_metadata.file_path")), root)), lambda d: F.startswith(d, F.lit(".")))
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", f"*.{suffix}").load(root).where(~hidden))
+    files = _files(spark, root, f"*.{suffix}").where(~hidden)
     return (files.select(_relative(F.col("path"), root).alias("file_path"), decode_replace(F.col("content")).alias("code"))
             .where(~is_blank(F.col("code"))))
 

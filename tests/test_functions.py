@@ -263,3 +263,12 @@ def test_table_functions_give_no_batch_per_call(spark):
     for call in ("python_functions('')", "brace_functions('')", "ast_findings('')", "dump_values('')"):
         steps = spark.sql(f"SELECT f.* FROM VALUES (1) t(a), LATERAL {call} f")._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPythonUDTF" in steps and "ArrowEvalPythonUDTF" not in steps
+
+
+def test_functions_of_a_large_file_are_cut_once(monkeypatch):
+    """Lines are split once per file, not once per function; sources are those of ``ast.get_source_segment``."""
+    import ast
+    code = "class C:\r\n  def m(self): return 'é\x0c'; y = 2\r\n\ntry:\n    def a(x=lambda: 1):\n        def b(): pass\n        return '''\u2028\n'''\nexcept E:\n    async def c(): pass\n"
+    want = [(n.name, ast.get_source_segment(code, n), n.lineno) for n in ast.walk(ast.parse(code)) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+    monkeypatch.setattr(ast, "get_source_segment", lambda *_: 1 / 0)
+    assert code_parse.python_functions(code) == want and len(want) == 4

@@ -241,3 +241,11 @@ print("found", explode_functions(rows).count())
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "found 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """A task reads a hundred small files and more, so that a million files don't need a task for each thirty."""
+    for i in range(600):
+        (tmp_path / f"f{i}.py").write_text("def f(): pass\n")
+    files = repo_files.scan_repo_files(spark, str(tmp_path))
+    assert files.count() == 600 and files.rdd.getNumPartitions() <= 6
