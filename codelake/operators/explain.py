@@ -19,6 +19,8 @@ from .settle import settle
 TOKEN_KEYS = ["token_idx", "token", "tok_start", "tok_end"]
 # Weights are kept as whole ten-billionths, so sums, ranks and rounding do not depend on the order of addition.
 UNIT = 10 ** 10
+# Lines of code that is short.
+SHORT = 16
 
 
 def snippet_tokens(attention: DataFrame, shape: bool = False) -> DataFrame:
@@ -49,7 +51,8 @@ def with_lines(df: DataFrame, tokens: DataFrame, code: str = "code") -> DataFram
     """
     real = F.filter("tokens", lambda t: ~((t["tok_start"] == 0) & (t["tok_end"] == 0) & (t["token_idx"] > 0)))
     none = F.array().cast(tokens.schema["tokens"].dataType)
-    cut = df.join(tokens, "snippet_id", "left").withColumns({"lines": code_lines(F.col(code)), "_real": F.coalesce(real, none)}).drop("tokens")
+    # Its size is estimated from what is read, which holds neither heads nor tokens; it must not be broadcast for that.
+    cut = df.join(tokens.hint("merge"), "snippet_id", "left").withColumns({"lines": code_lines(F.col(code)), "_real": F.coalesce(real, none)}).drop("tokens")
     cut = settle(cut, ["lines", "_real"])
     # Line starts up to the last token: a line takes one character at least.
     reach = F.coalesce(F.array_max(F.transform("_real", lambda t: t["tok_start"].cast("int"))), F.lit(-1)) + 1
@@ -70,10 +73,15 @@ def with_lines(df: DataFrame, tokens: DataFrame, code: str = "code") -> DataFram
 def with_line_units(df: DataFrame, tokens: DataFrame, code: str = "code") -> DataFrame:
     """``df`` with ``lines`` and ``line_units``, the weight of each line, zero for lines without tokens."""
     placed = with_lines(df, tokens, code)
+    zero = F.lit(0).cast("bigint")
+    # Short code is summed line by line; for long code lines and tokens would multiply, so the sums of lines with tokens are looked up.
+    short = F.size("lines") <= SHORT
+    own = F.transform("lines", lambda _, i: F.aggregate("placed", zero, lambda acc, p: F.when(p["line_number"] == i + 1, acc + p["units"]).otherwise(acc)))
     held = F.array_distinct(F.transform("placed", lambda p: p["line_number"]))
-    total = lambda n: F.aggregate(F.filter("placed", lambda p: p["line_number"] == n), F.lit(0).cast("bigint"), lambda acc, p: acc + p["units"])
-    summed = settle(placed.withColumn("_sums", F.map_from_entries(F.transform(held, lambda n: F.struct(n, total(n))))), ["_sums"])
-    units = F.transform("lines", lambda _, i: F.coalesce(F.try_element_at("_sums", i + 1), F.lit(0).cast("bigint")))
+    total = lambda n: F.aggregate(F.filter("placed", lambda p: p["line_number"] == n), zero, lambda acc, p: acc + p["units"])
+    sums = F.when(~short, F.map_from_entries(F.transform(held, lambda n: F.struct(n, total(n)))))
+    summed = settle(placed.withColumn("_sums", sums), ["_sums"])
+    units = F.when(short, own).otherwise(F.transform("lines", lambda _, i: F.coalesce(F.try_element_at("_sums", i + 1), zero)))
     return settle(summed.withColumn("line_units", units), ["line_units"]).drop("placed", "_sums")
 
 

@@ -292,3 +292,27 @@ def test_rules_run_once_and_columns_are_pruned(spark, sf_dir):
     text = plan(QUERIES["vulnerable_only"](spark, sf_dir))
     assert text.count("pickle\\.loads|pickle\\.load") == 1
     assert "props" not in text
+
+
+def test_tokens_are_not_broadcast_by_an_estimate(spark, sf_dir):
+    """Tokens are made from narrow rows, so their estimated size says nothing; a join with them is no broadcast."""
+    from codelake.operators import explain as explainer
+    from codelake.sources.fixtures import view
+    snippets = view(spark, sf_dir, "snippets").select("snippet_id", "code")
+    joined = explainer.with_lines(snippets, explainer.snippet_tokens(view(spark, sf_dir, "attention")))
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+
+
+def test_short_and_long_code_have_the_same_sums(spark, monkeypatch):
+    """Lines of short code are summed directly, those of long code looked up."""
+    from codelake.operators import explain as explainer
+    code = spark.createDataFrame([(1, "a\nbb\n\nccc"), (2, ""), (3, None), (4, "\n" * 40 + "x")], "snippet_id long, code string")
+    attention = spark.createDataFrame([(s, h, t, f"t{t}", 3 * t, 3 * t + 2, float(1 + (s * 7 + h + t * t) % 5)) for s in (1, 2, 4) for h in (0, 1) for t in range(9)],
+                                      "snippet_id long, head int, token_idx int, token string, tok_start int, tok_end int, weight double")
+    found = []
+    for most in (0, 16, 100):
+        monkeypatch.setattr(explainer, "SHORT", most)
+        rows = explainer.with_line_units(code, explainer.snippet_tokens(attention)).select("snippet_id", "line_units").collect()
+        found.append({r.snippet_id: r.line_units for r in rows})
+    assert found[0] == found[1] == found[2] and len(found[0][4]) >= 41 and sum(found[0][1]) > 0
