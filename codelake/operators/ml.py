@@ -113,11 +113,17 @@ def predict_cwe(model: PipelineModel, df: DataFrame) -> DataFrame:
     return rows.join(kinds, "features").select(*df.columns, "model_cwe")
 
 
-def text_pipeline(text: str = "text", label: str = "label", features: int = 1 << 14) -> Pipeline:
-    return Pipeline(stages=[
-        *_terms(text), HashingTF(inputCol="terms", outputCol="counts", numFeatures=features),
+def fit_text(rows: DataFrame, text: str = "text", label: str = "label", features: int = 1 << 14) -> tuple[PipelineModel, DataFrame]:
+    """Logistic regression on hashed terms: the model, and the given rows without their text, scored.
+
+    Every step of the fit reads its input again, so texts are read once and their counts are kept.
+    """
+    read = PipelineModel([*_terms(text), HashingTF(inputCol="terms", outputCol="counts", numFeatures=features)])
+    counts = staged(read.transform(rows).select(*[c for c in rows.columns if c != text], "counts"), "hashed-terms")
+    model = Pipeline(stages=[
         IDF(inputCol="counts", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol=label, maxIter=20, regParam=0.01)])
+        LogisticRegression(featuresCol="features", labelCol=label, maxIter=20, regParam=0.01)]).fit(counts)
+    return PipelineModel([*read.stages, *model.stages]), model.transform(counts)
 
 
 def positive_probability(scored: DataFrame) -> DataFrame:

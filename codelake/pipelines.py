@@ -65,6 +65,6 @@ def training_rows(tables: dict[str, DataFrame], max_samples: int = 5000) -> Data
 def train(rows: DataFrame) -> tuple[PipelineModel, PipelineModel | None, DataFrame]:
     """(vulnerability model, CWE model or None, test metrics) from split training rows."""
     part = rows.where("split = 'train'")
-    model = ml.text_pipeline("code").fit(part)
+    model = ml.fit_text(part, "code")[0]
     metrics = ml.binary_metrics(model.transform(rows.where("split = 'test'")))
     return model, ml.train_cwe_classifier(part), metrics

@@ -81,7 +81,8 @@ def classifier_eval(spark, sf_dir):
 def logistic_classifier(spark, sf_dir):
     """The same task by logistic regression on hashed terms, all labelled documents scored."""
     rows = _labelled(spark, sf_dir)
-    return ml.positive_probability(ml.text_pipeline().fit(rows).transform(rows)).select("doc_id", "label", "prediction", "ml_prob")
+    _, scored = ml.fit_text(rows)
+    return ml.positive_probability(scored).select("doc_id", "label", "prediction", "ml_prob")
 
 
 @query("tfidf_terms", f"""SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM documents) + 1e0) / (count(*) + 1e0)) + 1e0, 6) AS idf

@@ -142,3 +142,20 @@ def test_texts_are_scored_in_batches_bounded_by_bytes(spark):
     rows = spark.range(0, 2000, 1, 1).select("id", F.repeat(F.lit("some words "), 2000).alias("code"))
     sizes = [r.ml_prob for r in ml.score_batches(rows, load).select("ml_prob").collect()]
     assert len(sizes) == 2000 and max(sizes) < 1500
+
+
+def test_texts_are_read_once_for_the_regression(spark):
+    """The fit and the scores use hashed counts; texts are tokenized once, and the model scores texts the same."""
+    from pyspark.sql import types as T
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    rows = labelled(spark).where("label is not null and text is not null").repartition(2)
+    watched = rows.withColumn("text", F.udf(seen, T.StringType()).asNondeterministic()("text"))
+    model, scored = ml.fit_text(watched, features=256)
+    got = {r.doc_id: round(r.ml_prob, 9) for r in ml.positive_probability(scored).collect()}
+    assert read.value == len(got) == rows.count()
+    assert {r.doc_id: round(r.ml_prob, 9) for r in ml.positive_probability(model.transform(rows)).collect()} == got
