@@ -5,9 +5,11 @@
 2. Improved consistent weighted sampling gives each node one sample per hash function; bands of samples are buckets.
 3. Every bucket has a centre. A node is compared with the centre that it meets in most buckets; similarities are exact.
 4. Buckets whose nodes aren't all connected go on. A node is compared with the node of its buckets that has the least weight on
-   rare shingles. Pairs that share a rare shingle are few and compared next. For all other pairs of a bucket, how far both
-   are from a centre bounds how near they can be; nodes that can't be near any other leave the bucket before a pair is made.
-   So a large group of copies with scattered edits doesn't turn into all its pairs, and no link is left out.
+   rare shingles, and pairs that share a rare shingle, which are few, are compared. For all other pairs, how far both are
+   from a centre bounds how near they can be; nodes that can't be near any other leave. What remains of a centre's nodes is cut
+   into blocks that meet two by two, each node as its few differences from the centre. A pair of blocks gives the links that
+   connect its classes, no row per pair: a large group of copies with scattered edits doesn't turn into all its pairs, and
+   no link is left out.
 5. Links are joined to classes by least labels.
 """
 
@@ -35,6 +37,10 @@ RARE = 8
 CELLS, DAMPING = 1 << 16, 0.1
 # Tables of nodes up to this many rows (40 bytes each) are broadcast to pick texts; larger ones are joined by shuffle.
 BROADCAST_NODES = 1 << 19
+# Labels of up to so many nodes are broadcast in each round of the classes, and written in a few files.
+BROADCAST_LABELS, LABEL_FILES = 1 << 17, 6
+# Nodes of one centre are cut into blocks of about so many rows, and bytes of differences.
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -181,11 +187,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    few = labels.count() <= BROADCAST_LABELS
+    small = F.broadcast if few else lambda rows: rows
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        far = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = staged(spread.join(far, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "labels")
+        near = both.join(small(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        spread = near.join(small(labels), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        far = small(labels.select(F.col("node").alias("label"), F.col("label").alias("far")))
+        new = spread.join(far, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
+        new = staged(new.coalesce(LABEL_FILES) if few else new, "labels")
         if new.where(F.col("label") != F.col("old")).isEmpty():
             return new.select("node", "label")
         labels = new.select("node", "label")
@@ -241,8 +250,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links = staged(compare(stars, sets, factors, threshold), "star-links")
     labels = components(links)
     able, bounds, rare, held = _able(shared, sets, labels, factors, threshold)
-    steps = ((lambda: _second_stars(_labelled(able, labels)), "second-links"),
-             (lambda: _rare_pairs(rare, _labelled(bounds, labels), threshold), "rare-links"),
+    steps = ((lambda: _second_stars(_labelled(able, labels)).unionByName(_rare_pairs(rare, _labelled(bounds, labels), threshold)), "second-links"),
              (lambda: _open_pairs(_labelled(able, labels), sets, held, factors, threshold), "open-links"))
     for pairs, name in steps:
         more = staged(compare(pairs(), sets, factors, threshold), name)
@@ -302,9 +310,16 @@ def _rare_pairs(rare: DataFrame, bounds: DataFrame, threshold: float) -> DataFra
     return pairs.where((F.col("x_label") != F.col("y_label")) & _reach("x_weight", "x_alone", "y_weight", "y_alone", threshold)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
 
 
-def _differences(pairs: DataFrame, sets: DataFrame, held: DataFrame, factors) -> DataFrame:
-    """For (node, centre) pairs, ``off``, the weight in which the two differ, and ``common_off``, the part of it that another node
-    without a rare shingle of this one can have too: what the centre has more of, and what isn't rare."""
+def _differences(pairs: DataFrame, sets: DataFrame, held: DataFrame, factors, threshold: float) -> DataFrame:
+    """For rows (node, centre, label) what the node needs and has for a link with another node of the centre.
+
+    ``keys`` are the shingles in which the two differ, one key for each occurrence and side, without what the node alone has
+    of rare ones. Their weight is ``common_off``: a node without a rare shingle of this one can have no more in common with it
+    against the centre. ``own`` is ``off``, the weight in which the two differ, less what half a link allows, and ``room`` the
+    most that the other node's ``own`` may be.
+    """
+    share = (1 - threshold) / (1 + threshold)
+
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for xs, ys, rare in zip(batch["xs"], batch["ys"], batch["rare"]):
@@ -312,44 +327,120 @@ def _differences(pairs: DataFrame, sets: DataFrame, held: DataFrame, factors) ->
             both, where = np.unique(np.concatenate([x, y]), return_inverse=True)
             more = np.zeros(len(both))
             np.add.at(more, where, np.concatenate([u, -v]))
-            own = np.maximum(more, 0)
-            off = np.abs(more).sum()
-            alone = own[np.isin(both, np.asarray(rare, np.int64).astype(np.uint64))].sum() if rare is not None and len(rare) else 0.0
-            rows.append((off, off - alone))
-        off, common = zip(*rows)
-        return pd.DataFrame({"node": batch["node"], "centre": batch["centre"], "off": off, "common_off": common})
+            each = factors.value[(both & np.uint64(CELLS - 1)).astype(np.int64)]
+            times = np.rint(more / each).astype(np.int64)
+            common = times != 0
+            if rare is not None and len(rare):
+                common &= (times < 0) | ~np.isin(both, np.asarray(rare, np.int64).astype(np.uint64))
+            n = np.abs(times[common])
+            keys = _occurrences(both[common], n, times[common] > 0)
+            own = np.abs(more).sum() - share * u.sum()
+            rows.append((own, 2 * (n * each[common]).sum() - own, keys.tobytes()))
+        own, room, keys = zip(*rows)
+        return batch[["centre", "node", "label"]].assign(own=own, room=room, keys=keys)
 
     left = sets.select("node", F.col("shingles").alias("xs")).join(held, "node", "left")
     right = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("ys"))
-    return in_batches(pairs.join(left, "node").join(right, "centre").select("node", "centre", "xs", "ys", "rare"), run,
-                      "node binary, centre binary, off double, common_off double")
+    return in_batches(pairs.join(left, "node").join(right, "centre").select("centre", "node", "label", "xs", "ys", "rare"), run,
+                      "centre binary, node binary, label binary, own double, room double, keys binary")
+
+
+def _occurrences(hashes: np.ndarray, n: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """One key for each occurrence of a shingle on a side. The low bits stay those of the shingle's cell."""
+    which = np.repeat(np.arange(len(n)), n)
+    nth = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    low = np.uint64(CELLS - 1)
+    key = _mixed(hashes[which] * _MIX + (2 * nth + side[which]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return (key & ~low) | (hashes[which] & low)
 
 
 def _open_pairs(able: DataFrame, sets: DataFrame, held: DataFrame, factors, threshold: float) -> DataFrame:
-    """Pairs of a bucket that aren't connected yet and whose similarity may reach the threshold without a common rare shingle.
+    """Links of buckets that aren't connected yet, among nodes without a common rare shingle; a few more may be named at the threshold.
 
     Nodes are compared with a centre of their bucket. Distance is the weight in which two nodes differ; at the threshold t it is
     at most k = (1 - t) / (1 + t) of both weights. Two nodes differ from each other by what they differ from the centre, less
-    twice what they have in common of that, and that is at most the lesser ``common_off``:
-    (off - k weight) of both together may not exceed twice the lesser common_off. Nodes that can't meet this with the
-    bucket's best leave it; nearly all of a group with scattered edits do, as their edits are rare. Buckets of one class end here.
+    twice what they have in common of that: a link needs 2 common >= (off - k weight) of both together. What they have in common
+    is at most the lesser ``common_off``, so nodes that can't meet this with the best of their centre leave; nearly
+    all of a group with scattered edits do, as their edits are rare. Buckets of one class end here, and buckets with one centre
+    (it has at most BANDS) go on as one group, whose blocks meet two by two.
     """
     mixed = able.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
                                        F.min(F.struct("few", "node"))["node"].alias("centre")).where("low <> high").select("bucket", "centre")
-    rows = staged(able.join(mixed, "bucket"), "open-rows")
-    off = staged(_differences(rows.select("node", "centre").distinct(), sets, held, factors), "differences")
-    share = (1 - threshold) / (1 + threshold)
-    own = F.col("off") - share * F.col("weight")
-    rows = staged(rows.join(off, ["node", "centre"]).withColumns({"own": own, "room": 2 * F.col("common_off") - own}), "open-rows")
-    best = rows.groupBy("bucket").agg(F.min("own").alias("least_own"), F.max("room").alias("most_room"))
-    left = staged(rows.join(best, "bucket").where((F.col("own") <= F.col("most_room") + 1e-6) & (F.col("least_own") <= F.col("room") + 1e-6)), "open-rows")
-    mixed = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    left = left.join(mixed, "bucket", "left_semi")
-    x, y = (left.select("bucket", *[F.col(c).alias(f"{k}_{c}") for c in ("node", "label", "weight", "few", "own", "room")]) for k in "xy")
-    pairs = x.join(y, "bucket").where((F.col("x_node") < F.col("y_node")) & (F.col("x_label") != F.col("y_label"))
-                                      & (F.col("x_own") <= F.col("y_room") + 1e-6) & (F.col("y_own") <= F.col("x_room") + 1e-6)
-                                      & _reach("x_weight", "x_few", "y_weight", "y_few", threshold))
-    return pairs.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    rows = able.join(mixed, "bucket").select("centre", "node", "label").distinct()
+    rows = staged(_differences(rows, sets, held, factors, threshold), "differences")
+    best = rows.groupBy("centre").agg(F.min("own").alias("least_own"), F.max("room").alias("most_room"))
+    left = rows.join(best, "centre").where((F.col("own") <= F.col("most_room") + 1e-6) & (F.col("least_own") <= F.col("room") + 1e-6))
+    left = staged(left.select("centre", "node", "label", "own", "keys"), "open-rows")
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum(F.length("keys")) / BLOCK_BYTES)).cast("int")
+    sizes = left.groupBy("centre").agg(F.min("label").alias("low"), F.max("label").alias("high"), parts.alias("parts")).where("low <> high")
+    blocks = left.join(sizes.select("centre", "parts"), "centre").withColumn("block", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "own", "keys")
+    key = ["centre", "i", "j"]
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now = [], None
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if (row.centre, row.i, row.j) != now:
+                    if found := _links_of_blocks(held, factors.value):
+                        yield pd.DataFrame(found, columns=["a", "b"])
+                    held, now = [], (row.centre, row.i, row.j)
+                held.append(row)
+        if found := _links_of_blocks(held, factors.value):
+            yield pd.DataFrame(found, columns=["a", "b"])
+
+    return blocks.repartition(*key).sortWithinPartitions(*key).mapInPandas(meet, "a binary, b binary").distinct()
+
+
+def _links_of_blocks(rows: list, factors: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links that connect the classes of two blocks (of one, if it meets itself), and pairs too close to the threshold to tell."""
+    if len({r.label for r in rows}) < 2:
+        return []
+    one = rows[0].i == rows[0].j
+    parts = [rows, rows] if one else [[r for r in rows if r.block == r.i], [r for r in rows if r.block == r.j]]
+    if not parts[0] or not parts[1]:
+        return []
+    keys = [[np.frombuffer(r.keys, np.uint64) for r in part] for part in parts]
+    distinct = [np.unique(np.concatenate(k), return_counts=True) for k in keys]
+    shared = distinct[0][0][distinct[0][1] > 1] if one else np.intersect1d(distinct[0][0], distinct[1][0], assume_unique=True)
+    common = np.zeros((len(parts[0]), len(parts[1])))
+    for at in range(0, len(shared), 4096):
+        some = shared[at:at + 4096]
+        held = [_held(k, some) for k in (keys[:1] if one else keys)]
+        common += (held[0] * factors[(some & np.uint64(CELLS - 1)).astype(np.int64)]) @ held[-1].T
+    own, label = ([np.array([getattr(r, c) for r in part], kind) for part in parts] for c, kind in (("own", float), ("label", object)))
+    number = {x: k for k, x in enumerate(dict.fromkeys([*label[0], *label[1]]))}
+    classes = [np.array([number[x] for x in part]) for part in label]
+    gap = 2 * common - own[0][:, None] - own[1][None, :]
+    near = (gap >= -1e-6) & (classes[0][:, None] != classes[1][None, :])
+    x, y = np.nonzero(np.triu(near, 1) if one else near)
+    parent, out = list(range(len(number))), []
+
+    def find(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    for k in np.argsort(-gap[x, y], kind="stable"):
+        a, b = find(classes[0][x[k]]), find(classes[1][y[k]])
+        if a != b:
+            out.append((parts[0][x[k]].node, parts[1][y[k]].node))
+            if gap[x[k], y[k]] > 1e-6:
+                parent[a] = b
+    return out
+
+
+def _held(keys: list[np.ndarray], some: np.ndarray) -> np.ndarray:
+    """Which row has which of some sorted keys, as zeros and ones."""
+    every = np.concatenate(keys)
+    row = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+    at = np.minimum(np.searchsorted(some, every), len(some) - 1)
+    same = some[at] == every
+    out = np.zeros((len(keys), len(some)))
+    out[row[same], at[same]] = 1
+    return out
 
 
 def _reach(weight: str, alone: str, other_weight: str, other_alone: str, threshold: float) -> Column:

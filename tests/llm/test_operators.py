@@ -269,6 +269,36 @@ def test_near_dup_of_many_scattered_copies(spark):
     assert got == {i: find(i) for i in range(120)} and len(set(got.values())) > 20
 
 
+def test_near_dup_of_copies_with_common_edits(spark, monkeypatch):
+    """Copies with edits that are frequent, so that bounds don't part them: all links, without a row for each pair."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(160)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for _ in range(rng.randrange(4, 8)):
+            words[5 * rng.randrange(24)] = f"e{rng.randrange(2)}"
+        rows.append((i, " ".join(words)))
+    compared, compare = [], near_dup.compare
+    monkeypatch.setattr(near_dup, "compare", lambda pairs, *rest: (compared.append(pairs.count()), compare(pairs, *rest))[1])
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 64, raising=False)
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    spans = near_dup.cell_weights(near_dup_counts(rows))
+    sets = [s for _, s in near_dup.shingles_of([t.encode() for _, t in rows])]
+    parent = list(range(300))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(300), 2):
+        if near_dup.similarity(sets[a], sets[b], spans) >= 0.8:
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert got == {i: find(i) for i in range(300)} and 20 < len(set(got.values())) < 280
+    assert compared[-1] < 600, compared
+
+
 def test_sampling_agrees_with_similarity():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 2**63, 300, dtype=np.uint64))
