@@ -38,7 +38,7 @@ CELLS, DAMPING = 1 << 16, 0.1
 # Tables of nodes up to this many rows (40 bytes each) are broadcast to pick texts; larger ones are joined by shuffle.
 BROADCAST_NODES = 1 << 19
 # Labels of up to so many nodes are broadcast in each round of the classes, and written in a few files.
-BROADCAST_LABELS, LABEL_FILES = 1 << 17, 6
+BROADCAST_LABELS, LABEL_FILES = 1 << 14, 6
 # Nodes of one centre are cut into blocks of about so many rows, and bytes of differences.
 BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
 
@@ -405,8 +405,8 @@ def _links_of_blocks(rows: list, factors: np.ndarray) -> list[tuple[bytes, bytes
     distinct = [np.unique(np.concatenate(k), return_counts=True) for k in keys]
     shared = distinct[0][0][distinct[0][1] > 1] if one else np.intersect1d(distinct[0][0], distinct[1][0], assume_unique=True)
     common = np.zeros((len(parts[0]), len(parts[1])))
-    for at in range(0, len(shared), 4096):
-        some = shared[at:at + 4096]
+    for at in range(0, len(shared), 512):  # a few MB at a time
+        some = shared[at:at + 512]
         held = [_held(k, some) for k in (keys[:1] if one else keys)]
         common += (held[0] * factors[(some & np.uint64(CELLS - 1)).astype(np.int64)]) @ held[-1].T
     own, label = ([np.array([getattr(r, c) for r in part], kind) for part in parts] for c, kind in (("own", float), ("label", object)))
