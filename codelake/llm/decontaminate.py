@@ -123,8 +123,12 @@ def _runs(starts: np.ndarray, stops: np.ndarray) -> list[int]:
 
 
 def search(index: DataFrame, windows: list[tuple[int, ...]], owners: list[list[int]], names: list[str],
-           counts: np.ndarray, gap: int, slop: int) -> DataFrame:
-    """All documents of the index with the exact occurrences and near items of this block."""
+           counts: np.ndarray, gap: int, slop: int, last: bool = False) -> DataFrame:
+    """All documents of the index with the exact occurrences and near items of this block.
+
+    With ``last`` as rows of RESULT, in the same pass: a second Python step behind this one would take a second worker for
+    each task, and idle workers stay beside the executor with all they hold.
+    """
     grid = np.full((len(windows), max(map(len, windows), default=1)), -1, np.int32)
     for i, window in enumerate(windows):
         grid[i, :len(window)] = window
@@ -137,9 +141,10 @@ def search(index: DataFrame, windows: list[tuple[int, ...]], owners: list[list[i
         grid, ranked, owners, names, size = shared.value
         for batch in batches:
             for row in batch.itertuples(index=False):
-                yield _search_segment(row, grid, ranked, owners, names, size, gap, slop)
+                found = _search_segment(row, grid, ranked, owners, names, size, gap, slop)
+                yield _result(found) if last else found
 
-    return index.mapInPandas(run, HITS)
+    return index.mapInPandas(run, RESULT if last else HITS)
 
 
 def _search_segment(row, grid, ranked, owners, names, size, gap, slop) -> pd.DataFrame:
@@ -241,15 +246,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "
     counts = term_counts(index, len(vocabulary))
     hits = None
     for block in range(n_blocks):
-        part = search(index, *item_windows(block_items(block), vocabulary, width), counts, gap, slop)
+        part = search(index, *item_windows(block_items(block), vocabulary, width), counts, gap, slop, n_blocks == 1)
         hits = part if hits is None else hits.unionByName(part)
     if n_blocks > 1:
         flat = {c: F.flatten(F.collect_list(c)).alias(c) for c in ("runs", "items", "near")}
         hits = hits.groupBy("segment", "ordinal").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
                                                       *flat.values())
+        hits = hits.mapInPandas(lambda batches: (_result(b) for b in batches if len(b)), RESULT)
     kind = docs.schema[id_column].dataType.simpleString()
-    out = hits.mapInPandas(lambda batches: (_result(b) for b in batches if len(b)), RESULT)
-    return out.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", id_column)
+    return hits.withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", id_column)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

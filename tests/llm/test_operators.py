@@ -554,6 +554,13 @@ def test_decontamination(spark, docs, corpus, none):
     assert not decontaminate.find_contamination(docs, bench.limit(0)).where("contaminated").count()
 
 
+def test_decontamination_takes_one_worker_per_task(spark, docs):
+    """Behind the written index one Python step searches and gives the result; two would keep two workers for each task."""
+    bench = spark.createDataFrame([(1, "never seen words")], "item_id long, text string")
+    plan = decontaminate.find_contamination(docs, bench)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "zeta a b c kappa d sigma"), (2, "zeta a b c d e f g h i j k kappa sigma"), (3, "zeta kappa sigma tau rho phi")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "zeta kappa sigma tau rho phi")], "item_id long, text string")
