@@ -98,6 +98,14 @@ def test_slices_share_no_code(tables, monkeypatch):
     assert len(parts) == dataset.SLICES and sum(map(len, parts)) == len(set().union(*parts)) > 60
 
 
+def test_keys_of_two_types(rows, tables, monkeypatch):
+    """Equal keys of two types have different hashes; no row is lost."""
+    monkeypatch.setattr(dataset, "SLICE_ROWS", 100)
+    number = lambda t, kind: tables | {t: tables[t].withColumn("file_change_id", F.expr(f"cast(substring(file_change_id, 2) as {kind})"))}
+    both = number("method_change", "int") | {"file_change": number("file_change", "double")["file_change"]}
+    assert {tuple(r[c] for c in ("code", *FIELDS)) for r in dataset.unique_samples(both).collect()} == unique_rows(rows)
+
+
 def test_an_empty_history(tables, monkeypatch):
     monkeypatch.setattr(dataset, "SLICE_ROWS", 1)
     none = tables | {"fixes": tables["fixes"].where("false")}
